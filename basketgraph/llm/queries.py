@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketgraph.llm import bpe, packing
+from basketgraph.llm import bpe, langid, packing, quality
 from basketgraph.llm.common import documents
 
 
@@ -25,5 +25,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, tokenizer_path("word_bpe_49k.json")), docs.count())
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing}
-SQL: dict[str, str] = {}
+def _fold(modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.filter(_fold(4) != 2).select("text", "lang"))
+    out = langid.predict(docs, model)
+    return out.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
+SQL = {"op10_quality_rules": quality.oracle_sql()}
