@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketgraph.llm import bpe, langid, packing, quality
+from basketgraph.llm import bpe, langid, licenses, packing, quality, toxicity
 from basketgraph.llm.common import documents
 
 
@@ -29,6 +29,23 @@ def _fold(modulus: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_fold(3) != 1).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, labels = F.filter("spans", lambda x: x["phrase"]), lambda spans: F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"]))))
+    starts = F.transform(base, lambda x: x["start"].cast("long"))
+    return licenses.scan(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"), F.coalesce(F.array_max(F.transform("spans", lambda x: x["coverage"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.filter(_fold(4) != 2).select("text", "lang"))
@@ -40,5 +57,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
 SQL = {"op10_quality_rules": quality.oracle_sql()}
