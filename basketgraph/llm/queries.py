@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketgraph.llm import bpe, langid, licenses, packing, quality, toxicity
+from basketgraph.llm import bpe, langid, licenses, packing, quality, suffix, toxicity
 from basketgraph.llm.common import documents
 
 
@@ -29,6 +29,11 @@ def _fold(modulus: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.deduplicate(documents(spark, sf_dir))
+    return out.select("doc_id", F.col("text_bytes").alias("n_bytes"), (F.col("text_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_fold(3) != 1).select("doc_id", F.col("toxic").alias("label"))
@@ -57,5 +62,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_toxicity": op3_toxicity, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
 SQL = {"op10_quality_rules": quality.oracle_sql()}
