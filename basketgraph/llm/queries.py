@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketgraph.llm import bpe, langid, licenses, packing, quality, suffix, toxicity
+from basketgraph.llm import bpe, jaccard, langid, licenses, packing, quality, suffix, toxicity
 from basketgraph.llm.common import documents
 
 
@@ -51,6 +51,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.filter(_fold(4) != 2).select("text", "lang"))
@@ -62,5 +66,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_toxicity": op3_toxicity, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_toxicity": op3_toxicity, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op8_jaccard_join": op8_jaccard_join, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
 SQL = {"op10_quality_rules": quality.oracle_sql()}
