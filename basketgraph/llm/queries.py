@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketgraph.llm import bpe, jaccard, langid, licenses, packing, quality, suffix, toxicity
+from basketgraph.llm import ann, bpe, jaccard, langid, licenses, lmscore, packing, quality, suffix, toxicity
 from basketgraph.llm.common import documents
 
 
@@ -20,6 +20,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return lmscore.score(docs, lmscore.fit(docs))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.neighbours(table, F.col("vec_id") % 20 == 0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return packing.pack(packing.pieces(docs, tokenizer_path("word_bpe_49k.json")), docs.count())
@@ -66,5 +76,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_toxicity": op3_toxicity, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op8_jaccard_join": op8_jaccard_join, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_toxicity": op3_toxicity, "op4_lm_score": op4_lm_score, "op5_nearest": op5_nearest, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op8_jaccard_join": op8_jaccard_join, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
 SQL = {"op10_quality_rules": quality.oracle_sql()}

@@ -377,8 +377,11 @@ def covered(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, columns: tuple = (), **options) -> DataFrame:
-    """key, any columns named, text_bytes (length in UTF-8), kept (binary), removed (array of start and end)."""
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, columns: tuple = (), as_text: bool = False, **options) -> DataFrame:
+    """key, any columns named, text_bytes (length in UTF-8), kept (binary), removed (array of start and end).
+
+    With as_text kept is a string, without the characters that a removal cuts through.
+    """
     spans = repeated_spans(docs, key, text, length, **options)
     rows = docs.select(F.col(key).alias("key"), *columns, F.coalesce(F.col(text), F.lit("")).alias("t"), F.xxhash64(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
     keep = ["key", *columns]
@@ -391,10 +394,11 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
                 gone = covered([(x["first"], x["last"]) for x in s or ()], length)
                 at = [0, *(y for x in gone for y in x), len(raw)]
                 sizes.append(len(raw))
-                kept.append(b"".join(raw[at[i] : at[i + 1]] for i in range(0, len(at), 2)))
+                parts = [raw[at[i] : at[i + 1]] for i in range(0, len(at), 2)]
+                kept.append("".join(x.decode("utf-8", "ignore") for x in parts) if as_text else b"".join(parts))
                 removed.append([{"start": a, "end": z} for a, z in gone])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*keep, "text_bytes", "kept", "removed"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*keep, "text_bytes", "kept", "removed"])
 
     own = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in columns)
     joined = rows.join(spans, ["id", "th"], "left").select(*keep, "t", "spans")
-    return joined.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, {own}text_bytes long, kept binary, removed array<struct<start:long,end:long>>").withColumnRenamed("key", key)
+    return joined.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, {own}text_bytes long, kept {"string" if as_text else "binary"}, removed array<struct<start:long,end:long>>").withColumnRenamed("key", key)
