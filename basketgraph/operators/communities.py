@@ -37,13 +37,13 @@ def _moves(edges: DataFrame, members: DataFrame, degree: DataFrame, gamma, by: l
     if within:
         links = links.filter("outer = outer_to")
     links = links.groupBy(*by, F.col("src").alias("node"), "community", "to").agg(F.sum("w").alias("links"))
-    total = own.join(degree, [*by, "node"]).groupBy(*by, F.col("community").alias("to")).agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("size"))
-    two_m = degree.groupBy(*by).agg(F.sum("k").alias("two_m"))
+    total = own.join(degree, [*by, "node"]).groupBy(*by, F.col("community").alias("to")).agg(F.sum("deg").alias("total"), F.count(F.lit(1)).alias("size"))
+    two_m = degree.groupBy(*by).agg(F.sum("deg").alias("two_m"))
     rows = links.join(total, [*by, "to"]).join(degree, [*by, "node"])
     rows = rows.join(two_m, list(by)) if by else rows.crossJoin(F.broadcast(two_m))  # one row
     here = F.col("to") == F.col("community")
-    gain = F.col("links") - gamma * F.col("k") * (F.col("total") - F.when(here, F.col("k")).otherwise(0.0)) / F.col("two_m")
-    rows = rows.select(*by, "node", "community", "to", "size", "k", F.round(gain, 9).alias("gain"), here.alias("here"))
+    gain = F.col("links") - gamma * F.col("deg") * (F.col("total") - F.when(here, F.col("deg")).otherwise(0.0)) / F.col("two_m")
+    rows = rows.select(*by, "node", "community", "to", "size", F.round(gain, 9).alias("gain"), here.alias("here"))
     best = rows.withColumn("nth", F.row_number().over(W.partitionBy(*by, "node").orderBy(F.desc("gain"), "to"))).filter("nth = 1")
     stay = rows.filter("here").select(*by, "node", F.col("gain").alias("stay"))
     best = best.join(stay, [*by, "node"], "left").fillna(0.0, ["stay"])
@@ -82,7 +82,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, by: list[str] = (), l
     place = materialize(names.select(*by, F.col("node").alias("leaf"), "node"), "place")
     start = names.withColumn("community", F.col("node"))
     for level in range(levels):
-        degree = materialize(links.groupBy(*by, F.col("src").alias("node")).agg(F.sum("w").alias("k")), "degree")
+        degree = materialize(links.groupBy(*by, F.col("src").alias("node")).agg(F.sum("w").alias("deg")), "degree")
         between = links.filter("src <> dst")
         moved = _local(between, materialize(start, "members"), degree, gamma, by, rounds, seed + 2 * level)
         fine = materialize(moved.select(*by, "node", F.col("node").alias("community"), F.col("community").alias("outer")), "fine")

@@ -34,6 +34,11 @@ def train_part(paths: list[list[str]], names: list[str], inner: np.ndarray, oute
         np.add.at(outer, target, g[..., None] * x[:, None, :])
 
 
+def _of_epoch(run, epoch: int):
+    """A function of two groups; a third parameter would be taken for the key."""
+    return lambda left, right: run(epoch, left, right)
+
+
 def train_embeddings(paths: DataFrame, dimensions: int, window: int = 3, negatives: int = 3, epochs: int = 4, rate: float = 0.035, parts: int = 4, seed: int = 42) -> DataFrame:
     """node, vector from walks (start, nth, walk).
 
@@ -43,20 +48,17 @@ def train_embeddings(paths: DataFrame, dimensions: int, window: int = 3, negativ
     dealt = materialize(paths.select(F.pmod(F.xxhash64("start", "nth"), F.lit(parts)).alias("part"), "start", "nth", "walk"), "dealt")
     counts = materialize(dealt.select("part", F.explode("walk").alias("node")).groupBy("part", "node").agg(F.count(F.lit(1)).alias("n")), "counts")
     start = F.transform(F.sequence(F.lit(1), F.lit(dimensions)), lambda i: (uniform(seed, F.col("node"), i) - 0.5) / dimensions)
-    vectors = counts.select("node").distinct().select("node", start.alias("inner"), F.array_repeat(F.lit(0.0), dimensions).alias("outer"))
+    vectors = materialize(counts.select("node").distinct().select("node", start.alias("inner"), F.array_repeat(F.lit(0.0), dimensions).alias("outer")), "vectors")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame, epoch: int) -> pd.DataFrame:
-        right = right.sort_values("node")
-        if not len(right):
-            return pd.DataFrame({"node": [], "inner": [], "outer": []})
-        left = left.sort_values(["start", "nth"])
+    def run(epoch: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right, left = right.sort_values("node"), left.sort_values(["start", "nth"])
         inner, outer = np.array(right["inner"].tolist()), np.array(right["outer"].tolist())
         train_part([list(w) for w in left["walk"]], right["node"].tolist(), inner, outer, right["n"].to_numpy(float) ** 0.75, window, negatives, rate, seed + epoch)
         return pd.DataFrame({"node": right["node"], "inner": list(inner), "outer": list(outer)})
 
     for e in range(epochs):
-        known = counts.join(vectors, "node")
-        done = dealt.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(lambda a, b, e=e: run(a, b, e), "node string, inner array<double>, outer array<double>")
+        known = counts.join(vectors, "node").select(F.col("part").alias("of_part"), "node", "n", "inner", "outer")
+        done = dealt.groupBy("part").cogroup(known.groupBy("of_part")).applyInPandas(_of_epoch(run, e), "node string, inner array<double>, outer array<double>")
         cells = materialize(done, "epoch")
         mean = [F.array(*[F.avg(F.get(c, F.lit(i))) for i in range(dimensions)]).alias(c) for c in ("inner", "outer")]
         vectors = materialize(cells.groupBy("node").agg(*mean), "vectors")
