@@ -3,14 +3,18 @@
 Each text is its set of hashed shingles. Texts with the same set are one vertex. A global order of shingles puts the
 most frequent ones last (at most `max_frequent` of them, counted over all texts, so the list has a bound); two sets
 of similarity t share one of the first n - ceil(t n) + 1 shingles in any such order. Vertices with the same such
-prefix and size form a group; groups that share a prefix shingle and fit in size are pairs, whose members are
-verified on their whole sets.
+prefix and size form a group; groups that share a prefix shingle, fit in size and share enough prefix shingles are
+pairs, whose members are verified on their whole sets.
 
 Only components are asked for, so pairs within one component need no check. First come stars, rounds of pairs of each
 group with one representative of each shingle's groups (and of each member with its group's first), whose number is
 linear in a shingle's groups; their verified links are merged. What is left are shingles whose groups lie in several
-components: of those all pairs across components are verified. No link is lost, and large groups of near copies
-don't give all their pairs.
+components: of those all pairs across components are filtered and verified. No link is lost, and large groups of near
+copies don't give all their pairs.
+
+Enough: with L the smaller of both prefixes' last shingles, the set whose prefix ends at L has, beyond the c shared
+prefix shingles, only what follows its prefix in common with the other. So the overlap is at most c + the larger of
+(n - prefix length) of both, and must reach what the similarity asks for.
 
 Edge cases: null and empty texts have no shingles and link with nothing; texts with fewer words than k are one
 shingle; ids are vertices, so rows that repeat an id share its component; a null id names no component; ties don't
@@ -21,12 +25,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketgraph.llm.common import LOWER, gram_hashes, materialize, mix, word_hashes
 
-K, SHARE, MAX_FREQUENT, FREQUENT, STARS = 5, 80, 500_000, 32, 3
+K, SHARE, MAX_FREQUENT, FREQUENT, STARS = 5, 80, 500_000, 8, 2
+#: Bits of the map of shared shingles (8 MB), and pairs up to which their ends are broadcast (16 MB).
+MAP_BITS, BROADCAST_PAIRS = 26, 500_000
 NO_ID = (1 << 63) - 1
 
 
@@ -44,32 +50,28 @@ def _token(hashed: np.ndarray) -> np.ndarray:
     return (hashed >> np.uint64(32)).astype(np.uint32)
 
 
-def frequent_tokens(rows: DataFrame, k: int, max_frequent: int) -> np.ndarray:
-    """The most frequent shingles (their upper 32 bits), FREQUENT times or more, max_frequent at most.
+def _packed(tokens: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted tokens by their upper bits: gaps between neighbours, low bytes first, which compress well."""
+    tokens = np.sort(tokens)
+    at = np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits))
+    own = np.flatnonzero(np.diff(at))
+    parts = [np.diff(tokens[at[i] : at[i + 1]], prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for i in own]
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(parts, pa.binary())], ["bucket", "tokens"])
 
-    Shingles travel packed by their upper bits, and are counted bucket by bucket.
-    """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(8, (4 * n - 1).bit_length())
 
-    def packed(batches):
-        for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                sets = [_token(shingles(t, k)) for t in b.column("t").slice(s, 2000).to_pylist()]
-                tokens = np.sort(np.concatenate(sets))
-                at = np.searchsorted(tokens, (np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits)))
-                raw = tokens.tobytes()
-                own = [i for i in range(1 << bits) if at[i] < at[i + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([raw[4 * at[i] : 4 * at[i + 1]] for i in own], pa.binary())], ["bucket", "tokens"])
-
-    def counted(batches):
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+
+
+def _by_bucket(packed: DataFrame, count, schema: str) -> DataFrame:
+    """count(bucket, distinct tokens, their numbers) -> a batch, for each bucket of _packed()."""
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
         held, bucket = [], None
 
         def done():
-            token, count = np.unique(np.frombuffer(b"".join(held), np.uint32), return_counts=True)
-            keep = count >= FREQUENT
-            return pa.RecordBatch.from_arrays([pa.array(token[keep].astype(np.int64)), pa.array(count[keep])], ["token", "times"])
+            return count(bucket, *np.unique(np.concatenate(held), return_counts=True))
 
         for b in batches:
             for i, raw in zip(b.column("bucket").to_pylist(), b.column("tokens").to_pylist()):
@@ -77,15 +79,67 @@ def frequent_tokens(rows: DataFrame, k: int, max_frequent: int) -> np.ndarray:
                     yield done()
                     held = []
                 bucket = i
-                held.append(raw)
+                held.append(_unpacked(raw))
         if held:
             yield done()
 
-    counts = rows.mapInArrow(packed, "bucket int, tokens binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(counted, "token long, times long")
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def _bucket_bits(df: DataFrame) -> int:
+    return min(MAP_BITS - 3, max(8, (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+
+
+def frequent_tokens(rows: DataFrame, k: int, max_frequent: int) -> np.ndarray:
+    """The most frequent shingles (their upper 32 bits), FREQUENT times or more, max_frequent at most."""
+    bits, least = _bucket_bits(rows), FREQUENT
+
+    def pack(batches):
+        for b in batches:
+            if b.num_rows:
+                yield _packed(np.concatenate([_token(shingles(t, k)) for t in b.column("t").to_pylist()]), bits)
+
+    def count(bucket, token, times):
+        keep = times >= least
+        return pa.RecordBatch.from_arrays([pa.array(token[keep].astype(np.int64)), pa.array(times[keep])], ["token", "times"])
+
+    counts = _by_bucket(rows.mapInArrow(pack, "bucket int, tokens binary"), count, "token long, times long")
     top = counts.orderBy(F.desc("times"), "token").limit(max_frequent).select("token").toPandas()
     return np.sort(top.token.to_numpy(np.uint32))
 
 
+def shared_map(table: DataFrame) -> np.ndarray:
+    """A bit for each value of the upper MAP_BITS bits of shingles that stand in two prefixes or more."""
+    bits = _bucket_bits(table)
+    size = 1 << (MAP_BITS - bits)
+
+    def pack(batches):
+        for b in batches:
+            if b.num_rows:
+                yield _packed(b.column("prefix").flatten().to_numpy().view(np.uint32), bits)
+
+    def mark(bucket, token, times):
+        own = np.zeros(size, np.uint8)
+        own[(token[times > 1] >> np.uint32(32 - MAP_BITS)) & np.uint32(size - 1)] = 1
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["bucket", "map"])
+
+    out = np.zeros((1 << bits, size // 8), np.uint8)
+    for r in _by_bucket(table.select("prefix").mapInArrow(pack, "bucket int, tokens binary"), mark, "bucket int, map binary").collect():
+        out[r.bucket] = np.frombuffer(r.map, np.uint8)
+    return out.ravel()
+
+
+def _listed(batches, shared: np.ndarray):
+    """token, alike, n of the prefix shingles that the map holds."""
+    for b in batches:
+        flat = b.column("prefix").flatten().to_numpy().view(np.uint32)
+        sizes = b.column("prefix").value_lengths().to_numpy()
+        at = flat >> np.uint32(32 - MAP_BITS)
+        keep = (shared[at >> np.uint32(3)] >> (7 - (at & np.uint32(7))).astype(np.uint8)) & 1
+        of = pa.array(np.repeat(np.arange(b.num_rows), sizes)[keep == 1])
+        yield pa.RecordBatch.from_arrays([pa.array(flat[keep == 1].view(np.int32)), b.column("alike").take(of), b.column("n").take(of)], ["token", "alike", "n"])
+
+
 def _prefixes(batches, frequent: np.ndarray, k: int, share: int):
     import xxhash
 
@@ -110,31 +164,45 @@ def _prefixes(batches, frequent: np.ndarray, k: int, share: int):
 
 
 def _sets(batches, k: int):
+    """a, b, side and the upper 40 bits of the shingles of each row's text, packed."""
+    last, words = None, b""
     for b in batches:
-        for s in range(0, b.num_rows, 500):
-            c = b.slice(s, 500)
-            sets = [shingles(t, k) for t in c.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([c.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "words"])
+        out = []
+        for t in b.column("t").to_pylist():
+            if t != last:
+                own = shingles(t, k) >> np.uint64(24)
+                last, words = t, (own >> np.uint64(32)).astype(np.uint8).tobytes() + own.astype("<u4").tobytes()
+            out.append(words)
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("side"), pa.array(out, pa.binary())], ["a", "b", "side", "words"])
+
+
+def _set_of(words: bytes) -> np.ndarray:
+    n = len(words) // 5
+    return (np.frombuffer(words, np.uint8, n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(words, "<u4", n, n).astype(np.uint64)
 
 
 def _similar(batches, share: int):
     for b in batches:
-        left, right = b.column("left").to_pylist(), b.column("right").to_pylist()
         keep = []
-        for x, y in zip(left, right):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= share * (len(x) + len(y) - common))
+        for ends in b.column("ends").to_pylist():
+            sides = [[_set_of(e["words"]) for e in ends if e["side"] == s] for s in (0, 1)]
+            keep.append(any(_fit(x, y, share) for x in sides[0] for y in sides[1]))
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets have the similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("words").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("words").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(lambda bs: _similar(bs, share), "a long, b long")
+def _fit(x: np.ndarray, y: np.ndarray, share: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= share * (len(x) + len(y) - common)
+
+
+def verified(pairs: DataFrame, rows: DataFrame, k: int, share: int) -> DataFrame:
+    """Those of the pairs (a, b), a written table, whose texts in rows (id, t) have the similarity."""
+    ends = pairs.select("a", "b", F.col("a").alias("id"), F.lit(0).alias("side")).union(pairs.select("a", "b", F.col("b").alias("id"), F.lit(1).alias("side")))
+    few = pairs.count() <= BROADCAST_PAIRS
+    sets = rows.join(F.broadcast(ends) if few else ends, "id").select("a", "b", "side", "t").mapInArrow(lambda bs: _sets(bs, k), "a long, b long, side int, words binary")
+    return sets.groupBy("a", "b").agg(F.collect_set(F.struct("side", "words")).alias("ends")).mapInArrow(lambda bs: _similar(bs, share), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -155,64 +223,82 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _fits(share: int):
+def _fits(share: int) -> Column:
     return 100 * F.least("n", "m") >= share * F.greatest("n", "m")
 
 
+def _enough(share: int) -> Column:
+    """Whether c shared prefix shingles let sets of n and m shingles reach the similarity."""
+    need = F.ceil(F.lit(share) * (F.col("n") + F.col("m")) / (100 + share) - 1e-9)
+    return F.col("c") + F.ceil(F.lit(share) * F.greatest("n", "m") / 100 - 1e-9) - 1 >= need
+
+
 def _with_component(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
     named = found.select(F.col("id").alias(key), "component")
     return rows.join(named, key, "left").withColumn("component", F.coalesce("component", key))
 
 
+def _mixed(members: DataFrame, key: str) -> DataFrame:
+    """Values of key whose members lie in several components."""
+    return members.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(key)
+
+
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, share: int = SHARE, max_frequent: int = MAX_FREQUENT) -> DataFrame:
     """key, n_shingles, component_id (the smallest id reachable by links)."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    frequent = spark.sparkContext.broadcast(frequent_tokens(rows, k, max_frequent))
+    frequent = context.broadcast(frequent_tokens(rows, k, max_frequent))
     table = materialize(rows.mapInArrow(lambda bs: _prefixes(bs, frequent.value, k, share), "id long, n int, sig binary, alike long, prefix array<int>"), "prefixes")
     full = table.filter("n > 0")
     # Vertices (one for each distinct set) and their groups (same prefix and size), each named by its smallest id.
-    same = full.groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("alike").alias("alike"))
-    groups = full.groupBy("alike").agg(F.min("id").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    vertices = materialize(same.join(groups.select("alike", "gid"), "alike").select("id", "n", "gid").distinct(), "vertices")
-    listed = groups.select("gid", "n", F.explode(F.array_distinct("prefix")).alias("token"))
-    shared = listed.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token")
-    lists = materialize(listed.join(shared, "token"), "lists")
-    within = vertices.filter("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))
-    needed = vertices.join(lists.select("gid").union(within.select("a")).distinct(), "gid", "left_semi").select("id").distinct()
-    sets = materialize(rows.join(needed, "id").mapInArrow(lambda bs: _sets(bs, k), "id long, words binary").distinct(), "sets")
-
-    tried, links = None, full.groupBy("sig").agg(F.min("id").alias("first")).join(full.select("sig", "id"), "sig").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    same_text = materialize(links, "same")
-    found = None
-    open_lists = lists
+    firsts = full.groupBy("sig", "alike", "n").agg(F.min("id").alias("id"))
+    groups = full.groupBy("alike").agg(F.min("id").alias("gid"))
+    vertices = materialize(firsts.join(groups, "alike").select("id", "n", "gid", "alike").distinct(), "vertices")
+    copies = firsts.select("sig", F.col("id").alias("a")).join(full.select("sig", F.col("id").alias("b")), "sig").filter("a <> b").select("a", "b").distinct()
+    shared = context.broadcast(shared_map(full))
+    listed = full.select("alike", "n", "prefix").mapInArrow(lambda bs: _listed(bs, shared.value), "token int, alike long, n int").distinct()
+    listed = materialize(listed.join(groups, "alike").select("token", "gid", "n"), "listed")
+    several = listed.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token")
+    lists = listed.join(several, "token")
+    tried = found = members = None
     for r in range(STARS):
-        ends = (F.min, F.max) if r == 0 else (F.min,)
+        lists = materialize(lists, "lists")
         order = F.struct("gid", "n") if r == 0 else F.struct(F.xxhash64("gid", "token", F.lit(r)).alias("h"), "gid", "n")
-        stars = None
-        for end in ends:
-            star = open_lists.groupBy("token").agg(end(order).alias("s")).select("token", F.col("s.gid").alias("center"), F.col("s.n").alias("m"))
-            pairs = open_lists.join(star, "token").filter((F.col("gid") != F.col("center")) & _fits(share)).select(F.least("gid", "center").alias("a"), F.greatest("gid", "center").alias("b"))
-            stars = pairs if stars is None else stars.union(pairs)
+        star = lists.groupBy("token").agg(F.min(order).alias("s")).select("token", F.col("s.gid").alias("center"), F.col("s.n").alias("m"))
+        pairs = lists.join(star, "token").filter((F.col("gid") != F.col("center")) & _fits(share))
+        # In a first round c counts the shingles whose first group is the center, which for copies are nearly all.
+        pairs = pairs.groupBy("gid", "center", "n", "m").agg(F.count(F.lit(1)).alias("c")).filter(_enough(share) if r == 0 else F.lit(True))
+        pairs = pairs.select(F.least("gid", "center").alias("a"), F.greatest("gid", "center").alias("b"))
         if r == 0:
-            stars = stars.union(within)
-        stars = stars.distinct()
-        stars = materialize(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
-        tried = stars if tried is None else tried.union(stars)
-        linked = verified(stars, sets, share)
+            pairs = pairs.union(vertices.filter("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")))
+        else:
+            pairs = _counted(lists, pairs.distinct(), share).join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs.distinct(), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        linked = verified(pairs, rows, k, share)
         found = materialize(components(linked if found is None else linked.union(found.select(F.col("component").alias("a"), F.col("id").alias("b")))), "components")
         members = _with_component(vertices, found, "id")
-        kinds = members.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        mixed = open_lists.join(kinds, "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("token")
-        open_lists = materialize(open_lists.join(mixed, "token"), "lists")
-    # Shingles whose vertices lie in several components: all pairs across them.
-    at = open_lists.select("token", "gid").join(members, "gid").select("token", "id", "n", "component")
-    lone = members.join(members.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gid"), "gid")
-    at = at.union(lone.select(F.xxhash64("gid", F.lit("group")).alias("token"), "id", "n", "component"))
-    other = at.select("token", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("there"))
-    pairs = at.join(other, "token").filter((F.col("component") < F.col("there")) & _fits(share)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    rest = verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, share)
-    found = components(rest.union(found.select(F.col("component").alias("a"), F.col("id").alias("b"))).union(same_text))
+        lists = lists.join(_mixed(lists.join(members.select("gid", "component"), "gid"), "token"), "token")
+    # What is left: shingles and groups whose vertices lie in several components.
+    lists = materialize(lists, "lists")
+    kinds = members.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    at = lists.join(kinds, "gid")
+    other = at.select("token", F.col("gid").alias("other"), F.col("n").alias("m"), F.col("low").alias("low_2"), F.col("high").alias("high_2"))
+    pairs = at.join(other, "token").filter((F.col("gid") < F.col("other")) & _fits(share) & ~((F.col("low") == F.col("high")) & (F.col("low_2") == F.col("high_2")) & (F.col("low") == F.col("low_2"))))
+    pairs = pairs.groupBy("gid", "other", "n", "m").agg(F.count(F.lit(1)).alias("c")).filter(_enough(share)).select("gid", "other")
+    pairs = pairs.union(_mixed(members, "gid").select("gid", F.col("gid").alias("other")))
+    x = members.select("gid", F.col("id").alias("x"), F.col("component").alias("cx"))
+    y = members.select(F.col("gid").alias("other"), F.col("id").alias("y"), F.col("component").alias("cy"))
+    pairs = pairs.join(x, "gid").join(y, "other").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest = verified(materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), rows, k, share)
+    found = components(rest.union(found.select(F.col("component").alias("a"), F.col("id").alias("b"))).union(copies))
     out = _with_component(table.select("id", "n"), found, "id")
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("id").cast(docs.schema[key].dataType).alias(key), F.col("n").cast("long").alias("n_shingles"), back("component").alias("component_id"))
+
+
+def _counted(lists: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
+    """Those of pairs (a, b) of groups that share enough prefix shingles."""
+    left = lists.select("token", F.col("gid").alias("a"), "n")
+    right = lists.select("token", F.col("gid").alias("b"), F.col("n").alias("m"))
+    return pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c")).filter(_enough(share)).select("a", "b")
