@@ -9,9 +9,9 @@ counted and sent once. In a shard the stretches are concatenated and their suffi
 a pass over the buckets in numpy), with common prefixes of neighbours in text order (PLCP) by way of the irreducible
 ones. Neighbours that share `length` bytes are repeats.
 
-A minimiser in many different stretches, as inside a passage that many documents quote, would make a hot shard. Its
-windows are dealt again by a longer k (fewer windows a minimiser), at last by k = length, where a minimiser is the
-window itself and all its stretches are equal. This is exact at each step and bounds every shard.
+A minimiser in many different stretches, as inside a passage that many documents quote, would make a hot shard. If they
+have more than `hot` bytes, the different stretches, each once with its number of places, are dealt again by a longer k (fewer windows a minimiser),
+at last by k = length, where a minimiser is the window itself. This is exact at each step and bounds every shard.
 
 Edge cases: null texts count as empty; texts shorter than `length` keep everything; matches never cross documents;
 repeated rows are copies of each other and lose all that is long enough; an empty table gives an empty one; other
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from basketgraph.llm.common import materialize, mix
 
-LENGTH, GRAMS, HOT, SHARD_BYTES, MAX_STRETCH = 400, (64, 352), 256, 1 << 20, 4096
+LENGTH, GRAMS, HOT_BYTES, SHARD_BYTES, MAX_STRETCH = 400, (64, 352), 1 << 20, 1 << 17, 4096
 _B = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -95,37 +95,60 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     """Suffixes of t in order, by induced sorting; t holds 0 to sigma - 1 and ends in its only 0."""
     n = len(t)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     # Types: a suffix is smaller (S) or larger (L) than the next; in a run of equal symbols that at the run's end holds.
     change = np.flatnonzero(t[1:] != t[:-1])
     small_at = t[change] < t[change + 1]
     runs = np.diff(np.concatenate([[-1], change, [n - 1]]))
     small = np.repeat(np.append(small_at, True), runs)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     counts = np.bincount(t, minlength=sigma)
     ends = np.cumsum(counts)
     heads = ends - counts
-    sa = _induce(t, small, lms, heads, ends)
-    # Name leftmost-smaller substrings in the order found.
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = sa[is_lms[sa]]
-    if len(lms) > 1:
-        stop = np.append(lms[1:], n - 1)  # a substring runs to the next one, inclusive
-        size = np.zeros(n, np.int64)
+    stop = np.append(lms[1:], n - 1)  # a leftmost-smaller substring runs to the next one, inclusive
+    if len(lms) == 1:
+        return _induce(t, small, lms, heads, ends)
+    if _many(counts) and sigma < 1 << 20:
+        order, differs = _sort_directly(t, lms, stop)
+    else:
+        sa = _induce(t, small, lms, heads, ends)
+        is_lms = np.zeros(n, bool)
+        is_lms[lms] = True
+        order = sa[is_lms[sa]]
+        size = np.zeros(n, np.int32)
         size[lms] = stop - lms + 1
         differs = _differ(t, order[:-1], order[1:], size)
-        names = np.empty(n, np.int64)
-        names[order] = np.concatenate([[0], np.cumsum(differs)])
-        reduced = names[lms]
-        kinds = int(reduced.max()) + 1
-        if kinds < len(lms):
-            order = lms[suffix_array(reduced, kinds)]
-        else:
-            order = np.empty(len(lms), np.int64)
-            order[reduced] = lms
-        sa = _induce(t, small, order, heads, ends)
-    return sa
+    # Name the substrings in order; where names recur, the string of names is sorted in the same way.
+    names = np.empty(n, np.int32)
+    names[order] = np.concatenate([[0], np.cumsum(differs)])
+    reduced = names[lms]
+    kinds = int(reduced.max()) + 1
+    if kinds < len(lms):
+        order = lms[suffix_array(reduced, kinds)]
+    return _induce(t, small, order, heads, ends)
+
+
+def _many(counts: np.ndarray) -> bool:
+    """Whether buckets are so many and small that a pass over each in numpy is slower than one over all symbols."""
+    return np.count_nonzero(counts) > counts.sum() // 50
+
+
+def _sort_directly(t: np.ndarray, lms: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leftmost-smaller substrings in order, and where one differs from the one before: two symbols at a time.
+
+    They are short where the alphabet is large. Past its end a substring compares as larger: where another goes on,
+    that one is of the larger type there, which comes first.
+    """
+    rank = t[lms].astype(np.int64)
+    size = stop - lms + 1
+    for step in range(1, int(size.max()) + 1, 2):
+        key = rank << 42
+        for j in (0, 1):
+            inside = size > step + j
+            key |= np.where(inside, t[np.minimum(lms + step + j, stop)].astype(np.int64), np.int64((1 << 21) - 1)) << (21 * (1 - j))
+        _, rank = np.unique(key, return_inverse=True)
+    by = np.argsort(rank, kind="stable")
+    return lms[by], rank[by][1:] != rank[by][:-1]
 
 
 def _differ(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -146,13 +169,13 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, heads: np.ndarray
     """Sorts all suffixes from leftmost-smaller ones in (their substrings') order: larger ones forwards, smaller ones backwards."""
     n, sigma = len(t), len(heads)
     used = np.flatnonzero(ends > heads).tolist()
-    if len(used) > n // 50:
+    if _many(ends - heads):
         return _induce_one_by_one(t, small, lms, heads, ends)
     of = t[lms]
     by = np.argsort(of, kind="stable")
     at = np.searchsorted(of[by], np.arange(sigma + 1))
     seeds = lms[by]
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     top = heads.copy()
     for c in used:  # larger suffixes, from the smallest bucket on
         done = heads[c]
@@ -193,7 +216,7 @@ def _induce_one_by_one(t: np.ndarray, small: np.ndarray, lms: np.ndarray, heads:
         if j >= 0 and is_small[j]:
             edge[symbols[j]] -= 1
             sa[edge[symbols[j]]] = j
-    return np.array(sa)
+    return np.array(sa, np.int32)
 
 
 def _place(t: np.ndarray, small: np.ndarray, before: np.ndarray, sa: np.ndarray, edge: np.ndarray, want_small: bool) -> None:
@@ -223,14 +246,14 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     can't be so reduced, are compared directly.
     """
     n = len(t)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = n - 1
-    i = np.arange(n)
+    i = np.arange(n, dtype=np.int32)
     hard = np.ones(n, bool)
     hard[1:] = (t[:-1] != t[before[1:] - 1]) | (before[1:] == 0)
     hard[sa[0]] = True
-    plcp = np.zeros(n, np.int64)
+    plcp = np.zeros(n, np.int32)
     live = np.flatnonzero(hard)
     live = live[live != sa[0]]
     while len(live):
@@ -246,8 +269,8 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
 def repeated_starts(texts: list[bytes], times: list[int], length: int) -> list[list[tuple[int, int]]]:
     """For each text, which stands for `times` places, spans of starts whose `length` bytes stand somewhere else too."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    t = np.zeros(sizes.sum() + 1, np.int64)
-    t[:-1] = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 2
+    t = np.zeros(sizes.sum() + 1, np.int16)
+    t[:-1] = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + 2
     ends = np.cumsum(sizes) - 1
     t[ends] = 1  # between texts; the one 0 ends all
     of = np.repeat(np.arange(len(texts)), sizes)
@@ -271,35 +294,29 @@ def repeated_starts(texts: list[bytes], times: list[int], length: int) -> list[l
 
 # On Spark
 
-_STRETCH = "minimiser long, stretch long, id long, th long, first int, last int, recurs boolean"
+_STRETCH = "minimiser long, stretch long, a long, b long, times long, first int, last int, at array<int>, recurs boolean"
 _RUN = "array<struct<first:int,last:int>>"
 
 
-def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Each text with hashes that name it: of its key and of itself."""
-    return docs.select(F.xxhash64(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-
-
 def _stretch_rows(batches, k: int, length: int):
+    """Stretches of texts (bytes raw, named a and b, in `times` places); equal ones of a text are one row, which says where they begin."""
     import xxhash
 
     for b in batches:
-        spans = b.column("spans").to_pylist() if "spans" in b.schema.names else None
         for s in range(0, b.num_rows, 200):
-            got: list[tuple] = []
-            for i in range(s, min(s + 200, b.num_rows)):
-                raw = b.column("t")[i].as_py().encode()
-                own = None if spans is None else [(x["first"], x["last"]) for x in spans[i]]
-                got += [(m, xxhash.xxh3_64_intdigest(raw[f : z + length]), i, f, z, r) for m, f, z, r in stretches(raw, k, length, own)]
+            c = b.slice(s, 200)
+            got = []
+            for i, (raw, times) in enumerate(zip(c.column("raw").to_pylist(), c.column("times").to_pylist())):
+                own: dict[tuple, list] = {}
+                for m, f, z, r in stretches(raw, k, length):
+                    row = own.setdefault((m, xxhash.xxh3_64_intdigest(raw[f : z + length])), [f, z, r, []])
+                    row[3].append(f)
+                got += [(m, h, i, times * len(at), f, z, at, r) for (m, h), (f, z, r, at) in own.items()]
             if not got:
                 continue
-            m, c, i, f, z, r = zip(*got)
-            at = pa.array(i, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(m, np.uint64).view(np.int64)), pa.array(np.array(c, np.uint64).view(np.int64)), b.column("id").take(at), b.column("th").take(at), pa.array(f, pa.int32()), pa.array(z, pa.int32()), pa.array(r)], ["minimiser", "stretch", "id", "th", "first", "last", "recurs"])
-
-
-def _by_text(spans: DataFrame, *columns: str) -> DataFrame:
-    return spans.groupBy("id", "th").agg(F.collect_list(F.struct(*columns)).alias("spans"))
+            m, h, i, n, f, z, at, r = zip(*got)
+            of = pa.array(i, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(m, np.uint64).view(np.int64)), pa.array(np.array(h, np.uint64).view(np.int64)), c.column("a").take(of), c.column("b").take(of), pa.array(n, pa.int64()), pa.array(f, pa.int32()), pa.array(z, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(r)], ["minimiser", "stretch", "a", "b", "times", "first", "last", "at", "recurs"])
 
 
 def _sorted_shards(batches, length: int):
@@ -327,43 +344,61 @@ def _sorted_shards(batches, length: int):
 def _fetched(batches, length: int):
     for b in batches:
         for s in range(b.num_rows):
-            raw = b.column("t")[s].as_py().encode()
-            own = b.column("spans")[s].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array([x["minimiser"] for x in own], pa.int64()), pa.array([x["stretch"] for x in own], pa.int64()), pa.array([x["times"] for x in own], pa.int64()), pa.array([raw[x["first"] : x["last"] + length] for x in own], pa.binary())], ["minimiser", "stretch", "times", "bytes"])
-
-
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, grams=GRAMS, hot: int = HOT) -> DataFrame:
-    """id, th (hashes of key and text) and spans of starts of repeated strings, unmerged."""
-    rows = _rows(docs, key, text)
-    candidates, stand_ins, todo = [], [], None
-    for k in (*grams, length):
-        source = rows.filter(F.octet_length("t") >= length) if todo is None else rows.join(todo, ["id", "th"])
-        found = materialize(source.mapInArrow(lambda bs, k=k: _stretch_rows(bs, k, length), _STRETCH), "stretches")
-        seen = found.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"), F.max("recurs").alias("recurs")).filter("n > 1 or recurs").select("minimiser")
-        found = materialize(found.join(seen, "minimiser").drop("recurs"), "candidates")
-        distinct = found.groupBy("minimiser", "stretch").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "th", "first", "last")).alias("at"))
-        kinds = distinct.groupBy("minimiser").agg(F.count(F.lit(1)).alias("kinds"))
-        crowded = kinds.filter(F.col("kinds") > hot).select("minimiser") if k != length else None
-        small = kinds.select("minimiser") if crowded is None else kinds.filter(F.col("kinds") <= hot).select("minimiser")
-        stand_ins.append(distinct.join(small, "minimiser").select("minimiser", "stretch", "times", "at.*"))
-        candidates.append(found)
-        if crowded is None or crowded.isEmpty():
-            break
-        todo = materialize(_by_text(found.join(crowded, "minimiser"), "first", "last"), "crowded")
-    chosen, everywhere = stand_ins[0], candidates[0]
-    for more in stand_ins[1:]:
-        chosen = chosen.unionByName(more)
-    for more in candidates[1:]:
-        everywhere = everywhere.unionByName(more)
-    wanted = _by_text(chosen, "minimiser", "stretch", "times", "first", "last")
-    # A text that stands in several rows under one key would give its stretches several times.
-    once = rows.join(wanted, ["id", "th"])
-    texts = once.mapInArrow(lambda bs: _fetched(bs, length), "minimiser long, stretch long, times long, bytes binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sharded = texts.repartition(n, "minimiser").sortWithinPartitions("minimiser", "stretch")
+            raw, own = b.column("raw")[s].as_py(), b.column("wanted")[s].as_py()
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in own], pa.int64()) for c in ("minimiser", "stretch", "times")), pa.array([raw[x["first"] : x["last"] + length] for x in own], pa.binary())], ["minimiser", "stretch", "times", "bytes"])
+
+
+def _stretch_texts(texts: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
+    """minimiser, stretch, times, bytes of the chosen stretches."""
+    wanted = chosen.groupBy("a", "b").agg(F.collect_list(F.struct("minimiser", "stretch", "times", "first", "last")).alias("wanted"))
+    return texts.join(wanted, ["a", "b"]).mapInArrow(lambda bs: _fetched(bs, length), "minimiser long, stretch long, times long, bytes binary")
+
+
+def _resolve(texts: DataFrame, grams: tuple, length: int, hot: int) -> DataFrame:
+    """a, b, spans of starts of repeated strings in texts (a, b, times, raw)."""
+    k = grams[0]
+    found = materialize(texts.filter(F.octet_length("raw") >= length).mapInArrow(lambda bs: _stretch_rows(bs, k, length), _STRETCH), "stretches")
+    seen = found.groupBy("minimiser").agg(F.sum("times").alias("n"), F.max("recurs").alias("recurs")).filter("n > 1 or recurs").select("minimiser")
+    found = materialize(found.join(seen, "minimiser").drop("recurs"), "candidates")
+    distinct = found.groupBy("minimiser", "stretch").agg(F.sum("times").alias("times"), F.min(F.struct("a", "b", "first", "last")).alias("x")).select("minimiser", "stretch", "times", "x.*")
+    chosen, crowded = distinct, None
+    if len(grams) > 1:
+        crowded = distinct.groupBy("minimiser").agg(F.sum(F.col("last") - F.col("first") + length).alias("size")).filter(F.col("size") > hot).select("minimiser")
+        crowded = materialize(distinct.join(crowded, "minimiser"), "crowded")
+        chosen = distinct.join(crowded.select("minimiser").distinct(), "minimiser", "left_anti")
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sharded = _stretch_texts(texts, chosen, length).repartition(n, "minimiser").sortWithinPartitions("minimiser", "stretch")
     marks = sharded.mapInArrow(lambda bs: _sorted_shards(bs, length), f"minimiser long, stretch long, runs {_RUN}")
-    spans = everywhere.join(marks, ["minimiser", "stretch"]).select("id", "th", F.explode(F.transform("runs", lambda r: F.struct((F.col("first") + r["first"]).alias("first"), (F.col("first") + r["last"]).alias("last")))).alias("s")).select("id", "th", "s.*")
-    return _by_text(spans, "first", "last")
+    if crowded is not None and not crowded.isEmpty():
+        again = _stretch_texts(texts, crowded, length).select(F.col("minimiser").alias("a"), F.col("stretch").alias("b"), "times", F.col("bytes").alias("raw"))
+        inner = _resolve(materialize(again, "again"), grams[1:], length, hot)
+        marks = marks.unionByName(inner.select(F.col("a").alias("minimiser"), F.col("b").alias("stretch"), F.col("spans").alias("runs")))
+    hits = found.select("minimiser", "stretch", "a", "b", "at").join(marks, ["minimiser", "stretch"])
+    moved = F.flatten(F.transform("at", lambda f: F.transform("runs", lambda r: F.struct((f + r["first"]).alias("first"), (f + r["last"]).alias("last")))))
+    grouped = hits.select("a", "b", moved.alias("spans")).groupBy("a", "b").agg(F.collect_list("spans").alias("spans"))
+    return grouped.mapInArrow(_merged, f"a long, b long, spans {_RUN}")
+
+
+def _merged(batches):
+    """Spans of starts without overlaps."""
+    for b in batches:
+        out = []
+        for parts in b.column("spans").to_pylist():
+            own: list[dict] = []
+            for f, z in sorted({(x["first"], x["last"]) for p in parts for x in p}):
+                if own and f <= own[-1]["last"] + 1:
+                    own[-1]["last"] = max(own[-1]["last"], z)
+                else:
+                    own.append({"first": f, "last": z})
+            out.append(own)
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], ["a", "b", "spans"])
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, grams=GRAMS, hot: int = HOT_BYTES) -> DataFrame:
+    """a, b (hashes of key and text) and spans of starts of repeated strings."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.xxhash64(key).alias("a"), F.xxhash64(t).alias("b"), F.lit(1).cast("long").alias("times"), t.cast("binary").alias("raw"))
+    return _resolve(texts, (*grams, length), length, hot)
 
 
 def covered(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -383,7 +418,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     With as_text kept is a string, without the characters that a removal cuts through.
     """
     spans = repeated_spans(docs, key, text, length, **options)
-    rows = docs.select(F.col(key).alias("key"), *columns, F.coalesce(F.col(text), F.lit("")).alias("t"), F.xxhash64(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
+    rows = docs.select(F.col(key).alias("key"), *columns, F.coalesce(F.col(text), F.lit("")).alias("t"), F.xxhash64(key).alias("a"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("b"))
     keep = ["key", *columns]
 
     def run(batches):
@@ -400,5 +435,5 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*keep, "text_bytes", "kept", "removed"])
 
     own = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in columns)
-    joined = rows.join(spans, ["id", "th"], "left").select(*keep, "t", "spans")
+    joined = rows.join(spans, ["a", "b"], "left").select(*keep, "t", "spans")
     return joined.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, {own}text_bytes long, kept {"string" if as_text else "binary"}, removed array<struct<start:long,end:long>>").withColumnRenamed("key", key)
