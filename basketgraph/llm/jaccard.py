@@ -8,7 +8,8 @@ pairs, whose members are verified on their whole sets.
 
 Only components are asked for, so pairs within one component need no check. First come stars, rounds of pairs of each
 group with one representative of each shingle's groups (and of each member with its group's first), whose number is
-linear in a shingle's groups; their verified links are merged. What is left are shingles whose groups lie in several
+linear in a shingle's groups; their verified links are merged, and later rounds only pair across components, with
+other representatives. What is left are shingles whose groups lie in several
 components: of those all pairs across components are filtered and verified. No link is lost, and large groups of near
 copies don't give all their pairs.
 
@@ -27,12 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from basketgraph.llm.common import LOWER, gram_hashes, materialize, mix, word_hashes
 
 K, SHARE, MAX_FREQUENT, FREQUENT, STARS = 5, 80, 500_000, 8, 2
 #: Bits of the map of shared shingles (8 MB), and pairs up to which their ends are broadcast (16 MB).
 MAP_BITS, BROADCAST_PAIRS = 26, 500_000
+#: Sizes whose ratio is at least this are nearly one.
+NEAR = 0.95
 NO_ID = (1 << 63) - 1
 
 
@@ -95,9 +99,9 @@ def frequent_tokens(rows: DataFrame, k: int, max_frequent: int) -> np.ndarray:
     bits, least = _bucket_bits(rows), FREQUENT
 
     def pack(batches):
-        for b in batches:
-            if b.num_rows:
-                yield _packed(np.concatenate([_token(shingles(t, k)) for t in b.column("t").to_pylist()]), bits)
+        for whole in batches:
+            for s in range(0, whole.num_rows, 4000):
+                yield _packed(np.concatenate([_token(shingles(t, k)) for t in whole.column("t").slice(s, 4000).to_pylist()]), bits)
 
     def count(bucket, token, times):
         keep = times >= least
@@ -227,6 +231,11 @@ def _fits(share: int) -> Column:
     return 100 * F.least("n", "m") >= share * F.greatest("n", "m")
 
 
+def _apart() -> Column:
+    """Whether two groups are not all of one component."""
+    return ~((F.col("low") == F.col("high")) & (F.col("low_2") == F.col("high_2")) & (F.col("low") == F.col("low_2")))
+
+
 def _enough(share: int) -> Column:
     """Whether c shared prefix shingles let sets of n and m shingles reach the similarity."""
     need = F.ceil(F.lit(share) * (F.col("n") + F.col("m")) / (100 + share) - 1e-9)
@@ -260,32 +269,39 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     listed = materialize(listed.join(groups, "alike").select("token", "gid", "n"), "listed")
     several = listed.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token")
     lists = listed.join(several, "token")
-    tried = found = members = None
+    tried = found = members = kinds = None
     for r in range(STARS):
         lists = materialize(lists, "lists")
-        order = F.struct("gid", "n") if r == 0 else F.struct(F.xxhash64("gid", "token", F.lit(r)).alias("h"), "gid", "n")
-        star = lists.groupBy("token").agg(F.min(order).alias("s")).select("token", F.col("s.gid").alias("center"), F.col("s.n").alias("m"))
-        pairs = lists.join(star, "token").filter((F.col("gid") != F.col("center")) & _fits(share))
-        # In a first round c counts the shingles whose first group is the center, which for copies are nearly all.
-        pairs = pairs.groupBy("gid", "center", "n", "m").agg(F.count(F.lit(1)).alias("c")).filter(_enough(share) if r == 0 else F.lit(True))
-        pairs = pairs.select(F.least("gid", "center").alias("a"), F.greatest("gid", "center").alias("b"))
+        at = lists if r == 0 else lists.join(kinds, "gid")
+        own = ["gid", "n"] if r == 0 else ["gid", "n", "low", "high"]
+        order = F.struct(*own) if r == 0 else F.struct(F.xxhash64("gid", "token", F.lit(r)).alias("h"), *own)
+        star = at.groupBy("token").agg(F.min(order).alias("s")).select("token", F.col("s.gid").alias("center"), F.col("s.n").alias("m"), *([] if r == 0 else [F.col("s.low").alias("low_2"), F.col("s.high").alias("high_2")]))
+        pairs = at.join(star, "token").filter((F.col("gid") != F.col("center")) & _fits(share) & (F.lit(True) if r == 0 else _apart()))
+        pairs = pairs.select(F.least("gid", "center").alias("a"), F.greatest("gid", "center").alias("b")).distinct()
+        pairs = _counted(lists, pairs, share)
         if r == 0:
-            pairs = pairs.union(vertices.filter("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")))
+            pairs = pairs.union(vertices.filter("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))).distinct()
         else:
-            pairs = _counted(lists, pairs.distinct(), share).join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs.distinct(), "pairs")
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if r > 0 and pairs.isEmpty():
+            break
         tried = pairs if tried is None else tried.union(pairs)
         linked = verified(pairs, rows, k, share)
         found = materialize(components(linked if found is None else linked.union(found.select(F.col("component").alias("a"), F.col("id").alias("b")))), "components")
         members = _with_component(vertices, found, "id")
+        kinds = members.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         lists = lists.join(_mixed(lists.join(members.select("gid", "component"), "gid"), "token"), "token")
     # What is left: shingles and groups whose vertices lie in several components.
     lists = materialize(lists, "lists")
-    kinds = members.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     at = lists.join(kinds, "gid")
-    other = at.select("token", F.col("gid").alias("other"), F.col("n").alias("m"), F.col("low").alias("low_2"), F.col("high").alias("high_2"))
-    pairs = at.join(other, "token").filter((F.col("gid") < F.col("other")) & _fits(share) & ~((F.col("low") == F.col("high")) & (F.col("low_2") == F.col("high_2")) & (F.col("low") == F.col("low_2"))))
-    pairs = pairs.groupBy("gid", "other", "n", "m").agg(F.count(F.lit(1)).alias("c")).filter(_enough(share)).select("gid", "other")
+    # Groups of nearly one size share several shingles, so each can leave out its most listed ones but for one.
+    listed = lists.groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
+    nth = F.row_number().over(W.partitionBy("gid").orderBy(F.desc("groups"), F.desc("token")))
+    short = at.join(listed, "token").withColumn("nth", nth).filter(F.col("nth") > F.floor(F.col("n") * (200 * share / (100 + share) - share - 100 * (1 - NEAR) * share / (100 + share)) / 100) - 1).drop("groups", "nth")
+    close = F.least("n", "m") >= NEAR * F.greatest("n", "m")
+    pairs = _meet(short, close).union(_meet(at, _fits(share) & ~close)).distinct()
+    pairs = _counted(lists, pairs, share).select(F.col("a").alias("gid"), F.col("b").alias("other"))
     pairs = pairs.union(_mixed(members, "gid").select("gid", F.col("gid").alias("other")))
     x = members.select("gid", F.col("id").alias("x"), F.col("component").alias("cx"))
     y = members.select(F.col("gid").alias("other"), F.col("id").alias("y"), F.col("component").alias("cy"))
@@ -297,8 +313,15 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return out.select(back("id").cast(docs.schema[key].dataType).alias(key), F.col("n").cast("long").alias("n_shingles"), back("component").alias("component_id"))
 
 
+def _meet(at: DataFrame, fits: Column) -> DataFrame:
+    """Pairs a < b of groups not all of one component that share a listed shingle and fit."""
+    other = at.select("token", F.col("gid").alias("other"), F.col("n").alias("m"), F.col("low").alias("low_2"), F.col("high").alias("high_2"))
+    return at.join(other, "token").filter((F.col("gid") < F.col("other")) & fits & _apart()).select(F.col("gid").alias("a"), F.col("other").alias("b"))
+
+
 def _counted(lists: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
     """Those of pairs (a, b) of groups that share enough prefix shingles."""
-    left = lists.select("token", F.col("gid").alias("a"), "n")
-    right = lists.select("token", F.col("gid").alias("b"), F.col("n").alias("m"))
-    return pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c")).filter(_enough(share)).select("a", "b")
+    own = lists.groupBy("gid", "n").agg(F.collect_set("token").alias("tokens"))
+    left = own.select(F.col("gid").alias("a"), "n", F.col("tokens").alias("x"))
+    right = own.select(F.col("gid").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
+    return pairs.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("x", "y"))).filter(_enough(share)).select("a", "b")
