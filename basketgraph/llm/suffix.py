@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from basketgraph.llm.common import materialize, mix
 
-LENGTH, GRAMS, HOT_BYTES, SHARD_BYTES, MAX_STRETCH = 400, (64, 352), 1 << 20, 1 << 17, 4096
+LENGTH, GRAMS, HOT_BYTES, SHARD_BYTES, MAX_STRETCH = 400, (64, 352), 1 << 20, 1 << 19, 4096
 _B = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -254,14 +254,24 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     hard[1:] = (t[:-1] != t[before[1:] - 1]) | (before[1:] == 0)
     hard[sa[0]] = True
     plcp = np.zeros(n, np.int32)
+    # Four symbols at a time while they are the same, then one at a time.
+    t = np.ascontiguousarray(t, np.int16)
+    fours = np.lib.stride_tricks.as_strided(t.view(np.int64) if n % 4 == 0 else np.append(t, np.zeros(4 - n % 4, np.int16)).view(np.int64), (max(n - 3, 0),), (2,))
     live = np.flatnonzero(hard)
-    live = live[live != sa[0]]
+    rest = live = live[live != sa[0]]
+    x, y = live, before[live]
     while len(live):
-        x, y = live + plcp[live], before[live] + plcp[live]
-        same = np.minimum(x, y) < n
-        same[same] = (np.maximum(x, y)[same] < n) & (t[np.minimum(x[same], n - 1)] == t[np.minimum(y[same], n - 1)])
-        live = live[same]
-        plcp[live] += 1
+        inside = np.maximum(x, y) + 4 <= n
+        live, x, y = live[inside], x[inside], y[inside]
+        same = fours[x] == fours[y]
+        live, x, y = live[same], x[same] + 4, y[same] + 4
+        plcp[live] += 4
+    while len(rest):
+        x, y = rest + plcp[rest], before[rest] + plcp[rest]
+        inside = np.maximum(x, y) < n
+        rest, x, y = rest[inside], x[inside], y[inside]
+        rest = rest[t[x] == t[y]]
+        plcp[rest] += 1
     anchor = np.maximum.accumulate(np.where(hard, i, 0))
     return np.maximum(plcp[anchor] - (i - anchor), 0)
 
