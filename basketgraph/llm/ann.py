@@ -108,8 +108,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def neighbours(table: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", max_sample: int = MAX_SAMPLE, trees: int = TREES, leaf: int = LEAF, share: float = SHARE) -> DataFrame:
     """query_id, rank, key, score: for each row for which `queries` holds, its k nearest by inner product."""
     spark = table.sparkSession
-    rows = table.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = table.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    kind = table.schema[vector].dataType.simpleString()
     empty = f"query_id long, rank int, {key} long, score double"
     if sizes is None:
         return spark.createDataFrame([], empty)
@@ -119,23 +120,26 @@ def neighbours(table: DataFrame, queries: Column, k: int = 20, key: str = "vec_i
     first = rows.select("id", "v").distinct().withColumn("nth", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("nth") <= k + 1)
     points = first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("point", F.element_at("ids", 1))
     picked = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, max_sample / n)).select("v").distinct().limit(2 * max_sample).toPandas()
-    sample = np.array(picked.v.tolist()) if len(picked) else np.zeros((1, d))
+    sample = np.array(picked.v.tolist(), float) if len(picked) else np.zeros((1, d))
     shared = spark.sparkContext.broadcast(_state(Forest(sample, trees, max(8, leaf))))
 
     def file(batches):
         forest = _forest(shared.value)
-        for b in batches:
-            at = forest.leaves(_matrix(b.column("v")))
-            of = pa.array(np.repeat(np.arange(b.num_rows), forest.trees))
-            yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), b.column("point").take(of), b.column("v").take(of)], ["leaf", "point", "v"])
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1000):
+                b = whole.slice(s, 1000)
+                at = forest.leaves(_matrix(b.column("v")))
+                of = pa.array(np.repeat(np.arange(b.num_rows), forest.trees))
+                yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), b.column("point").take(of), b.column("v").take(of)], ["leaf", "point", "v"])
 
     def ask(batches):
         forest = _forest(shared.value)
-        for b in batches:
-            x = _matrix(b.column("v"))
-            found = [forest.search(q, share) for q in x]
-            of = pa.array(np.repeat(np.arange(b.num_rows), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), b.column("id").take(of), b.column("v").take(of)], ["leaf", "query", "v"])
+        for whole in batches:
+            for s in range(0, whole.num_rows, 16):  # a query goes to hundreds of leaves
+                b = whole.slice(s, 16)
+                found = [forest.search(q, share) for q in _matrix(b.column("v"))]
+                of = pa.array(np.repeat(np.arange(b.num_rows), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), b.column("id").take(of), b.column("v").take(of)], ["leaf", "query", "v"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -153,8 +157,8 @@ def neighbours(table: DataFrame, queries: Column, k: int = 20, key: str = "vec_i
         a, b, c = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return pa.table({"query": a, "point": b, "score": c})
 
-    filed = points.select("point", "v").mapInArrow(file, "leaf long, point long, v array<double>")
-    asked = rows.filter("asks").select("id", "v").distinct().mapInArrow(ask, "leaf long, query long, v array<double>")
+    filed = points.select("point", "v").mapInArrow(file, f"leaf long, point long, v {kind}")
+    asked = rows.filter("asks").select("id", "v").distinct().mapInArrow(ask, f"leaf long, query long, v {kind}")
     met = filed.groupBy("leaf").cogroup(asked.groupBy("leaf")).applyInArrow(meet, "query long, point long, score double")
     near = met.groupBy("query", "point").agg(F.max("score").alias("score"))
     near = near.withColumn("nth", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "point"))).filter(F.col("nth") <= k + 1)
