@@ -1,10 +1,14 @@
 """Masked pseudo-likelihood scores from a window network that sees both sides of each word.
 
-The vocabulary is made of the most frequent words, counted over the whole corpus, and of buckets for all others. The
+The vocabulary holds each word that makes up `SHARE` of all tokens (`LEAST` times or more, and the `FIRST` most
+frequent words in any case), so it follows the counts over the whole corpus; all other words are in buckets. The
 network adds projections of the embeddings of `REACH` words on either side, and gives the word's class, then the
-word in its class (two short softmaxes). It is trained in numpy on a sample bounded by `max_chars` characters (whole
-documents picked by a hash of their text). Every token of every document is then predicted from its neighbours; a
-document's score is the sum of the log-probabilities, and their mean.
+word in its class (two short softmaxes). It is trained in numpy on all texts: each task takes the parameters through
+its own partition, and after an epoch they are averaged by tokens, in blocks, through a written table. Every token of
+every document is then predicted from its neighbours; a document's score is the sum of the log-probabilities, and
+their mean. A word outside the vocabulary has its share of its bucket's probability, from the counts of the whole
+corpus; one count of each bucket is left to words that the corpus doesn't hold. The counts of the more frequent of
+these words are broadcast, those of the others joined to the documents; a word met once needs none.
 
 Edge cases: null and empty texts have no tokens, sum 0 and mean 0; neighbours beyond a text's ends are a mark of
 their own; ties in counts go to the smaller word; repeated rows give a row each; on an empty table nothing is
@@ -13,15 +17,20 @@ trained and the result is empty; other columns are left out.
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketgraph.llm.common import LOWER, WordHashes, cached, worker_cache
+from basketgraph.llm.common import LOWER, WordHashes, cached, materialize, word_hashes, worker_cache
 
-CLASSES, IN_CLASS, BUCKETS, REACH, WIDTH, HIDDEN, MAX_CHARS = 32, 32, 64, 2, 24, 32, 1_500_000
-SIZE = CLASSES * IN_CLASS
+BUCKETS, REACH, WIDTH, HIDDEN = 64, 2, 24, 32
+SHARE, LEAST, FIRST = 50_000, 5, 960
+#: Counts that are broadcast, tokens that a task trains on at once and at least, and values in a block of parameters.
+KNOWN, CHUNK, TASK_TOKENS, BLOCK = 200_000, 65_536, 100_000, 4096
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 
 
@@ -30,13 +39,13 @@ def words_of(text: str) -> list[bytes]:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """word, n over all texts; each task adds its own up first."""
+    """word, h (its hash), n over all texts; each task adds its own up first."""
 
     def count(batches):
         from collections import Counter
 
         def rows_of(got):
-            return pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(word_hashes(list(got)).view(np.int64)), pa.array(list(got.values()), pa.int64())], ["word", "h", "n"])
 
         got: Counter = Counter()
         for b in batches:
@@ -47,7 +56,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 got = Counter()
         yield rows_of(got)
 
-    return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "word binary, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
 
 
 class Ids(dict):
@@ -55,9 +64,15 @@ class Ids(dict):
 
     def __init__(self, words: list[bytes]):
         super().__init__((w, i) for i, w in enumerate(words))
+        self.size = classes_of(len(words)) ** 2
 
     def __missing__(self, word: bytes) -> int:
-        return SIZE - BUCKETS + cached("words", WordHashes)[word] % BUCKETS
+        return self.size - BUCKETS + cached("words", WordHashes)[word] % BUCKETS
+
+
+def classes_of(n_words: int) -> int:
+    """Classes, and words in a class, that hold the vocabulary and the buckets."""
+    return math.isqrt(n_words + BUCKETS - 1) + 1
 
 
 def padded_ids(texts: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +81,7 @@ def padded_ids(texts: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.n
     sizes = np.array([len(s) for s in split], np.int64)
     flat = np.fromiter((i for s in split for i in map(ids.__getitem__, s)), np.int64, sizes.sum())
     at = np.arange(len(flat)) + REACH * np.repeat(np.arange(1, len(split) + 1), sizes)
-    out = np.full(len(flat) + REACH * (len(split) + 1), SIZE, np.int64)
+    out = np.full(len(flat) + REACH * (len(split) + 1), ids.size, np.int64)
     out[at] = flat
     return out, at, sizes
 
@@ -74,15 +89,15 @@ def padded_ids(texts: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.n
 class Network:
     NAMES = ("embed", "project", "bias", "classes", "class_bias", "words", "word_bias")
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, classes: int, seed: int = 5):
         rng = np.random.default_rng(seed)
 
         def draw(*shape):
             return (rng.standard_normal(shape) / np.sqrt(shape[-2] if len(shape) > 1 else 1)).astype(np.float32)
 
-        self.embed, self.project, self.bias = draw(SIZE + 1, WIDTH), draw(len(OFFSETS), WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32)
-        self.classes, self.class_bias = draw(HIDDEN, CLASSES) * 0.1, np.zeros(CLASSES, np.float32)
-        self.words, self.word_bias = draw(CLASSES, HIDDEN, IN_CLASS) * 0.1, np.zeros((CLASSES, IN_CLASS), np.float32)
+        self.embed, self.project, self.bias = draw(classes * classes + 1, WIDTH), draw(len(OFFSETS), WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32)
+        self.classes, self.class_bias = draw(HIDDEN, classes) * 0.1, np.zeros(classes, np.float32)
+        self.words, self.word_bias = draw(classes, HIDDEN, classes) * 0.1, np.zeros((classes, classes), np.float32)
 
     def state(self) -> tuple:
         return tuple(getattr(self, n) for n in self.NAMES)
@@ -94,37 +109,39 @@ class Network:
             setattr(self, n, x)
         return self
 
-    def train(self, ids: np.ndarray, at: np.ndarray, epochs: int = 2, batch: int = 512, rate: float = 0.003, seed: int = 5) -> None:
-        """Adam on the negative log-probability of each word given its neighbours."""
+    def train(self, chunks, batch: int = 512, rate: float = 0.003, seed: int = 5) -> int:
+        """Adam on the negative log-probability of each word given its neighbours, over chunks (ids, at); gives the tokens."""
         rng = np.random.default_rng(seed)
         params = self.state()
-        first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(epochs):
+        first, second, step, tokens = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, 0
+        for ids, at in chunks:
+            tokens += len(at)
             order = rng.permutation(at)
             for s in range(0, len(order), batch):
                 step += 1
-                grads = self._gradients(ids, order[s : s + batch])
-                for p, g, m, v in zip(params, grads, first, second):
-                    m *= 0.9
-                    m += 0.1 * g
-                    v *= 0.999
-                    v += 0.001 * g * g
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-
-    def _gradients(self, ids: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        n = len(at)
+                rows, grads = self._gradients(ids, order[s : s + batch])
+                for k, (p, g, m, v) in enumerate(zip(params, grads, first, second)):
+                    own = rows if k == 0 else ...  # of the embeddings, those met
+                    m[own] = 0.9 * m[own] + 0.1 * g
+                    v[own] = 0.999 * v[own] + 0.001 * g * g
+                    p[own] -= rate * (m[own] / (1 - 0.9**step)) / (np.sqrt(v[own] / (1 - 0.999**step)) + 1e-8)
+        return tokens
+
+    def _gradients(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Rows of the embeddings that were met, and gradients of these rows and of all else."""
+        n, classes = len(at), len(self.class_bias)
         around = ids[at[:, None] + np.array(OFFSETS)]
         e = self.embed[around].reshape(n, -1)
         project = self.project.reshape(-1, HIDDEN)
         h = np.tanh(e @ project + self.bias)
-        kind, place = np.divmod(ids[at], IN_CLASS)
+        kind, place = np.divmod(ids[at], classes)
         p = _softmax(h @ self.classes + self.class_bias)
         p[np.arange(n), kind] -= 1
         p /= n
         back = p @ self.classes.T
         words, word_bias = np.zeros_like(self.words), np.zeros_like(self.word_bias)
         order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        edges = np.searchsorted(kind[order], np.arange(classes + 1))
         for c in np.flatnonzero(np.diff(edges)):
             own = order[edges[c] : edges[c + 1]]
             q = _softmax(h[own] @ self.words[c] + self.word_bias[c])
@@ -133,13 +150,15 @@ class Network:
             words[c], word_bias[c] = h[own].T @ q, q.sum(0)
             back[own] += q @ self.words[c].T
         back *= 1 - h * h
-        embed = np.zeros_like(self.embed)
-        np.add.at(embed, around.ravel(), (back @ project.T).reshape(-1, WIDTH))
-        return [embed, (e.T @ back).reshape(self.project.shape), back.sum(0), h.T @ p, p.sum(0), words, word_bias]
+        flat = around.ravel()
+        order = np.argsort(flat, kind="stable")
+        begins = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        embed = np.add.reduceat((back @ project.T).reshape(-1, WIDTH)[order], begins)
+        return flat[order][begins], [embed, (e.T @ back).reshape(self.project.shape), back.sum(0), h.T @ p, p.sum(0), words, word_bias]
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the word at each place given its neighbours."""
-        tables = [self.embed @ w for w in self.project]
+        tables, classes = [self.embed @ w for w in self.project], len(self.class_bias)
         out = np.empty(len(at), np.float32)
         for s in range(0, len(at), 16_384):
             here = at[s : s + 16_384]
@@ -147,12 +166,12 @@ class Network:
             for o, table in zip(OFFSETS[1:], tables[1:]):
                 h += table[ids[here + o]]
             np.tanh(h, out=h)
-            kind, place = np.divmod(ids[here], IN_CLASS)
+            kind, place = np.divmod(ids[here], classes)
             logits = h @ self.classes + self.class_bias
             got = logits[np.arange(len(here)), kind] - _log_sum(logits)
             order = np.argsort(kind, kind="stable")
-            edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-            for c in range(CLASSES):
+            edges = np.searchsorted(kind[order], np.arange(classes + 1))
+            for c in range(classes):
                 own = order[edges[c] : edges[c + 1]]
                 if len(own):
                     logits = h[own] @ self.words[c] + self.word_bias[c]
@@ -175,35 +194,117 @@ def _rows(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
 
 
-def fit(docs: DataFrame, text: str = "text", max_chars: int = MAX_CHARS, epochs: int = 2) -> tuple[list[bytes], tuple]:
-    """(vocabulary, state of the network) from all texts' word counts and a sample of texts."""
+class Model(NamedTuple):
+    words: list[bytes]
+    state: tuple
+    totals: np.ndarray  #: tokens of each bucket
+    known: tuple[np.ndarray, np.ndarray]  #: hashes of words outside the vocabulary, in order, and their counts
+    rare: DataFrame  #: h, n of the others that were met twice or more
+
+
+def _chunks(batches, ids: Ids):
+    """(ids, places) of about CHUNK tokens each."""
+    held, tokens = [], 0
+    for b in batches:
+        for t in b.column("t").to_pylist():
+            held.append(t)
+            tokens += t.count(" ") + t.count("\n") + 1
+            if tokens >= CHUNK:
+                yield padded_ids(held, ids)[:2]
+                held, tokens = [], 0
+    if held:
+        yield padded_ids(held, ids)[:2]
+
+
+def _epoch(rows: DataFrame, words: list[bytes], state: tuple, batch: int, seed: int) -> tuple:
+    """The state after each task's pass over its texts, averaged by tokens."""
+    shared = rows.sparkSession.sparkContext.broadcast((words, state))
+
+    def train(batches):
+        words, state = shared.value
+        network = Network.of(tuple(p.copy() for p in state))
+        tokens = network.train(_chunks(batches, Ids(words)), batch, seed=seed)
+        if tokens:
+            flat = np.concatenate([p.ravel() for p in network.state()])
+            blocks = [flat[s : s + BLOCK].tobytes() for s in range(0, len(flat), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), tokens)), pa.array(blocks, pa.binary())], ["block", "tokens", "raw"])
+
+    def mean(table: pa.Table) -> pa.Table:
+        total, tokens = 0.0, 0
+        for n, raw in sorted(zip(table.column("tokens").to_pylist(), table.column("raw").to_pylist())):
+            total, tokens = total + n * np.frombuffer(raw, np.float32).astype(np.float64), tokens + n
+        return pa.table({"block": table.column("block")[:1], "raw": pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())})
+
+    trained = materialize(rows.mapInArrow(train, "block int, tokens long, raw binary"), "network")
+    found = trained.groupBy("block").applyInArrow(mean, "block int, raw binary").collect()
+    shared.unpersist()
+    if not found:
+        return state
+    flat = np.frombuffer(b"".join(bytes(r.raw) for r in sorted(found, key=lambda r: r.block)), np.float32)
+    ends = np.cumsum([p.size for p in state])
+    return tuple(x.reshape(p.shape) for x, p in zip(np.split(flat, ends[:-1]), state))
+
+
+def fit(docs: DataFrame, text: str = "text", epochs: int = 2) -> Model:
+    """Vocabulary and counts from all texts, and the state of the network trained on all texts."""
     rows = _rows(docs, text)
-    words = [bytes(r.word) for r in word_counts(rows).orderBy(F.desc("n"), "word").limit(SIZE - BUCKETS).collect()]
-    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    sample = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < 1_000_000 * min(1.0, max_chars / max(1, chars))).limit(max_chars)
-    ids, at, _ = padded_ids([r.t for r in sample.collect()], Ids(words))
-    network = Network()
-    network.train(ids, at, epochs)
-    return words, network.state()
-
-
-def score(docs: DataFrame, model: tuple, key: str = "doc_id", text: str = "text") -> DataFrame:
+    counts = materialize(word_counts(rows), "words")
+    sizes = sorted(((r.n, r.k) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    total = sum(n * k for n, k in sizes)
+    n_words = max(FIRST, sum(k for n, k in sizes if n >= LEAST and n * SHARE >= total))
+    words = [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(n_words).collect()]
+    listed = docs.sparkSession.createDataFrame([(w,) for w in words], "word binary")
+    outside = materialize(counts.join(F.broadcast(listed), "word", "left_anti").select("h", "n"), "outside")
+    totals = np.zeros(BUCKETS, np.int64)
+    for r in outside.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        totals[r.bucket] = r.n
+    # The least count of those broadcast: words of this count or more are KNOWN at most, without the vocabulary.
+    least, held = (sizes[0][0] if sizes else 0) + 1, -len(words)
+    for n, k in sizes:
+        held += k
+        if held > KNOWN or n < 2:
+            break
+        least = n
+    known = outside.filter(F.col("n") >= least).toArrow().combine_chunks()
+    h, n = known.column("h").to_numpy(), known.column("n").to_numpy()
+    order = np.argsort(h)
+    state, tasks = Network(classes_of(len(words))).state(), max(1, total // TASK_TOKENS)
+    for e in range(epochs if total else 0):
+        state = _epoch(rows.coalesce(int(tasks)), words, state, 512 if total < 1_000_000 else 2048, 5 + e)
+    return Model(words, state, totals, (h[order], n[order]), outside.filter((F.col("n") >= 2) & (F.col("n") < least)))
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, log_likelihood (summed), mean_log_probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model[:4]))
 
     def run(batches):
+        words, state, totals, (known, counts) = shared.value
         store = worker_cache()
         if store.get("lm", (None,))[0] is not shared.value:
-            store["lm"] = (shared.value, Ids(shared.value[0]))
-        ids, network = store["lm"][1], Network.of(shared.value[1])
+            store["lm"] = (shared.value, Ids(words))
+        ids, network = store["lm"][1], Network.of(state)
         for b in batches:
             for s in range(0, b.num_rows, 200):
                 c = b.slice(s, 200)
-                flat, at, sizes = padded_ids(c.column("t").to_pylist(), ids)
-                ends = np.concatenate([[0], np.cumsum(network.log_probabilities(flat, at), dtype=np.float64)])[np.concatenate([[0], np.cumsum(sizes)])]
-                total = np.diff(ends)
-                yield pa.RecordBatch.from_arrays([c.column("key"), pa.array(sizes), pa.array(total), pa.array(total / np.maximum(sizes, 1))], ["key", "n_tokens", "log_likelihood", "mean_log_probability"])
+                texts = c.column("t").to_pylist()
+                flat, at, sizes = padded_ids(texts, ids)
+                of = flat[at]
+                each = network.log_probabilities(flat, at).astype(np.float64)
+                out = np.flatnonzero(of >= ids.size - BUCKETS)
+                each[out] -= np.log1p(totals[of[out] - (ids.size - BUCKETS)])
+                h = word_hashes([w for t in texts for w in words_of(t) if w not in ids]).view(np.int64)
+                place = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                hit = known[place] == h if len(known) else np.zeros(len(h), bool)
+                each[out[hit]] += np.log(counts[place[hit]])
+                starts = np.concatenate([[0], np.cumsum(sizes)])
+                ends = np.concatenate([[0], np.cumsum(each)])[starts]
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(out[~hit], starts), pa.int32()), pa.array(h[~hit]))
+                yield pa.RecordBatch.from_arrays([c.column("key"), pa.array(sizes), pa.array(np.diff(ends)), rare], ["key", "n_tokens", "part", "rare"])
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    out = rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, n_tokens long, log_likelihood double, mean_log_probability double")
-    return out.withColumnRenamed("key", key)
+    parts = rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, n_tokens long, part double, rare array<long>")
+    parts = materialize(parts.withColumn("row", F.monotonically_increasing_id()), "scored")
+    more = parts.select("row", F.explode("rare").alias("h")).join(model.rare, "h").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    out = parts.drop("rare").join(more, "row", "left").withColumn("sum", F.col("part") + F.coalesce("more", F.lit(0.0)))
+    return out.select(F.col("key").alias(key), "n_tokens", F.col("sum").alias("log_likelihood"), (F.col("sum") / F.greatest("n_tokens", F.lit(1))).alias("mean_log_probability"))

@@ -216,6 +216,31 @@ def test_lm_prefers_seen_order(spark):
     assert score[0] > score[100] + 0.5
 
 
+def test_lm_counts_the_whole_corpus(spark, monkeypatch):
+    """Rare words have their own counts, and texts of all partitions are learnt."""
+    monkeypatch.setattr(lmscore, "FIRST", 4)
+    monkeypatch.setattr(lmscore, "KNOWN", 1)
+    monkeypatch.setattr(lmscore, "SHARE", 1)
+    buckets = {}
+    for i in range(5000):
+        buckets.setdefault(lmscore.word_hashes([f"x{i}".encode()])[0] % lmscore.BUCKETS, []).append(f"x{i}")
+    once, twice, often, never = max(buckets.values(), key=len)[:4]
+    base = "one two three four " * 50
+    texts = [base + w for w in [once, twice, twice, *[often] * 5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(lmscore, "TASK_TOKENS", 200)
+    model = lmscore.fit(docs)
+    assert len(model.words) == 4 and model.totals.sum() == 8
+    probe = spark.createDataFrame([(i, base + w) for i, w in enumerate([once, twice, often, never])], "doc_id long, text string")
+    got = {r.doc_id: r.log_likelihood for r in lmscore.score(probe, model).collect()}
+    assert [round(np.exp(got[i] - got[0]), 3) for i in range(4)] == [1, 2, 5, 1]
+    texts = ["one two three four five six " * 60] * 4 + ["six two five one four three " * 60] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    model = lmscore.fit(docs, epochs=2)
+    start = lmscore.Network(lmscore.classes_of(len(model.words))).state()
+    assert all((a != b).any() for a, b in zip(model.state, start))
+
+
 def test_quality_removes_common_lines(spark):
     rows = [(i, "Common line that all have here today\n" + " ".join(f"w{i}x{j}" for j in range(30 if i % 2 else 2)), "h") for i in range(20)]
     out = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), line_docs=5, keep_share=0.5).collect()}
