@@ -4,6 +4,8 @@ Only DataFrame functions. A line is normalised (lower case, digits to 0, outer w
 host the distinct texts that hold it are counted, so exact copies of a document count once. Lines in more texts than
 max(`line_docs`, `line_share` of the host's texts) count as removed, but for the document of smallest id that
 holds them, which keeps its lines. A document with less than `keep_share` of its characters left is depleted.
+quality() gives the figures, cleaned() the rows kept with the text that is left. A row is named by hashes of its id
+and text and by its host, so rows that share an id, or have none, are judged each by their own.
 
 Edge cases: null text has no words and fails the base rules; a null host is a host of its own; repeated rows give the
 same result each; a null id gives a row with a null id; other columns are left out; an empty table gives an empty one.
@@ -18,7 +20,7 @@ from pyspark.sql import Window as W
 LINE_DOCS, LINE_SHARE, KEEP_SHARE = 100, 0.01, 0.2
 SPACE, SPACES = r"[\x20\x09-\x0D]+", " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-ID, TEXT = "__id", "__text"  # hashes that name a row
+ID, TEXT, HOST, GONE = "__id", "__text", "__host", "__gone"  # hashes that name a row, its host, and hashes of its lines above the limit
 
 
 def _trim(c: Column) -> Column:
@@ -65,25 +67,49 @@ def repeated_words(stats: DataFrame) -> DataFrame:
 
 
 def removed_chars(stats: DataFrame, line_docs: int, line_share: float) -> DataFrame:
-    """ID, TEXT, removed: characters of a document's lines that are above the limit of its host."""
+    """ID, TEXT, host, removed: characters of a document's lines that are above the limit of its host."""
+    by_doc = lines_above(stats, line_docs, line_share).groupBy(ID, TEXT, "host", "line").agg(F.max("chars").alias("chars"), F.count(F.lit(1)).alias("times"))
+    removed = by_doc.groupBy(ID, TEXT, "host").agg(F.sum(F.col("chars") * F.col("times")).alias("removed"))
+    copies = stats.groupBy(ID, TEXT, "host").agg(F.count(F.lit(1)).alias("copies"))  # the lines of equal rows were added up
+    return removed.join(copies, [ID, TEXT, "host"]).select(ID, TEXT, "host", (F.col("removed") / F.col("copies")).cast("long").alias("removed"))
+
+
+def lines_above(stats: DataFrame, line_docs: int, line_share: float) -> DataFrame:
+    """ID, TEXT, host, line, chars of each line of a document that is above the limit of its host."""
     lines = stats.select("key", "host", ID, TEXT, F.explode("normal").alias("x")).select("key", "host", ID, TEXT, "x.line", "x.chars").filter("chars > 0")
-    counts = lines.groupBy("host", "line").agg(F.count_distinct(TEXT).alias("texts"), F.min("key").alias("first")).filter(F.col("texts") > line_docs)
+    order = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col(TEXT).alias("of"))
+    counts = lines.groupBy("host", "line").agg(F.count_distinct(TEXT).alias("texts"), F.min(order).alias("first")).filter(F.col("texts") > line_docs)
     hosts = stats.groupBy("host").agg(F.count_distinct(TEXT).alias("host_texts"))
     above = counts.join(hosts, "host").filter(F.col("texts") > line_share * F.col("host_texts")).select("host", "line", "first")
-    by_doc = lines.groupBy(ID, TEXT, "key", "host", "line").agg(F.max("chars").alias("chars"), F.count(F.lit(1)).alias("times"))
-    return by_doc.join(above, ["host", "line"]).filter(~F.col("key").eqNullSafe(F.col("first"))).groupBy(ID, TEXT).agg(F.sum(F.col("chars") * F.col("times")).alias("removed"))
+    return lines.join(above, ["host", "line"]).filter(order != F.col("first")).select(ID, TEXT, "host", "line", "chars")
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
     """key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_chars."""
+    return _judged(base_stats(docs, key, text, host), line_docs, line_share, keep_share).withColumnRenamed("key", key).drop(ID, TEXT, "host")
+
+
+def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """The rows of docs that are kept, each without its lines above the limit."""
     stats = base_stats(docs, key, text, host)
+    kept = _judged(stats, line_docs, line_share, keep_share).filter("kept").select(ID, TEXT, F.col("host").alias(HOST)).distinct()
+    gone = lines_above(stats, line_docs, line_share).groupBy(ID, TEXT, F.col("host").alias(HOST)).agg(F.collect_set("line").alias(GONE))
+    named = docs.withColumns({ID: F.xxhash64(key), TEXT: F.xxhash64(F.coalesce(F.col(text), F.lit(""))), HOST: F.coalesce(F.col(host).cast("string"), F.lit(""))})
+    rows = named.join(kept, [ID, TEXT, HOST], "left_semi").join(gone, [ID, TEXT, HOST], "left")
+    normal = lambda x: F.xxhash64(_trim(F.translate(F.lower(x), "123456789", "0" * 9)))
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(GONE, normal(x))), "\n")
+    return rows.withColumn(text, F.when(F.col(GONE).isNull(), F.col(text)).otherwise(left)).select(docs.columns)
+
+
+def _judged(stats: DataFrame, line_docs: int, line_share: float, keep_share: float) -> DataFrame:
+    """The columns of quality(), with the names of rows."""
     line_chars = F.aggregate("normal", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
-    rows = stats.select("key", ID, TEXT, "n_words", "word_chars", "n_symbols", "n_dup_lines", line_chars.alias("line_chars"))
-    rows = rows.join(repeated_words(stats), [ID, TEXT], "left").join(removed_chars(stats, line_docs, line_share), [ID, TEXT], "left")
+    rows = stats.select("key", ID, TEXT, "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", line_chars.alias("line_chars"))
+    rows = rows.join(repeated_words(stats), [ID, TEXT], "left").join(removed_chars(stats, line_docs, line_share), [ID, TEXT, "host"], "left")
     rows = rows.fillna(0, ["n_repeat_words", "removed"])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     depleted = (F.col("line_chars") - F.col("removed")) < keep_share * F.col("line_chars")
-    return rows.select(F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.col("removed").cast("long").alias("removed_chars"))
+    return rows.select("key", ID, TEXT, "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.col("removed").cast("long").alias("removed_chars"))
 
 
 def oracle_sql(line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, keep_share: float = KEEP_SHARE) -> str:

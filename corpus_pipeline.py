@@ -15,9 +15,8 @@ from basketgraph.llm.queries import _fold, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    rejected = quality.quality(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected.doc_id), "left_anti")
+    """Documents that the quality rules keep, without their lines above the limit of their host. n_chars follows the text."""
+    return quality.cleaned(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -246,3 +246,30 @@ def test_quality_removes_common_lines(spark):
     out = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), line_docs=5, keep_share=0.5).collect()}
     assert out[0].removed_chars == 0 and out[1].removed_chars > 0
     assert out[1].kept and not out[2].kept
+
+
+def test_quality_same_as_sql_where_lines_are_removed(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, "Common LINE 12 of all\n" * (1 + i % 3) + f"Only here {chr(97 + i)}\n" + " ".join(f"w{chr(97 + i)}x{j}" for j in range(60 if i % 2 else 2)), "h" if i < 20 else "g") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    limits = {"line_docs": 5, "line_share": 0.01, "keep_share": 0.86}
+    theirs = con.sql(quality.oracle_sql(**limits)).fetchall()
+    assert sorted(tuple(r) for r in quality.quality(docs, **limits).collect()) == sorted(theirs)
+    assert sum(r[-1] > 0 for r in theirs) == 19 and any(r[-1] > 0 and not r[-2] and not r[-3] for r in theirs)
+    left = {r.doc_id: r.text for r in quality.cleaned(docs, **limits).collect()}
+    assert set(left) == {r[0] for r in theirs if r[-2]}
+    assert all(("Common" in t) == (i >= 20) and f"Only here {chr(97 + i)}" in t for i, t in left.items())
+
+
+def test_quality_rows_without_an_id_of_their_own(spark):
+    line, long = "Common line of all here\n", " ".join(f"y{j}" for j in range(40))
+    rows = [(i, line + " ".join(f"w{chr(97 + i)}x{j}" for j in range(40)), "h") for i in range(6)]
+    rows += [(5, "short", "h"), (None, "short too", "h"), (None, long, "h"), (None, line + long, "h"), (3, rows[3][1], "h")]
+    limits = {"line_docs": 4, "keep_share": 0.85}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in quality.cleaned(docs, **limits).collect())
+    assert got == sorted((i is None, i or 0, t if i == 0 else t.removeprefix(line)) for i, t, _ in rows if "short" not in t)
