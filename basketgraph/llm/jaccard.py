@@ -18,7 +18,7 @@ prefix shingles, only what follows its prefix in common with the other. So the o
 (n - prefix length) of both, and must reach what the similarity asks for.
 
 Edge cases: null and empty texts have no shingles and link with nothing; texts with fewer words than k are one
-shingle; ids are vertices, so rows that repeat an id share its component; a null id names no component; ties don't
+shingle; rows (id with text) are vertices, so a repeated or null id links nothing; a null id names no component; ties don't
 arise, as the smallest id names a component; other columns are left out; an empty table gives an empty one.
 """
 
@@ -37,7 +37,6 @@ K, SHARE, MAX_FREQUENT, FREQUENT, STARS = 5, 80, 500_000, 8, 2
 MAP_BITS, BROADCAST_PAIRS = 26, 500_000
 #: Sizes whose ratio is at least this are nearly one.
 NEAR = 0.95
-NO_ID = (1 << 63) - 1
 
 
 def shingles(text: str, k: int = K) -> np.ndarray:
@@ -253,9 +252,21 @@ def _mixed(members: DataFrame, key: str) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, share: int = SHARE, max_frequent: int = MAX_FREQUENT) -> DataFrame:
-    """key, n_shingles, component_id (the smallest id reachable by links)."""
+    """key, n_shingles, component_id (the smallest id that is not null among the rows reachable by links)."""
+    found = materialize(row_components(docs, key, text, k, share, max_frequent), "found")
+    least = found.groupBy("component").agg(F.min("key").cast("long").alias("component_id"))
+    return found.join(least, "component").select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def row_name(key: str, text: str) -> Column:
+    """A hash of the id and the text of a row, so rows that share an id, or have none, are told apart."""
+    return F.xxhash64(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")))
+
+
+def row_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, share: int = SHARE, max_frequent: int = MAX_FREQUENT) -> DataFrame:
+    """id (row_name), key, n, component (the smallest row_name reachable by links) of each row."""
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(row_name(key, text).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     frequent = context.broadcast(frequent_tokens(rows, k, max_frequent))
     table = materialize(rows.mapInArrow(lambda bs: _prefixes(bs, frequent.value, k, share), "id long, n int, sig binary, alike long, prefix array<int>"), "prefixes")
     full = table.filter("n > 0")
@@ -308,9 +319,9 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs = pairs.join(x, "gid").join(y, "other").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = verified(materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), rows, k, share)
     found = components(rest.union(found.select(F.col("component").alias("a"), F.col("id").alias("b"))).union(copies))
-    out = _with_component(table.select("id", "n"), found, "id")
-    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(back("id").cast(docs.schema[key].dataType).alias(key), F.col("n").cast("long").alias("n_shingles"), back("component").alias("component_id"))
+    sizes = table.select("id", "n").distinct()
+    named = docs.select(row_name(key, text).alias("id"), F.col(key).alias("key"))
+    return _with_component(named.join(sizes, "id"), found, "id").select("id", "key", "n", "component")
 
 
 def _meet(at: DataFrame, fits: Column) -> DataFrame:

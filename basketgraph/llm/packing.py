@@ -1,7 +1,7 @@
 """Packing of tokenised documents into fixed-length sequences: first-fit decreasing in randomised groups.
 
 A document is cut at multiples of the sequence length; its whole pieces fill sequences of their own and its last
-piece is packed. Last pieces are dealt by a seeded hash into groups of about `group_docs` documents; in each group
+piece is packed. Last pieces are dealt by a seeded hash of their id and content into groups of about `group_docs` documents; in each group
 they go, largest first, into the first sequence with room, found in a tournament tree of the room left. Only
 lengths and checksums (or ids, if asked for) are shuffled.
 
@@ -122,7 +122,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack(parts: DataFrame, n_docs: int, key: str = "doc_id", length: int = LENGTH, group_docs: int = GROUP_DOCS, seed: int = 7) -> DataFrame:
     """Adds sequence_id and offset to the rows of pieces()."""
     groups = max(1, -(-n_docs // group_docs))
-    part_of = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("start")), F.lit(groups))
+    part_of = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")), F.lit(groups))
 
     def run(table: pa.Table) -> pa.Table:
         size = table.column("length").to_numpy()

@@ -14,6 +14,9 @@ from basketgraph.llm.common import documents, materialize
 from basketgraph.llm.queries import _fold, tokenizer_path
 
 
+ROW = "__row"  # a name of id and text
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their lines above the limit of their host. n_chars follows the text."""
     return quality.cleaned(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
@@ -22,16 +25,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence; lang is left as it is."""
     model = langid.fit(docs.filter(_fold(4) != 2).select("text", "lang"))
-    rejected = langid.predict(docs, model).filter("rejected").select("doc_id").distinct()
-    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected.doc_id), "left_anti")
+    named = docs.withColumn(ROW, jaccard.row_name("doc_id", "text"))
+    rejected = langid.predict(named, model, key=ROW).filter("rejected").select(ROW).distinct()
+    return named.join(rejected, ROW, "left_anti").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies, once; a null id is in no group."""
-    found = jaccard.similar_components(docs)
-    later = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """The document of smallest id (none before a null id) of each group of near copies, once; rows that only share an id are no group."""
+    found = materialize(jaccard.row_components(docs), "found")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "id"))
+    chosen = found.groupBy("component").agg(first.alias("first")).select(F.col("first.id").alias(ROW))
+    named = docs.withColumn(ROW, jaccard.row_name("doc_id", "text"))
+    return named.join(chosen, ROW, "left_semi").dropDuplicates([ROW]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -273,3 +273,19 @@ def test_quality_rows_without_an_id_of_their_own(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in quality.cleaned(docs, **limits).collect())
     assert got == sorted((i is None, i or 0, t if i == 0 else t.removeprefix(line)) for i, t, _ in rows if "short" not in t)
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    """Copies under a null or repeated id link only the texts that they copy."""
+    import corpus_pipeline
+
+    texts = [" ".join(f"{chr(97 + i)}w{j}" for j in range(30)) for i in range(5)]
+    rows = [(1, texts[0]), (2, texts[1]), (None, texts[0]), (None, texts[1]), (None, texts[4]), (7, texts[2]), (7, texts[3]), (8, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id or 0) for r in jaccard.similar_components(docs).collect()))
+    assert got == [(0, 0), (0, 1), (0, 2), (1, 1), (2, 2), (7, 7), (7, 7), (8, 7)]
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert kept == {(1, texts[0]), (2, texts[1]), (None, texts[4]), (7, texts[2]), (7, texts[3])}
+    nulls = spark.createDataFrame([(None, f"word{i} " * (i % 9 + 1)) for i in range(60)], "doc_id long, text string")
+    packed = packing.pack(packing.pieces(nulls, P.path("word_bpe_49k.json")), 60, group_docs=10).collect()
+    assert len(packed) == 60 and len({r.sequence_id >> 32 for r in packed}) > 1
