@@ -289,3 +289,13 @@ def test_rows_with_null_and_repeated_ids(spark):
     nulls = spark.createDataFrame([(None, f"word{i} " * (i % 9 + 1)) for i in range(60)], "doc_id long, text string")
     packed = packing.pack(packing.pieces(nulls, P.path("word_bpe_49k.json")), 60, group_docs=10).collect()
     assert len(packed) == 60 and len({r.sequence_id >> 32 for r in packed}) > 1
+
+
+def test_language_id_of_short_texts(spark):
+    texts = {"aa": ["kato miru", "sena tori", "miru sena"], "bb": ["grum blont", "strask wumph", "blont grum"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert not any(r.rejected for r in langid.predict(docs, model).collect())
+    other = spark.createDataFrame([(1, "12 34"), (2, None)], "doc_id long, text string")
+    assert all(r.rejected for r in langid.predict(other, model).collect())
