@@ -553,13 +553,13 @@ def _rounded(rows: DataFrame, key: str, size: int) -> DataFrame:
 @query()
 def node_embeddings(spark, d):
     paths = basket_walks(spark, d).select(F.col("basket").alias("start"), F.lit(0).alias("nth"), "walk")
-    return _rounded(embed.train_embeddings(paths, 8, epochs=1), "node", 8)
+    return _rounded(embed.train_embeddings(paths, 8, epochs=4), "node", 8)
 
 
 @query()
 def node2vec(spark, d):
     nodes, edges, _ = network(spark, d)
-    return _rounded(embed.node2vec(nodes, edges, 16, epochs=2), "node", 16)
+    return _rounded(embed.node2vec(nodes, edges, 16, epochs=4), "node", 16)
 
 
 def embeddings(spark, d) -> DataFrame:

@@ -3,7 +3,8 @@ import math
 
 import pytest
 
-from basketgraph.operators import communities, graph, traverse
+from basketgraph.operators import communities, embed, graph, traverse
+from basketgraph.plans import queries
 
 
 def frames(spark, n, edges):
@@ -69,3 +70,16 @@ def test_communities_of_two_cliques(spark):
     members = communities.communities(e).collect()
     got = {frozenset(r.node for r in members if r.community == c) for c in {r.community for r in members}}
     assert got == {frozenset(f"n{i:02d}" for i in g) for g in ((0, 1, 2, 3), (4, 5, 6, 7))}
+
+
+@pytest.mark.parametrize("name", ["node_embeddings", "node2vec"])
+def test_embeddings_train_four_epochs(spark, monkeypatch, name):
+    _, edges = frames(spark, 3, [(0, 1, 1), (1, 2, 1)])
+    nodes = frames(spark, 3, [(0, 1, 1)])[0]
+    walks = spark.createDataFrame([(1, ["n00", "n01", "n02"])], "basket long, walk array<string>")
+    monkeypatch.setattr(queries, "basket_walks", lambda spark, d: walks)
+    monkeypatch.setattr(queries, "network", lambda spark, d: (nodes, edges, None))
+    monkeypatch.setattr(embed, "_of_epoch", lambda run, epoch, was=embed._of_epoch: done.append(epoch) or was(run, epoch))
+    done = []
+    queries.QUERIES[name](spark, "").collect()
+    assert done == [0, 1, 2, 3]
