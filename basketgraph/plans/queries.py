@@ -81,10 +81,11 @@ def backbone(edges: DataFrame) -> DataFrame:
     return edges.crossJoin(total).filter(100 * F.col("weight") * F.col("c") > 115 * F.col("tw")).drop("tw", "c")  # one row
 
 
-def network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges of the backbone, adjacency; written once, as traversals read them again and again."""
+def network(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, all edges or those of the backbone, adjacency; written once, as traversals read them again and again."""
     items = materialize(baskets(spark, d), "baskets")
-    nodes, edges = materialize(nodes_of(items), "nodes"), materialize(backbone(cooc.cooccurrence_edges(items)), "edges")
+    pairs = cooc.cooccurrence_edges(items)
+    nodes, edges = materialize(nodes_of(items), "nodes"), materialize(pairs if whole else backbone(pairs), "edges")
     return nodes, edges, materialize(graph.adjacency(edges), "adjacency")
 
 
@@ -416,7 +417,7 @@ def betweenness(spark, d):
 
 @query()
 def weighted_betweenness(spark, d):
-    nodes, _, adj = network(spark, d)
+    nodes, _, adj = network(spark, d, whole=True)
     return traverse.betweenness(traverse.weighted_distances(nodes, adj), nodes, adj, weighted=True).withColumn("betweenness", F.round("betweenness", 6))
 
 
@@ -450,7 +451,7 @@ def network_summary(spark, d):
 
 @query()
 def centrality_rankings(spark, d):
-    nodes, _, adj = network(spark, d)
+    nodes, _, adj = network(spark, d, whole=True)
     hops, far = materialize(traverse.hop_distances(nodes, adj), "hops"), traverse.weighted_distances(nodes, adj)
     return graph.rankings({
         "degree": graph.degree_centrality(nodes, adj), "betweenness": traverse.betweenness(hops, nodes, adj), "closeness": traverse.closeness(hops, nodes),
@@ -532,7 +533,7 @@ def weighted_pick(spark, d):
 
 @query()
 def random_walks(spark, d):
-    nodes, edges, adj = network(spark, d)
+    nodes, edges, adj = network(spark, d, whole=True)
     return walks.random_walks(graph.without_isolated(nodes, edges), adj, 12, 14, 1.0, 0.8).select("start", "nth", F.array_join("walk", "|").alias("walk"))
 
 
@@ -558,7 +559,7 @@ def node_embeddings(spark, d):
 
 @query()
 def node2vec(spark, d):
-    nodes, edges, _ = network(spark, d)
+    nodes, edges, _ = network(spark, d, whole=True)
     return _rounded(embed.node2vec(nodes, edges, 16, epochs=4), "node", 16)
 
 

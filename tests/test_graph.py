@@ -78,8 +78,18 @@ def test_embeddings_train_four_epochs(spark, monkeypatch, name):
     nodes = frames(spark, 3, [(0, 1, 1)])[0]
     walks = spark.createDataFrame([(1, ["n00", "n01", "n02"])], "basket long, walk array<string>")
     monkeypatch.setattr(queries, "basket_walks", lambda spark, d: walks)
-    monkeypatch.setattr(queries, "network", lambda spark, d: (nodes, edges, None))
+    monkeypatch.setattr(queries, "network", lambda spark, d, **whole: (nodes, edges, None))
     monkeypatch.setattr(embed, "_of_epoch", lambda run, epoch, was=embed._of_epoch: done.append(epoch) or was(run, epoch))
     done = []
     queries.QUERIES[name](spark, "").collect()
     assert done == [0, 1, 2, 3]
+
+
+def test_queries_without_sql_run_on_all_edges(spark, tmp_path):
+    """a and b meet three times, b and c once, which is below the mean."""
+    lines = [(o, p) for o in (1, 2, 3) for p in (1, 2)] + [(4, 2), (4, 3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.node: r.betweenness for r in queries.weighted_betweenness(spark, str(tmp_path)).collect()}
+    assert got == {"a": 0, "b": 1, "c": 0}
+    assert {r.start for r in queries.random_walks(spark, str(tmp_path)).collect()} == {"a", "b", "c"}
