@@ -9,13 +9,19 @@ pairs, whose members are verified on their whole sets.
 Only components are asked for, so pairs within one component need no check. First come stars, rounds of pairs of each
 group with one representative of each shingle's groups (and of each member with its group's first), whose number is
 linear in a shingle's groups; their verified links are merged, and later rounds only pair across components, with
-other representatives. What is left are shingles whose groups lie in several
-components: of those all pairs across components are filtered and verified. No link is lost, and large groups of near
-copies don't give all their pairs.
+other representatives. What is left are shingles whose groups lie in several components. There a group of the smaller
+component first meets the other component as a whole, by the shingles and sizes that any group of it has: with too few
+of them in common no group of it can be linked, so only the rest is spread out to pairs of groups, filtered and
+verified. No link is lost, and large groups of near copies give all their pairs neither with each other nor with texts
+that share a little with all of them.
+
+The order of frequent shingles is by their counts, so what many texts quote comes last and starts few pairs.
 
 Enough: with L the smaller of both prefixes' last shingles, the set whose prefix ends at L has, beyond the c shared
 prefix shingles, only what follows its prefix in common with the other. So the overlap is at most c + the larger of
-(n - prefix length) of both, and must reach what the similarity asks for.
+(n - prefix length) of both, and must reach what the similarity asks for. Prefixes are stored by the upper halves of
+their hashes; `twins`, the shingles of a prefix whose half another of it has, are added to c. Verification compares
+whole hashes.
 
 Edge cases: null and empty texts have no shingles and link with nothing; texts with fewer words than k are one
 shingle; rows (id with text) are vertices, so a repeated or null id links nothing; a null id names no component; ties don't
@@ -28,15 +34,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from basketgraph.llm.common import LOWER, gram_hashes, materialize, mix, word_hashes
 
-K, SHARE, MAX_FREQUENT, FREQUENT, STARS = 5, 80, 500_000, 8, 2
+K, SHARE, MAX_FREQUENT, FREQUENT, STARS = 5, 80, 500_000, 8, 4
 #: Bits of the map of shared shingles (8 MB), and pairs up to which their ends are broadcast (16 MB).
 MAP_BITS, BROADCAST_PAIRS = 26, 500_000
 #: Sizes whose ratio is at least this are nearly one.
-NEAR = 0.95
+NEAR = 0.98
 
 
 def shingles(text: str, k: int = K) -> np.ndarray:
@@ -93,8 +98,8 @@ def _bucket_bits(df: DataFrame) -> int:
     return min(MAP_BITS - 3, max(8, (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
 
-def frequent_tokens(rows: DataFrame, k: int, max_frequent: int) -> np.ndarray:
-    """The most frequent shingles (their upper 32 bits), FREQUENT times or more, max_frequent at most."""
+def frequent_tokens(rows: DataFrame, k: int, max_frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles (their upper 32 bits), FREQUENT times or more, max_frequent at most, and each one's place among them."""
     bits, least = _bucket_bits(rows), FREQUENT
 
     def pack(batches):
@@ -108,7 +113,9 @@ def frequent_tokens(rows: DataFrame, k: int, max_frequent: int) -> np.ndarray:
 
     counts = _by_bucket(rows.mapInArrow(pack, "bucket int, tokens binary"), count, "token long, times long")
     top = counts.orderBy(F.desc("times"), "token").limit(max_frequent).select("token").toPandas()
-    return np.sort(top.token.to_numpy(np.uint32))
+    token = top.token.to_numpy(np.uint32)
+    order = np.argsort(token)
+    return token[order], order.astype(np.int32)
 
 
 def shared_map(table: DataFrame) -> np.ndarray:
@@ -133,62 +140,58 @@ def shared_map(table: DataFrame) -> np.ndarray:
 
 
 def _listed(batches, shared: np.ndarray):
-    """token, alike, n of the prefix shingles that the map holds."""
+    """token, alike, n, twins of the prefix shingles that the map holds."""
     for b in batches:
         flat = b.column("prefix").flatten().to_numpy().view(np.uint32)
         sizes = b.column("prefix").value_lengths().to_numpy()
         at = flat >> np.uint32(32 - MAP_BITS)
         keep = (shared[at >> np.uint32(3)] >> (7 - (at & np.uint32(7))).astype(np.uint8)) & 1
         of = pa.array(np.repeat(np.arange(b.num_rows), sizes)[keep == 1])
-        yield pa.RecordBatch.from_arrays([pa.array(flat[keep == 1].view(np.int32)), b.column("alike").take(of), b.column("n").take(of)], ["token", "alike", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(flat[keep == 1].view(np.int32)), *(b.column(c).take(of) for c in ("alike", "n", "twins"))], ["token", "alike", "n", "twins"])
 
 
-def _prefixes(batches, frequent: np.ndarray, k: int, share: int):
+def _prefixes(batches, frequent: tuple[np.ndarray, np.ndarray], k: int, share: int):
     import xxhash
 
+    listed, place = frequent
     for b in batches:
         for s in range(0, b.num_rows, 2000):
             c = b.slice(s, 2000)
-            size, sig, group, prefix = [], [], [], []
+            size, sig, group, prefix, twins = [], [], [], [], []
             for t in c.column("t").to_pylist():
                 own = shingles(t, k)
                 token = _token(own)
-                rare = np.ones(len(own), bool)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
-                    rare = frequent[at] != token
                 n = len(own)
-                first = np.concatenate([own[rare], own[~rare]])[: n - (share * n + 99) // 100 + 1] if n else own
+                first = own
+                if n and len(listed):
+                    at = np.minimum(np.searchsorted(listed, token), len(listed) - 1)
+                    first = own[np.argsort(np.where(listed[at] == token, -place[at], np.int32(-len(listed))), kind="stable")]
+                first = first[: n - (share * n + 99) // 100 + 1] if n else own
                 size.append(n)
                 sig.append(xxhash.xxh3_128_digest(own.tobytes()))
                 group.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=n))
                 prefix.append(_token(first).view(np.int32))
-            yield pa.RecordBatch.from_arrays([c.column("id"), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array(np.array(group, np.uint64).view(np.int64)), pa.array(prefix, pa.list_(pa.int32()))], ["id", "n", "sig", "alike", "prefix"])
+                twins.append(len(first) - len(np.unique(prefix[-1])))
+            yield pa.RecordBatch.from_arrays([c.column("id"), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array(np.array(group, np.uint64).view(np.int64)), pa.array(prefix, pa.list_(pa.int32())), pa.array(twins, pa.int32())], ["id", "n", "sig", "alike", "prefix", "twins"])
 
 
 def _sets(batches, k: int):
-    """a, b, side and the upper 40 bits of the shingles of each row's text, packed."""
+    """a, b, side and the shingles of each row's text."""
     last, words = None, b""
     for b in batches:
         out = []
         for t in b.column("t").to_pylist():
             if t != last:
-                own = shingles(t, k) >> np.uint64(24)
-                last, words = t, (own >> np.uint64(32)).astype(np.uint8).tobytes() + own.astype("<u4").tobytes()
+                last, words = t, shingles(t, k).tobytes()
             out.append(words)
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("side"), pa.array(out, pa.binary())], ["a", "b", "side", "words"])
 
 
-def _set_of(words: bytes) -> np.ndarray:
-    n = len(words) // 5
-    return (np.frombuffer(words, np.uint8, n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(words, "<u4", n, n).astype(np.uint64)
-
-
 def _similar(batches, share: int):
     for b in batches:
         keep = []
         for ends in b.column("ends").to_pylist():
-            sides = [[_set_of(e["words"]) for e in ends if e["side"] == s] for s in (0, 1)]
+            sides = [[np.frombuffer(e["words"], np.uint64) for e in ends if e["side"] == s] for s in (0, 1)]
             keep.append(any(_fit(x, y, share) for x in sides[0] for y in sides[1]))
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -241,6 +244,16 @@ def _enough(share: int) -> Column:
     return F.col("c") + F.ceil(F.lit(share) * F.greatest("n", "m") / 100 - 1e-9) - 1 >= need
 
 
+def _may_reach(share: int) -> Column:
+    """Whether c shared prefix shingles let a set of n and one of `least` to `most` shingles reach the similarity.
+
+    What c must be falls with m below n and above it, so the ends of the range decide; one is spared for rounding.
+    """
+    low, high = F.greatest("least", share * F.col("n") / 100), F.least("most", 100 * F.col("n") / share)
+    ends = [F.col("c") + share * F.greatest("n", m) / 100 + 1 >= share * (F.col("n") + m) / (100 + share) for m in (low, high)]
+    return ends[0] | ends[1]
+
+
 def _with_component(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
     named = found.select(F.col("id").alias(key), "component")
     return rows.join(named, key, "left").withColumn("component", F.coalesce("component", key))
@@ -268,7 +281,7 @@ def row_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     context = docs.sparkSession.sparkContext
     rows = docs.select(row_name(key, text).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     frequent = context.broadcast(frequent_tokens(rows, k, max_frequent))
-    table = materialize(rows.mapInArrow(lambda bs: _prefixes(bs, frequent.value, k, share), "id long, n int, sig binary, alike long, prefix array<int>"), "prefixes")
+    table = materialize(rows.mapInArrow(lambda bs: _prefixes(bs, frequent.value, k, share), "id long, n int, sig binary, alike long, prefix array<int>, twins int"), "prefixes")
     full = table.filter("n > 0")
     # Vertices (one for each distinct set) and their groups (same prefix and size), each named by its smallest id.
     firsts = full.groupBy("sig", "alike", "n").agg(F.min("id").alias("id"))
@@ -276,16 +289,21 @@ def row_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     vertices = materialize(firsts.join(groups, "alike").select("id", "n", "gid", "alike").distinct(), "vertices")
     copies = firsts.select("sig", F.col("id").alias("a")).join(full.select("sig", F.col("id").alias("b")), "sig").filter("a <> b").select("a", "b").distinct()
     shared = context.broadcast(shared_map(full))
-    listed = full.select("alike", "n", "prefix").mapInArrow(lambda bs: _listed(bs, shared.value), "token int, alike long, n int").distinct()
-    listed = materialize(listed.join(groups, "alike").select("token", "gid", "n"), "listed")
+    listed = full.select("alike", "n", "prefix", "twins").mapInArrow(lambda bs: _listed(bs, shared.value), "token int, alike long, n int, twins int").distinct()
+    listed = materialize(listed.join(groups, "alike").select("token", "gid", "n", "twins"), "listed")
     several = listed.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token")
     lists = listed.join(several, "token")
+    # Shingles of its prefix that a group has for itself: where edits were few, they are few.
+    alone = (F.ceil("n") - F.ceil(F.lit(share) * F.col("n") / 100 - 1e-9) - F.count(F.lit(1))).cast("int")
+    lists = lists.join(lists.groupBy("gid", "n").agg(alone.alias("alone")).select("gid", "alone"), "gid")
     tried = found = members = kinds = None
     for r in range(STARS):
         lists = materialize(lists, "lists")
         at = lists if r == 0 else lists.join(kinds, "gid")
         own = ["gid", "n"] if r == 0 else ["gid", "n", "low", "high"]
-        order = F.struct(*own) if r == 0 else F.struct(F.xxhash64("gid", "token", F.lit(r)).alias("h"), *own)
+        # The representative is the group with least of its own among all, then among a random half of them for each shingle.
+        h = F.xxhash64("gid", "token", F.lit(r))
+        order = F.struct("alone", *own) if r == 0 else F.struct((h % 2).alias("half"), "alone", h.alias("h"), *own)
         star = at.groupBy("token").agg(F.min(order).alias("s")).select("token", F.col("s.gid").alias("center"), F.col("s.n").alias("m"), *([] if r == 0 else [F.col("s.low").alias("low_2"), F.col("s.high").alias("high_2")]))
         pairs = at.join(star, "token").filter((F.col("gid") != F.col("center")) & _fits(share) & (F.lit(True) if r == 0 else _apart()))
         pairs = pairs.select(F.least("gid", "center").alias("a"), F.greatest("gid", "center").alias("b")).distinct()
@@ -305,14 +323,7 @@ def row_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         lists = lists.join(_mixed(lists.join(members.select("gid", "component"), "gid"), "token"), "token")
     # What is left: shingles and groups whose vertices lie in several components.
     lists = materialize(lists, "lists")
-    at = lists.join(kinds, "gid")
-    # Groups of nearly one size share several shingles, so each can leave out its most listed ones but for one.
-    listed = lists.groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
-    nth = F.row_number().over(W.partitionBy("gid").orderBy(F.desc("groups"), F.desc("token")))
-    short = at.join(listed, "token").withColumn("nth", nth).filter(F.col("nth") > F.floor(F.col("n") * (200 * share / (100 + share) - share - 100 * (1 - NEAR) * share / (100 + share)) / 100) - 1).drop("groups", "nth")
-    close = F.least("n", "m") >= NEAR * F.greatest("n", "m")
-    pairs = _meet(short, close).union(_meet(at, _fits(share) & ~close)).distinct()
-    pairs = _counted(lists, pairs, share).select(F.col("a").alias("gid"), F.col("b").alias("other"))
+    pairs = _counted(lists, _across(lists.join(kinds, "gid"), share), share).select(F.col("a").alias("gid"), F.col("b").alias("other"))
     pairs = pairs.union(_mixed(members, "gid").select("gid", F.col("gid").alias("other")))
     x = members.select("gid", F.col("id").alias("x"), F.col("component").alias("cx"))
     y = members.select(F.col("gid").alias("other"), F.col("id").alias("y"), F.col("component").alias("cy"))
@@ -324,15 +335,28 @@ def row_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return _with_component(named.join(sizes, "id"), found, "id").select("id", "key", "n", "component")
 
 
-def _meet(at: DataFrame, fits: Column) -> DataFrame:
-    """Pairs a < b of groups not all of one component that share a listed shingle and fit."""
-    other = at.select("token", F.col("gid").alias("other"), F.col("n").alias("m"), F.col("low").alias("low_2"), F.col("high").alias("high_2"))
-    return at.join(other, "token").filter((F.col("gid") < F.col("other")) & fits & _apart()).select(F.col("gid").alias("a"), F.col("other").alias("b"))
+def _across(at: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) of groups not all of one component that may be linked.
+
+    A group whose members lie in several components is a unit of its own, the other groups of a component are one. Of
+    two units the one of fewer groups has its groups held against the other's groups of nearly one size, all at once.
+    """
+    unit = F.when(F.col("low") == F.col("high"), F.struct(F.lit(0).alias("own"), F.col("low").alias("id"))).otherwise(F.struct(F.lit(1).alias("own"), F.col("gid").alias("id")))
+    at = at.select("token", "gid", "n", "twins", unit.alias("unit"), F.floor(F.log("n") / F.lit(-np.log(NEAR))).cast("int").alias("sized"))
+    groups = at.select("gid", "n", "unit", "sized").distinct()
+    at = at.join(groups.groupBy("unit").agg(F.count(F.lit(1)).alias("weight")), "unit")
+    wholes = at.groupBy("token", F.col("unit").alias("with"), F.col("sized").alias("as")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("weight").alias("weight_2"))
+    smaller = F.struct("weight", "unit") < F.struct(F.col("weight_2").alias("weight"), F.col("with").alias("unit"))
+    fits = (100 * F.col("most") >= share * F.col("n")) & (100 * F.col("n") >= share * F.col("least"))
+    met = at.join(wholes, "token").filter(smaller & fits).groupBy("gid", "n", "with", "as").agg((F.count(F.lit(1)) + F.max("twins")).alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    found = met.filter(_may_reach(share)).select("gid", "n", "with", "as")
+    others = groups.select(F.col("gid").alias("other"), F.col("n").alias("m"), F.col("unit").alias("with"), F.col("sized").alias("as"))
+    return found.join(others, ["with", "as"]).filter(_fits(share)).select(F.col("gid").alias("a"), F.col("other").alias("b"))
 
 
 def _counted(lists: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
     """Those of pairs (a, b) of groups that share enough prefix shingles."""
-    own = lists.groupBy("gid", "n").agg(F.collect_set("token").alias("tokens"))
-    left = own.select(F.col("gid").alias("a"), "n", F.col("tokens").alias("x"))
+    own = lists.groupBy("gid", "n", "twins").agg(F.collect_set("token").alias("tokens"))
+    left = own.select(F.col("gid").alias("a"), "n", "twins", F.col("tokens").alias("x"))
     right = own.select(F.col("gid").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("x", "y"))).filter(_enough(share)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("x", "y")) + F.col("twins")).filter(_enough(share)).select("a", "b")
