@@ -12,6 +12,7 @@ an empty one.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -24,39 +25,71 @@ from basketgraph.llm.common import cached
 LENGTH, GROUP_DOCS, END_ID = 4096, 8192, 2
 
 
-class ChunkIds(dict):
-    """A run of characters without white space -> its ids as bytes, by the tokenizer itself.
+class ChunkIds:
+    """A run of characters without white space -> its ids as bytes, by the tokenizer's model.
 
-    Right for tokenizers that drop white space and never join across it. Holds up to `limit` chunks.
+    Right for tokenizers that drop white space and never join across it. A run of visible ASCII characters is split
+    into pre-tokens here, so each of these goes through the model once, many in a call; any other run goes through the
+    whole tokenizer. Holds up to `limit` runs, and as many pre-tokens.
     """
 
+    #: Fixed value: how the tokenizer's pre-tokenizer splits lower-cased ASCII text.
+    PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+
     def __init__(self, path: str, limit: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
-        self.limit, self[""] = limit, b""
+        self.limit, self.ids, self.words = limit, {"": b""}, {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        self.model = Tokenizer(self.tokenizer.model)  # of pre-tokens between spaces
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.split = re.compile(self.PRE_TOKENS).findall
 
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        new = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, found)}
-        if len(self) < self.limit:
-            self.update(new)
+        """Ids of new runs; those that are held are in self.ids, the others in the result."""
+        plain, other = [], []
+        for c in chunks:
+            (plain if c.isascii() and c.isprintable() and not self.special.search(c) else other).append(c)
+        pre = [self.split(c.lower()) for c in plain]
+        words = self._words(list(set().union(*pre).difference(self.words)))
+        held = self.words
+        new = {c: b"".join([held[w] if w in held else words[w] for w in p]) for c, p in zip(plain, pre)}
+        if other:
+            found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+            new |= {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(other, found)}
+        if len(self.ids) < self.limit:
+            self.ids.update(new)
+            return {}
         return new
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new pre-tokens; those that are held are in self.words, the others in the result."""
+        found = {}
+        for s in range(0, len(words), 4096):
+            own = words[s : s + 4096]
+            e = self.model.encode(" ".join(own), add_special_tokens=False)
+            raw = np.array(e.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(own)), side="right")).tolist()
+            found.update(zip(own, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        if len(self.words) < self.limit:
+            self.words.update(found)
+            return {}
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = self.learn(list({c for s in split for c in s if c not in self}))
-        if not new or len(self) < self.limit:
-            return [b"".join(map(self.__getitem__, s)) for s in split]
-        get = self.get
-        return [b"".join([get(c) if c in self else new[c] for c in s]) for s in split]
+        held = self.ids
+        new = self.learn(list(set().union(*split).difference(held)))
+        if not new:
+            return [b"".join(map(held.__getitem__, s)) for s in split]
+        return [b"".join([held[c] if c in held else new[c] for c in s]) for s in split]
 
 
 def chunk_ids(path: str) -> ChunkIds:
