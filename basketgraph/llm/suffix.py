@@ -4,7 +4,8 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
 (windows) are dealt to shards by a minimiser: the least hash of the k-byte strings in the window, a function of the
 window's bytes alone, so equal windows meet whatever surrounds them. Neighbouring windows of one minimiser form a
 stretch of text, so a shard gets few, short stretches. Only minimisers seen twice matter; equal stretches are
-counted and sent once. In a shard the stretches are concatenated and their suffix array is built by induced sorting
+counted and sent once. Of a shard's stretches only runs of shorter strings that recur in the shard are kept, if they
+have room for a window: whatever else shares a minimiser by chance is not sorted. These runs are concatenated and their suffix array is built by induced sorting
 (SA-IS: suffix types, leftmost-smaller substrings sorted recursively through their names, then both inductions, each
 a pass over the buckets in numpy), with common prefixes of neighbours in text order (PLCP) by way of the irreducible
 ones. Neighbours that share `length` bytes are repeats.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from basketgraph.llm.common import materialize, mix
 
-LENGTH, GRAMS, HOT_BYTES, SHARD_BYTES, MAX_STRETCH = 400, (64, 352), 1 << 20, 1 << 19, 4096
+LENGTH, GRAMS, HOT_BYTES, SHARD_BYTES, MAX_STRETCH = 400, (64, 352), 1 << 20, 1 << 20, 4096
 _B = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -302,6 +303,32 @@ def repeated_starts(texts: list[bytes], times: list[int], length: int) -> list[l
     return out
 
 
+def recurring_parts(texts: list[bytes], times: list[int], groups: list[int], length: int) -> list[tuple[int, int, bytes]]:
+    """(text, begin, part): runs of strings, a third of a window long, that recur in their group, where the runs hold a window.
+
+    All strings of a window that recurs do, so no such window is lost; hashes that fall together only keep too much.
+    """
+    k = max(1, length * 8 // 25)
+    joined = b"\0".join(texts)
+    h = byte_grams(joined, k)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    h ^= np.repeat(mix(np.array(groups, np.int64).view(np.uint64)), sizes)[: len(h)]
+    ordered = np.sort(h)
+    table = np.zeros(1 << 22, bool)
+    table[ordered[1:][ordered[1:] == ordered[:-1]] >> np.uint64(42)] = True
+    hit = table[h >> np.uint64(42)]
+    starts = np.cumsum(sizes) - sizes
+    for a, n, many in zip(starts.tolist(), sizes.tolist(), times):
+        if many > 1:
+            hit[a : a + n - k] = True
+        hit[a + n - k : a + n] = False  # these reach into the next text
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    a, z = edge[::2], edge[1::2] + k - 1
+    a, z = a[z - a >= length], z[z - a >= length]
+    of = np.searchsorted(starts, a, side="right") - 1
+    return [(i, x - y, joined[x:e]) for i, x, y, e in zip(of.tolist(), a.tolist(), starts[of].tolist(), z.tolist())]
+
+
 # On Spark
 
 _STRETCH = "minimiser long, stretch long, a long, b long, times long, first int, last int, at array<int>, recurs boolean"
@@ -330,13 +357,17 @@ def _stretch_rows(batches, k: int, length: int):
 
 
 def _sorted_shards(batches, length: int):
-    """Suffix arrays of SHARD_BYTES or more of stretches, whole minimisers each; rows come sorted by minimiser."""
+    """Suffix arrays of what recurs in SHARD_BYTES or more of stretches, whole minimisers each; rows come sorted by minimiser."""
     held: list[tuple] = []
     size = 0
 
     def done():
-        spans = repeated_starts([x[3] for x in held], [x[2] for x in held], length)
-        keep = [(x[0], x[1], s) for x, s in zip(held, spans) if s]
+        parts = recurring_parts([x[3] for x in held], [x[2] for x in held], [x[0] for x in held], length)
+        spans: dict[int, list] = {}
+        if parts:
+            for (i, begin, _), own in zip(parts, repeated_starts([x for _, _, x in parts], [held[i][2] for i, _, _ in parts], length)):
+                spans.setdefault(i, []).extend((begin + a, begin + z) for a, z in own)
+        keep = [(held[i][0], held[i][1], s) for i, s in spans.items() if s]
         m, c, s = zip(*keep) if keep else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(c, pa.int64()), pa.array([[{"first": a, "last": z} for a, z in x] for x in s], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], ["minimiser", "stretch", "runs"])
 
