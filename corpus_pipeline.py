@@ -15,6 +15,8 @@ from basketgraph.llm.queries import _fold, tokenizer_path
 
 
 ROW = "__row"  # a name of id and text
+#: Bytes of a repeated passage that goes (fewer than 50 words have), and of the strings that deal it to shards.
+PASSAGE, PASSAGE_GRAMS = 200, (40, 176)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +42,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that stand elsewhere too; a character cut through goes wholly. n_chars follows the text."""
+    """All documents, without the passages of PASSAGE bytes or more that stand elsewhere too; a character cut through goes wholly. n_chars follows the text."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = suffix.deduplicate(docs, columns=tuple(rest), as_text=True).withColumnRenamed("kept", "text")
+    out = suffix.deduplicate(docs, columns=tuple(rest), as_text=True, length=PASSAGE, grams=PASSAGE_GRAMS).withColumnRenamed("kept", "text")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

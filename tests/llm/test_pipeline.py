@@ -20,6 +20,8 @@ def test_pipeline(spark, tmp_path):
     texts[51] = texts[4]  # a copy
     texts[52] = "too short"
     texts[53], texts[54] = texts[10] + " " + passage, passage + " " + texts[11]  # a passage in two documents
+    short = " ".join(rnd.choice([w for w in vocabulary if len(w) < 6]) for _ in range(52))  # of little more than 50 words
+    texts[57], texts[58] = texts[12] + " " + short, short + " " + texts[13]
     texts[55] = None
     texts[56] = "one two three four five six seven eight " * 20  # repeats itself
     rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
@@ -36,7 +38,8 @@ def test_pipeline(spark, tmp_path):
     out = kept["repeated passages"]
     assert set(out) == set(kept["near copies"])
     assert passage[5:-5] not in out[53] + out[54]
-    assert all(out[i] == texts[i] for i in out if i not in (10, 11, 53, 54))
+    assert short[3:-3] not in out[57] + out[58] and short[50:90] not in out[57] + out[58]
+    assert all(out[i] == texts[i] for i in out if i not in (10, 11, 12, 13, 53, 54, 57, 58))
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.doc_tokens for r in pieces} == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in out.items()}
