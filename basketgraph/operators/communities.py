@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from basketgraph.operators.graph import ranked
 from basketgraph.operators.traverse import connected_components
-from basketgraph.session import materialize
+from basketgraph.session import materialize, numbered
 
 
 def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0, weighted: bool = True, by: list[str] = (), digits: int | None = 6) -> DataFrame:
@@ -30,7 +30,10 @@ def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0, we
 
 
 def _moves(edges: DataFrame, members: DataFrame, degree: DataFrame, gamma, by: list[str], turn: int, seed: int, within: bool) -> DataFrame:
-    """by, node, to: the best strictly better community of nodes whose turn it is, among those of their neighbours."""
+    """by, node, to, mine: the best strictly better community of a node among those of its neighbours, and whether it is its turn.
+
+    Half of the nodes have a turn at first, later ever fewer, as neighbours that move at once may go round in circles.
+    """
     own = members.select(*by, "node", "community", *(["outer"] if within else []))
     nbr = own.select(*by, F.col("node").alias("dst"), F.col("community").alias("to"), *([F.col("outer").alias("outer_to")] if within else []))
     links = edges.join(nbr, [*by, "dst"]).join(own.withColumnRenamed("node", "src"), [*by, "src"])
@@ -47,31 +50,29 @@ def _moves(edges: DataFrame, members: DataFrame, degree: DataFrame, gamma, by: l
     best = rows.withColumn("nth", F.row_number().over(W.partitionBy(*by, "node").orderBy(F.desc("gain"), "to"))).filter("nth = 1")
     stay = rows.filter("here").select(*by, "node", F.col("gain").alias("stay"))
     best = best.join(stay, [*by, "node"], "left").fillna(0.0, ["stay"])
-    mine = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(turn)), F.lit(2)) == 0
-    return best.filter((F.col("to") != F.col("community")) & (F.col("gain") > F.col("stay")) & (F.col("gain") > 0) & mine).select(*by, "node", "to")
+    mine = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(turn)), F.lit(2 + turn // 16)) == 0
+    return best.filter((F.col("to") != F.col("community")) & (F.col("gain") > F.col("stay")) & (F.col("gain") > 0)).select(*by, "node", "to", mine.alias("mine"))
 
 
 def _local(edges: DataFrame, members: DataFrame, degree: DataFrame, gamma, by: list[str], rounds: int, seed: int, within: bool = False) -> DataFrame:
-    """Rounds of moves, half of the nodes in turn; they stop when two rounds in a row move nothing."""
-    idle = 0
+    """Rounds of moves until no node has a better community."""
     for turn in range(rounds):
-        moves = materialize(_moves(edges, members, degree, gamma, by, turn, seed, within), "moves")
-        if moves.isEmpty():
-            idle += 1
-            if idle == 2:
-                break
-            continue
-        idle = 0
+        wishes = materialize(_moves(edges, members, degree, gamma, by, turn, seed, within), "moves")
+        if wishes.isEmpty():
+            break
+        moves = wishes.filter("mine").drop("mine")
         members = materialize(members.join(moves, [*by, "node"], "left").withColumn("community", F.coalesce("to", "community")).drop("to"), "members")
     return members
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, by: list[str] = (), levels: int = 3, rounds: int = 8, seed: int = 1) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, by: list[str] = (), levels: int = 32, rounds: int = 64, seed: int = 1) -> DataFrame:
     """by, node, community (numbered from 0 by size, then smallest node). Edges: source, target, weight.
 
     A level moves nodes, refines each community from single nodes within it, and makes refined parts the nodes of
     the next level, which starts from the communities found. In the end communities that are not connected are split.
-    A column `resolution` among `by` gives each graph its own.
+    A level ends when no node has a better community, and the last level is the one that merges nothing; `rounds` and
+    `levels` only stop moves that go round in circles. A column `resolution` among `by` gives
+    each graph its own.
     """
     by = list(by)
     gamma = F.col("resolution") if "resolution" in by else F.lit(resolution)
@@ -112,8 +113,11 @@ def connected_within(edges: DataFrame, members: DataFrame, by: list[str] = ()) -
 def relabel(members: DataFrame, by: list[str] = ()) -> DataFrame:
     """Communities numbered from 0, the largest first, then the smallest node. Communities of one graph are ordered together."""
     sizes = members.groupBy(*by, "community").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
-    order = W.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("size"), "least")
-    numbers = sizes.select(*by, "community", (F.row_number().over(order) - 1).alias("number"))
+    order = [F.desc("size"), F.asc("least")]
+    if by:
+        numbers = sizes.select(*by, "community", (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).alias("number"))
+    else:
+        numbers = numbered(sizes, order).select("community", F.col("number").cast("int"))
     return members.join(numbers, [*by, "community"]).select(*by, "node", F.col("number").alias("community"))
 
 

@@ -11,6 +11,9 @@ from basketgraph.functions.vectors import cosine
 from basketgraph.operators import graph, walks
 from basketgraph.session import materialize, uniform
 
+#: Nodes in the walks of a part.
+PART_NODES = 2_000_000
+
 
 def train_part(paths: list[list[str]], names: list[str], inner: np.ndarray, outer: np.ndarray, weights: np.ndarray, window: int, negatives: int, rate: float, seed: int) -> None:
     """One pass over the walks of a partition, in place; a negative is never the context itself."""
@@ -39,12 +42,14 @@ def _of_epoch(run, epoch: int):
     return lambda left, right: run(epoch, left, right)
 
 
-def train_embeddings(paths: DataFrame, dimensions: int, window: int = 3, negatives: int = 3, epochs: int = 4, rate: float = 0.035, parts: int = 4, seed: int = 42) -> DataFrame:
+def train_embeddings(paths: DataFrame, dimensions: int, window: int = 3, negatives: int = 3, epochs: int = 4, rate: float = 0.035, parts: int | None = None, seed: int = 42) -> DataFrame:
     """node, vector from walks (start, nth, walk).
 
     Each part gets its walks and the vectors of the nodes in them, so nothing grows with the whole graph; negatives
-    come from the part's nodes by their counts to the power 0.75. After an epoch a node's vectors are averaged.
+    come from the part's nodes by their counts to the power 0.75. After an epoch a node's vectors are averaged. Without
+    `parts` there is one for each PART_NODES of all walks' nodes, so a part has a bound and their number grows.
     """
+    parts = parts or max(1, (paths.agg(F.sum(F.size("walk"))).first()[0] or 0) // PART_NODES)
     dealt = materialize(paths.select(F.pmod(F.xxhash64("start", "nth"), F.lit(parts)).alias("part"), "start", "nth", "walk"), "dealt")
     counts = materialize(dealt.select("part", F.explode("walk").alias("node")).groupBy("part", "node").agg(F.count(F.lit(1)).alias("n")), "counts")
     start = F.transform(F.sequence(F.lit(1), F.lit(dimensions)), lambda i: (uniform(seed, F.col("node"), i) - 0.5) / dimensions)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from basketgraph.operators import graph, traverse
+from basketgraph.session import materialize
 
 BY = ["period"]
 
@@ -34,8 +35,8 @@ def period_summary(basket_counts: DataFrame, nodes: DataFrame, edges: DataFrame,
 
 def period_top_nodes(nodes: DataFrame, edges: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
     """The k nodes of most strength (then degree centrality, name) of each period with their scores."""
-    adj = graph.adjacency(edges, BY).persist()
-    hops = traverse.hop_distances(nodes, adj, BY)
+    adj = materialize(graph.adjacency(edges, BY), "adjacency")
+    hops = materialize(traverse.hop_distances(nodes, adj, BY), "hops")
     scores = [graph.degree_centrality(nodes, adj, BY).drop("degree").withColumnRenamed("centrality", "degree_centrality"), graph.strength(nodes, adj, BY), traverse.betweenness(hops, nodes, adj, BY), traverse.closeness(hops, nodes, BY)]
     rows = nodes
     for s in scores:

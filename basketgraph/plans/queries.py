@@ -38,8 +38,7 @@ CATEGORY_SQL = "CASE WHEN {0} LIKE 'red%' OR {0} LIKE 'hot%' THEN 'warm' WHEN {0
 B = "b AS (SELECT DISTINCT l_orderkey AS basket, p_name AS item FROM lineitem JOIN part ON l_partkey = p_partkey)"
 N = f"{B}, n AS (SELECT item AS node, count(*) AS frequency, {CATEGORY_SQL.format('item')} AS category FROM b GROUP BY 1)"
 E = f"{N}, e AS (SELECT x.item AS source, y.item AS target, count(*) AS weight FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2)"
-#: Edges clearly heavier than the mean: a sparse graph of all items.
-K = f"{E}, k AS (SELECT source, target, weight FROM (SELECT *, sum(weight) OVER () AS tw, count(*) OVER () AS c FROM e) WHERE 100 * weight * c > 115 * tw)"
+K = f"{E}, k AS (SELECT source, target, weight FROM e)"
 A = f"{K}, a AS (SELECT source AS src, target AS dst, CAST(weight AS DOUBLE) AS w FROM k UNION ALL SELECT target, source, CAST(weight AS DOUBLE) FROM k)"
 H = f"{A}, h0 AS (SELECT node AS source, node, 0 AS d FROM n UNION SELECT h0.source, a.dst, h0.d + 1 FROM h0 JOIN a ON a.src = h0.node WHERE h0.d < 8), h AS (SELECT source, node, min(d) AS d FROM h0 GROUP BY 1, 2)"
 PB = "b AS (SELECT DISTINCT year(o_orderdate) AS period, l_orderkey AS basket, p_name AS item FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"
@@ -76,16 +75,10 @@ def nodes_of(items: DataFrame, by: list[str] = ()) -> DataFrame:
     return cooc.item_frequency(items, by).withColumn("category", clean.infer_category(F.col("node"), CATEGORIES, "plain"))
 
 
-def backbone(edges: DataFrame) -> DataFrame:
-    total = F.broadcast(edges.agg(F.sum("weight").alias("tw"), F.count(F.lit(1)).alias("c")))
-    return edges.crossJoin(total).filter(100 * F.col("weight") * F.col("c") > 115 * F.col("tw")).drop("tw", "c")  # one row
-
-
-def network(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, all edges or those of the backbone, adjacency; written once, as traversals read them again and again."""
+def network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges, adjacency of all items; written once, as traversals read them again and again."""
     items = materialize(baskets(spark, d), "baskets")
-    pairs = cooc.cooccurrence_edges(items)
-    nodes, edges = materialize(nodes_of(items), "nodes"), materialize(pairs if whole else backbone(pairs), "edges")
+    nodes, edges = materialize(nodes_of(items), "nodes"), materialize(cooc.cooccurrence_edges(items), "edges")
     return nodes, edges, materialize(graph.adjacency(edges), "adjacency")
 
 
@@ -415,9 +408,15 @@ def betweenness(spark, d):
     return traverse.betweenness(traverse.hop_distances(nodes, adj), nodes, adj).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query()
+#: Weighted: steps on shortest paths from each source, the numbers of these paths by their steps, and what passes each node.
+WEIGHTED = f"""{bellman_ford(8)}, down AS (SELECT x.source, x.node AS u, y.node AS v FROM w8 x JOIN a ON a.src = x.node JOIN w8 y ON y.source = x.source AND y.node = a.dst WHERE abs(x.d + 1 / a.w - y.d) <= 1e-9), p0 AS (SELECT node AS source, node AS v, 1.0::DOUBLE AS c FROM n)""" + "".join(
+    f", p{i} AS (SELECT p.source, down.v, sum(p.c) AS c FROM p{i - 1} p JOIN down ON down.source = p.source AND down.u = p.v GROUP BY 1, 2)" for i in range(1, 9)
+) + ", sg AS (SELECT source, v AS node, sum(c) AS c FROM (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(9)) + ") GROUP BY 1, 2), wd AS (SELECT w8.source, w8.node, w8.d, sg.c FROM w8 JOIN sg ON sg.source = w8.source AND sg.node = w8.node), wt AS (SELECT x.node, sum(x.c * y.c / z.c) AS v FROM wd x JOIN wd y ON x.node = y.source JOIN wd z ON z.source = x.source AND z.node = y.node AND abs(x.d + y.d - z.d) <= 1e-9 WHERE x.source <> x.node AND y.source <> y.node AND x.source <> y.node GROUP BY 1), wc AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM n), wb AS (SELECT n.node, round(coalesce(v, 0) * 0.5 / ((m - 1) * (m - 2) / 2), 6) AS betweenness FROM n LEFT JOIN wt ON wt.node = n.node, wc)"
+
+
+@query(f"WITH {WEIGHTED} SELECT * FROM wb")
 def weighted_betweenness(spark, d):
-    nodes, _, adj = network(spark, d, whole=True)
+    nodes, _, adj = network(spark, d)
     return traverse.betweenness(traverse.weighted_distances(nodes, adj), nodes, adj, weighted=True).withColumn("betweenness", F.round("betweenness", 6))
 
 
@@ -451,7 +450,7 @@ def network_summary(spark, d):
 
 @query()
 def centrality_rankings(spark, d):
-    nodes, _, adj = network(spark, d, whole=True)
+    nodes, _, adj = network(spark, d)
     hops, far = materialize(traverse.hop_distances(nodes, adj), "hops"), traverse.weighted_distances(nodes, adj)
     return graph.rankings({
         "degree": graph.degree_centrality(nodes, adj), "betweenness": traverse.betweenness(hops, nodes, adj), "closeness": traverse.closeness(hops, nodes),
@@ -459,6 +458,33 @@ def centrality_rankings(spark, d):
     })
 
 
+@query(f"WITH {N} SELECT category, count(*) AS nodes FROM n GROUP BY 1")
+def category_counts(spark, d):
+    return graph.category_counts(nodes_of(baskets(spark, d)))
+
+
+# The graph of single parts: 200,000 x sf items, each order a basket.
+
+PART_E = "b AS (SELECT DISTINCT l_orderkey AS basket, l_partkey AS item FROM lineitem), e AS (SELECT x.item AS source, y.item AS target, count(*) AS weight FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2)"
+
+
+def part_network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    items = cooc.basket_items(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item")), "basket", "item")
+    return cooc.item_frequency(items), cooc.cooccurrence_edges(items)
+
+
+@query(f"WITH {PART_E}, a AS (SELECT source AS node, weight FROM e UNION ALL SELECT target, weight FROM e), n AS (SELECT DISTINCT item AS node FROM b) SELECT n.node, CAST(coalesce(sum(weight), 0) AS DOUBLE) AS strength FROM n LEFT JOIN a USING (node) GROUP BY 1")
+def part_strength(spark, d):
+    nodes, edges = part_network(spark, d)
+    return graph.strength(nodes, graph.adjacency(edges))
+
+
+@query(f"WITH {PART_E}, x AS (SELECT (SELECT count(DISTINCT item) FROM b) AS nodes, count(*) AS edges, max(weight) AS max_weight FROM e) SELECT nodes, edges, max_weight, round(edges / (nodes * (nodes - 1) / 2), 6) AS density FROM x")
+def part_summary(spark, d):
+    nodes, edges = part_network(spark, d)
+    return graph.network_summary(nodes, edges).withColumn("density", F.round("density", 6))
+
+
 @query(f"WITH {E} SELECT source, target, weight, row_number() OVER (ORDER BY weight DESC, source, target) AS rank FROM e QUALIFY rank <= 10")
 def top_edges(spark, d):
     return graph.top_edges(cooc.cooccurrence_edges(baskets(spark, d)), 10)
@@ -466,8 +492,8 @@ def top_edges(spark, d):
 
 # Periods
 
-SUMMARY = f"""{PE}, bc AS (SELECT period, count(DISTINCT basket) AS basket_count FROM b GROUP BY 1), nc AS (SELECT period, count(*) AS node_count, count(*) FILTER (WHERE category = 'warm') AS warm, count(*) FILTER (WHERE category = 'cool') AS cool FROM n GROUP BY 1),
-ec AS (SELECT period, count(*) AS edge_count, sum(weight) AS tw FROM e GROUP BY 1), cc AS (SELECT period, 1 AS component_count FROM nc),
+SUMMARY = f"""{PA}, rc AS (SELECT period, node, node AS comp FROM n UNION SELECT rc.period, a.dst, rc.comp FROM rc JOIN a ON a.period = rc.period AND a.src = rc.node), bc AS (SELECT period, count(DISTINCT basket) AS basket_count FROM b GROUP BY 1), nc AS (SELECT period, count(*) AS node_count, count(*) FILTER (WHERE category = 'warm') AS warm, count(*) FILTER (WHERE category = 'cool') AS cool FROM n GROUP BY 1),
+ec AS (SELECT period, count(*) AS edge_count, sum(weight) AS tw FROM e GROUP BY 1), cc AS (SELECT period, count(DISTINCT comp) AS component_count FROM (SELECT period, node, min(comp) AS comp FROM rc GROUP BY 1, 2) GROUP BY 1),
 summary AS (SELECT period, basket_count, node_count, edge_count, round(edge_count / (node_count * (node_count - 1) / 2), 6) AS density, round(2 * edge_count / node_count, 6) AS avg_degree, round(CAST(tw AS DOUBLE) / edge_count, 6) AS avg_weight, CAST(component_count AS BIGINT) AS component_count, round(warm / node_count, 6) AS warm_ratio, round(cool / node_count, 6) AS cool_ratio FROM bc JOIN nc USING (period) JOIN ec USING (period) JOIN cc USING (period))"""
 
 
@@ -477,18 +503,27 @@ def summary_of(spark, d) -> DataFrame:
     return temporal.period_summary(counts, nodes, edges, traverse.connected_components(nodes, edges, ["period"]), ["warm", "cool"])
 
 
-@query(f"WITH {SUMMARY} SELECT * FROM summary")
+@query(f"WITH RECURSIVE {SUMMARY} SELECT * FROM summary")
 def period_summary(spark, d):
     return summary_of(spark, d)
 
 
-TOP_ST = f"{PA}, m AS (SELECT period, count(*) AS c FROM n GROUP BY 1), top AS (SELECT n.period, n.node, category, frequency, CAST(strength AS DOUBLE) AS strength, round(degree / (c - 1), 6) AS degree_centrality, row_number() OVER (PARTITION BY n.period ORDER BY strength DESC, degree DESC, n.node) AS rank FROM n JOIN st ON st.period = n.period AND st.node = n.node JOIN m ON m.period = n.period QUALIFY rank <= 10)"
+#: Hop distances, numbers of shortest paths (walks of as many steps), betweenness and closeness within each period.
+PERIOD_PATHS = (
+    f"{PA}, h0 AS (SELECT period, node AS source, node, 0 AS d FROM n UNION SELECT h0.period, h0.source, a.dst, h0.d + 1 FROM h0 JOIN a ON a.period = h0.period AND a.src = h0.node WHERE h0.d < 6), h AS (SELECT period, source, node, min(d) AS d FROM h0 GROUP BY 1, 2, 3), s0 AS (SELECT period, node AS source, node, 1.0::DOUBLE AS c FROM n)"
+    + "".join(f", s{i} AS (SELECT s.period, s.source, a.dst AS node, sum(s.c) AS c FROM s{i - 1} s JOIN a ON a.period = s.period AND a.src = s.node GROUP BY 1, 2, 3)" for i in range(1, 7))
+    + ", sg AS (SELECT h.period, h.source, h.node, h.d, s.c FROM h JOIN (" + " UNION ALL ".join(f"SELECT {i} AS d, * FROM s{i}" for i in range(7)) + ") s ON s.period = h.period AND s.source = h.source AND s.node = h.node AND s.d = h.d)"
+)
+PERIOD_SCORES = f"""{PERIOD_PATHS}, m AS (SELECT period, count(*) AS c FROM n GROUP BY 1), t AS (SELECT x.period, x.node, sum(x.c * y.c / z.c) AS v FROM sg x JOIN sg y ON x.period = y.period AND x.node = y.source JOIN sg z ON z.period = x.period AND z.source = x.source AND z.node = y.node AND x.d + y.d = z.d
+WHERE x.source <> x.node AND y.source <> y.node AND x.source <> y.node GROUP BY 1, 2), cl AS (SELECT period, source AS node, sum(d) AS s, count(*) AS r FROM h GROUP BY 1, 2),
+scores AS (SELECT period, node, round(coalesce(v, 0) * 0.5 / ((c - 1) * (c - 2) / 2), 6) AS betweenness, round(CASE WHEN s > 0 THEN (r - 1) / s * (r - 1) / (c - 1) ELSE 0 END, 6) AS closeness FROM n JOIN m USING (period) JOIN cl USING (period, node) LEFT JOIN t USING (period, node))"""
+TOP_ST = f"{PERIOD_SCORES}, top AS (SELECT n.period, n.node, category, frequency, CAST(strength AS DOUBLE) AS strength, round(degree / (c - 1), 6) AS degree_centrality, row_number() OVER (PARTITION BY n.period ORDER BY strength DESC, degree DESC, n.node) AS rank FROM n JOIN st ON st.period = n.period AND st.node = n.node JOIN m ON m.period = n.period QUALIFY rank <= 10)"
 
 
-@query(f"WITH {TOP_ST} SELECT * FROM top")
+@query(f"WITH RECURSIVE {TOP_ST} SELECT top.*, betweenness, closeness FROM top JOIN scores USING (period, node)")
 def period_top_nodes(spark, d):
     _, nodes, edges = period_network(spark, d)
-    return temporal.period_top_nodes(nodes, edges).drop("betweenness", "closeness")
+    return temporal.period_top_nodes(nodes, edges)
 
 
 @query(f"WITH {PE} SELECT period, source, target, weight, row_number() OVER (PARTITION BY period ORDER BY weight DESC, source, target) AS rank FROM e QUALIFY rank <= 10")
@@ -502,9 +537,13 @@ def period_leaders(spark, d):
     return temporal.period_leaders(items.select("period").distinct(), nodes, edges)
 
 
-@query(f"WITH {SUMMARY}, l AS (SELECT lag(period) OVER o AS before, period AS after, lag(edge_count) OVER o AS edge_count_before, edge_count AS edge_count_after, lag(avg_weight) OVER o AS avg_weight_before, avg_weight AS avg_weight_after FROM summary WINDOW o AS (ORDER BY period)) SELECT *, round(edge_count_after - edge_count_before, 6) AS edge_count_change, round(avg_weight_after - avg_weight_before, 6) AS avg_weight_change FROM l WHERE before IS NOT NULL")
+CHANGES = ["node_count", "edge_count", "avg_weight", "warm_ratio", "cool_ratio"]
+CHANGES_SQL = ", ".join(f"lag({c}) OVER o AS {c}_before, {c} AS {c}_after" for c in CHANGES), ", ".join(f"round({c}_after - {c}_before, 6) AS {c}_change" for c in CHANGES)
+
+
+@query(f"WITH RECURSIVE {SUMMARY}, l AS (SELECT lag(period) OVER o AS before, period AS after, {CHANGES_SQL[0]} FROM summary WINDOW o AS (ORDER BY period)) SELECT *, {CHANGES_SQL[1]} FROM l WHERE before IS NOT NULL")
 def period_changes(spark, d):
-    return temporal.period_changes(summary_of(spark, d), ["edge_count", "avg_weight"])
+    return temporal.period_changes(summary_of(spark, d), CHANGES)
 
 
 @query(f"WITH {PA}, t AS (SELECT period, node, CAST(strength AS DOUBLE) AS strength, row_number() OVER (PARTITION BY period ORDER BY strength DESC, node) AS rank FROM st QUALIFY rank <= 10) SELECT period, node, strength, rank, round(strength / greatest(max(strength) OVER (), 1), 6) AS share FROM t")
@@ -533,7 +572,7 @@ def weighted_pick(spark, d):
 
 @query()
 def random_walks(spark, d):
-    nodes, edges, adj = network(spark, d, whole=True)
+    nodes, edges, adj = network(spark, d)
     return walks.random_walks(graph.without_isolated(nodes, edges), adj, 12, 14, 1.0, 0.8).select("start", "nth", F.array_join("walk", "|").alias("walk"))
 
 
@@ -559,7 +598,7 @@ def node_embeddings(spark, d):
 
 @query()
 def node2vec(spark, d):
-    nodes, edges, _ = network(spark, d, whole=True)
+    nodes, edges, _ = network(spark, d)
     return _rounded(embed.node2vec(nodes, edges, 16, epochs=4), "node", 16)
 
 
@@ -658,7 +697,7 @@ def cluster_top_members(spark, d):
 @query()
 def sweep_settings(spark, d):
     near = materialize(knn.knn_neighbors(embeddings(spark, d), 12), "near")
-    return comm.sweep_settings(near, [5, 8, 10, 12], [0.8, 1.0, 1.2, 1.5], levels=1, rounds=4)
+    return comm.sweep_settings(near, [5, 8, 10, 12], [0.8, 1.0, 1.2, 1.5])
 
 
 @query(

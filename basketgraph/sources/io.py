@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from basketgraph.session import numbered
+
 
 def read_csv(spark: SparkSession, path, schema: StructType | str) -> DataFrame:
     """CSV with a header (and a byte order mark, if any), doubled quotes and quoted newlines."""
@@ -15,7 +17,8 @@ def read_csv(spark: SparkSession, path, schema: StructType | str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, digits: int | None = None) -> None:
-    rows = df if digits is None else df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    """With digits floating-point numbers have so many decimals, also where they are zeros."""
+    rows = df if digits is None else df.select(*[F.format_string(f"%.{digits}f", F.col(c).cast("double")).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
     rows.write.options(header=True, quote='"', escape='"', escapeQuotes=True).csv(path)
 
 
@@ -58,10 +61,9 @@ def xml_nodes(nodes: DataFrame, key: str, attributes: list[str]) -> DataFrame:
 
 def number_edges(edges: DataFrame) -> DataFrame:
     """Edges for the XML writer, numbered e0, e1, ... by weight, source, target."""
-    schema = "_id string, _source string, _target string, data array<struct<_key:string,_VALUE:string>>"
-    ordered = edges.select("source", "target", "weight").orderBy(F.desc("weight"), "source", "target")
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (f"e{x[1]}", x[0][0], x[0][1], [("weight", str(x[0][2]))]))
-    return edges.sparkSession.createDataFrame(numbered, schema)
+    rows = numbered(edges.select("source", "target", "weight"), [F.desc("weight"), F.asc("source"), F.asc("target")])
+    data = F.array(F.struct(F.lit("weight").alias("_key"), F.col("weight").cast("string").alias("_VALUE")))
+    return rows.select(F.concat(F.lit("e"), "number").alias("_id"), F.col("source").alias("_source"), F.col("target").alias("_target"), data.alias("data"))
 
 
 def write_xml(rows: DataFrame, path: str, tag: str, root: str = "graph") -> None:
