@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from basketgraph.llm.common import LOWER, gram_hashes, materialize, mix, word_hashes
 
-K, SHARE, MAX_FREQUENT, FREQUENT, STARS = 5, 80, 500_000, 8, 4
+K, SHARE, MAX_FREQUENT, FREQUENT, STARS = 5, 80, 500_000, 8, 3
 #: Bits of the map of shared shingles (8 MB), and pairs up to which their ends are broadcast (16 MB).
 MAP_BITS, BROADCAST_PAIRS = 26, 500_000
 #: Sizes whose ratio is at least this are nearly one.
@@ -112,8 +112,8 @@ def frequent_tokens(rows: DataFrame, k: int, max_frequent: int) -> tuple[np.ndar
         return pa.RecordBatch.from_arrays([pa.array(token[keep].astype(np.int64)), pa.array(times[keep])], ["token", "times"])
 
     counts = _by_bucket(rows.mapInArrow(pack, "bucket int, tokens binary"), count, "token long, times long")
-    top = counts.orderBy(F.desc("times"), "token").limit(max_frequent).select("token").toPandas()
-    token = top.token.to_numpy(np.uint32)
+    top = counts.orderBy(F.desc("times"), "token").limit(max_frequent).select("token").toArrow()
+    token = top.column("token").to_numpy().astype(np.uint32)
     order = np.argsort(token)
     return token[order], order.astype(np.int32)
 
@@ -282,6 +282,7 @@ def row_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     rows = docs.select(row_name(key, text).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     frequent = context.broadcast(frequent_tokens(rows, k, max_frequent))
     table = materialize(rows.mapInArrow(lambda bs: _prefixes(bs, frequent.value, k, share), "id long, n int, sig binary, alike long, prefix array<int>, twins int"), "prefixes")
+    frequent.destroy()
     full = table.filter("n > 0")
     # Vertices (one for each distinct set) and their groups (same prefix and size), each named by its smallest id.
     firsts = full.groupBy("sig", "alike", "n").agg(F.min("id").alias("id"))
@@ -291,6 +292,7 @@ def row_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     shared = context.broadcast(shared_map(full))
     listed = full.select("alike", "n", "prefix", "twins").mapInArrow(lambda bs: _listed(bs, shared.value), "token int, alike long, n int, twins int").distinct()
     listed = materialize(listed.join(groups, "alike").select("token", "gid", "n", "twins"), "listed")
+    shared.destroy()
     several = listed.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token")
     lists = listed.join(several, "token")
     # Shingles of its prefix that a group has for itself: where edits were few, they are few.
