@@ -697,7 +697,7 @@ def cluster_top_members(spark, d):
 @query()
 def sweep_settings(spark, d):
     near = materialize(knn.knn_neighbors(embeddings(spark, d), 12), "near")
-    return comm.sweep_settings(near, [5, 8, 10, 12], [0.8, 1.0, 1.2, 1.5])
+    return comm.sweep_settings(near, [5, 8, 10, 12], [0.8, 1.0, 1.2, 1.5], levels=3, rounds=8)
 
 
 @query(
