@@ -448,7 +448,12 @@ def network_summary(spark, d):
     return graph.network_summary(nodes, edges).withColumn("density", F.round("density", 6))
 
 
-@query()
+def rankings_sql(scores: dict[str, tuple[str, str]], k: int = 5) -> str:
+    every = " UNION ALL ".join(f"SELECT '{m}' AS metric, node, round({c}, 6) AS value FROM ({SQL[q]})" for m, (q, c) in scores.items())
+    return f"SELECT metric, node, value, row_number() OVER (PARTITION BY metric ORDER BY value DESC, node) AS rank FROM ({every}) QUALIFY rank <= {k}"
+
+
+@query(rankings_sql({"degree": ("degree_centrality", "centrality"), "strength": ("strength", "strength"), **{m: (m, m.split("_")[-1]) for m in ("betweenness", "closeness", "weighted_betweenness", "weighted_closeness")}}))
 def centrality_rankings(spark, d):
     nodes, _, adj = network(spark, d)
     hops, far = materialize(traverse.hop_distances(nodes, adj), "hops"), traverse.weighted_distances(nodes, adj)
@@ -570,7 +575,19 @@ def weighted_pick(spark, d):
     return lists.select(F.col("src").alias("node"), walks.weighted_pick(F.col("options"), uniform(9, "src")).alias("pick"))
 
 
-@query()
+def walks_sql(num: int, length: int, p: float, q: float, seed: int = 42) -> str:
+    """Each step: weighted neighbours of where a walk stands, and the first whose running sum reaches a hashed share of the total."""
+    out = f"WITH {A}, s0 AS MATERIALIZED (SELECT src AS start, nth, src AS cur, NULL::VARCHAR AS prev, src AS walk FROM (SELECT DISTINCT src FROM a), range({num}) r(nth))"
+    for i in range(1, length):
+        u = f"('0x' || substr(md5(concat_ws('|', '{seed}', start, nth, '{i}')), 1, 8))::BIGINT / 4294967296.0"
+        weight = f"CASE WHEN s.prev IS NULL OR z.src IS NOT NULL THEN a.w WHEN a.dst = s.prev THEN a.w / {p} ELSE a.w / {q} END"
+        out += f""", o{i} AS (SELECT s.*, a.dst, {weight} AS weight FROM s{i - 1} s JOIN a ON a.src = s.cur LEFT JOIN a z ON z.src = s.prev AND z.dst = a.dst),
+r{i} AS (SELECT *, sum(weight) OVER (PARTITION BY start, nth ORDER BY dst) AS run, sum(weight) OVER (PARTITION BY start, nth) AS total FROM o{i}),
+s{i} AS MATERIALIZED (SELECT start, nth, min(dst) AS cur, cur AS prev, concat(walk, '|', min(dst)) AS walk FROM r{i} WHERE run >= {u} * total GROUP BY start, nth, r{i}.cur, walk)"""
+    return f"{out} SELECT start, CAST(nth AS INT) AS nth, walk FROM s{length - 1}"
+
+
+@query(walks_sql(12, 14, 1.0, 0.8))
 def random_walks(spark, d):
     nodes, edges, adj = network(spark, d)
     return walks.random_walks(graph.without_isolated(nodes, edges), adj, 12, 14, 1.0, 0.8).select("start", "nth", F.array_join("walk", "|").alias("walk"))
@@ -709,13 +726,37 @@ def covariance(spark, d):
     return project.covariance(rows, dimension(rows)).withColumn("covariance", F.round("covariance", 6) + 0.0)
 
 
-@query()
+def _square(m: str) -> str:
+    """A symmetric matrix (list of rows) times itself, by its trace."""
+    product = f"list_transform({m}, lambda r: list_transform({m}, lambda c: list_dot_product(r, c)))"
+    return f"(SELECT list_transform(x, lambda r: list_transform(r, lambda v: v / tr)) AS m FROM (SELECT x, list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i][i])) AS tr FROM (SELECT {product} AS x FROM {{0}})))"
+
+
+def pca_sql(squarings: int = 16) -> str:
+    """Powers of the covariance by squaring leave the outer product of its first component; the second is that of what is left."""
+    out = """WITH v AS (SELECT vec_id, label, embedding, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), mean AS (SELECT list(a ORDER BY i) AS mu FROM (SELECT i, avg(x) AS a FROM v GROUP BY 1)),
+a0 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM (SELECT a.i AS i, b.i AS j, covar_samp(a.x, b.x) AS c FROM v a JOIN v b ON a.vec_id = b.vec_id GROUP BY 1, 2) GROUP BY 1))"""
+    for name, after in (("a", "b"), ("b", "")):
+        for i in range(1, squarings + 1):
+            out += f", {name}{i} AS MATERIALIZED {_square('m').format(f'{name}{i - 1}')}"
+        last = f"(SELECT m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM {name}{squarings})"
+        row = f"(SELECT m[list_position(d, list_max(d))] AS r FROM {last})"
+        unit = f"(SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS u FROM {row})"
+        out += f", {name}v AS MATERIALIZED (SELECT list_transform(u, lambda x: x * sign(u[list_position(list_transform(u, lambda y: abs(y)), list_max(list_transform(u, lambda y: abs(y))))])) AS u FROM {unit})"
+        if after:
+            value = f"list_dot_product(list_transform(m, lambda r: list_dot_product(r, u)), u)"
+            out += f", {after}0 AS MATERIALIZED (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * u[i] * u[j])) AS m FROM (SELECT m, u, {value} AS l FROM {name}0, {name}v))"
+    at = "list_dot_product(embedding::DOUBLE[], {0}v.u) - list_dot_product(mu, {0}v.u)"
+    return f"{out}, pca AS (SELECT vec_id AS node, round({at.format('a')}, 6) + 0.0 AS pca_x, round({at.format('b')}, 6) + 0.0 AS pca_y, label AS community FROM embeddings, mean, av, bv)"
+
+
+@query(f"{pca_sql()} SELECT node, pca_x, pca_y FROM pca")
 def pca_projection(spark, d):
     rows = embeddings(spark, d)
-    return project.pca_projection(rows, dimension(rows)).select("node", F.round("pca_x", 6).alias("pca_x"), F.round("pca_y", 6).alias("pca_y"))
+    return project.pca_projection(rows, dimension(rows)).select("node", (F.round("pca_x", 6) + 0.0).alias("pca_x"), (F.round("pca_y", 6) + 0.0).alias("pca_y"))
 
 
-@query()
+@query(f"{pca_sql()} SELECT * FROM pca")
 def projection_table(spark, d):
     rows = embeddings(spark, d)
     return pca_projection(spark, d).join(rows.select("node", F.col("label").alias("community")), "node")

@@ -9,7 +9,7 @@ import pytest
 from basketgraph.plans import queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["standardize_items", "mapping_log", "regroup_items", "cooccurrence_edges", "adjacency", "locate_header", "top_nodes", "skipgram_pairs", "negative_sampling", "knn_edges", "modularity", "covariance", "minmax_scale"]
+NAMES = ["standardize_items", "mapping_log", "regroup_items", "cooccurrence_edges", "adjacency", "locate_header", "top_nodes", "skipgram_pairs", "negative_sampling", "knn_edges", "modularity", "covariance", "minmax_scale", "random_walks", "pca_projection"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
