@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import pytest
 from basketgraph.llm import ann, bpe, jaccard, langid, licenses, lmscore, packing, quality, suffix, toxicity
 
 P = pytest.importorskip("public_tokenizers")
+SF = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "Alone here."), (4, "x" * 50_000), (5, " \n\t "), (6, "é日本 <|endoftext|> 'll")]
 
 
@@ -48,15 +50,28 @@ def test_bpe_round_trip_and_tree(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    for r in bpe.encode(odd(spark), P.path("byte_bpe_50k.json"), decode=True, leaf=64, raw_leaf=16).collect():
+    for r in bpe.encode(odd(spark), P.path("byte_bpe_50k.json"), decode=True, leaf=16, spread=64, raw_leaf=48).collect():
         text = dict(ODD)[r.doc_id] or ""
         assert r.ids == library.encode(text, add_special_tokens=False).ids and r.decoded == text
     enc, rnd = bpe.encoder(P.path("byte_bpe_50k.json")), random.Random(1)
     for _ in range(300):
         text = "".join(rnd.choice(rnd.choice(["ab", " ab'", " \n a1", "日本語中文字。 a", "'sretl x1 ."])) for _ in range(rnd.randrange(300)))
-        parts = list(bpe.cut(enc, text, 40, 8))
-        got = bpe.join_parts(enc, [k for k, _ in parts], [bpe.encode_part(enc, k, p) for k, p in parts])
-        assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+        for raw_leaf in (8, 100, 1000):
+            assert bpe.encode_tree(enc, text, 10, raw_leaf).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_bpe_joins_documents(spark, monkeypatch):
+    """Documents of ordinary size go through the tree, and their ids are the library's."""
+    from tokenizers import Tokenizer
+
+    joins = []
+    monkeypatch.setattr(bpe, "join_texts", lambda *x, was=bpe.join_texts: joins.append(1) or was(*x))
+    library, enc = Tokenizer.from_file(P.path("byte_bpe_50k.json")), bpe.encoder(P.path("byte_bpe_50k.json"))
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for t in texts:
+        assert bpe.encode_tree(enc, t).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert len(joins) >= sum(len(t) > bpe.LEAF for t in texts) > 0
 
 
 def test_packing_holds_each_id_once(spark):
