@@ -69,7 +69,10 @@ def _has_run(text: str, raw_leaf: int) -> bool:
     import re
 
     n = raw_leaf // 4
-    return len(text) >= n and re.search(rf"\S{{{n}}}|\s{{{n}}}", text) is not None
+    if len(text) < n:
+        return False
+    sizes = list(map(len, text.split()))
+    return max(sizes, default=0) >= n or (len(text) - sum(sizes) >= n and re.search(rf"\s{{{n}}}", text) is not None)
 
 
 def cut(enc, text: str, leaf: int = LEAF, raw_leaf: int = RAW_LEAF):
@@ -138,7 +141,7 @@ def _tokens_of(enc, ids: list[int], size: int) -> int:
 
 def join_texts(enc, left: list[int], right: list[int]) -> list[int]:
     """The encoding of the texts of both, from the encodings of either: a window round the seam grows until it agrees."""
-    w = 8
+    w = 4
     while left and right:
         a, b = left[-w:], right[:w]
         before = enc.decode_bytes(a)
@@ -146,9 +149,9 @@ def join_texts(enc, left: list[int], right: list[int]) -> list[int]:
             before = before[next((i for i, c in enumerate(before) if c & 0xC0 != 0x80), len(before)) :]
         before, after = before.decode(), enc.decode_bytes(b).decode("utf-8", "ignore")
         text, at = before + after, len(before)
-        cuts = [m.start() for m in _bound().finditer(text)]
-        low = max((c for c in cuts if c <= at), default=0 if len(left) <= w else None)
-        high = min((c for c in cuts if c >= at), default=len(text) if len(right) <= w else None)
+        low = max((m.start() for m in _bound().finditer(text, 0, at + 1) if m.start() <= at), default=0 if len(left) <= w else None)
+        found = _bound().search(text, at)
+        high = found.start() if found else len(text) if len(right) <= w else None
         if low is not None and high is not None:
             m, n = _tokens_of(enc, a[::-1], len(text[low:at].encode())), _tokens_of(enc, b, len(text[at:high].encode()))
             if m >= 0 and n >= 0:
