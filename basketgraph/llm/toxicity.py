@@ -4,9 +4,10 @@ Folding: lower case, full-width and look-alike letters to Latin, digits and sign
 stand for. The lexicon is learned: words and beginnings of words that documents labelled 1 hold far more often than
 others, weighted by log-odds. A document's matches, those inside an exception phrase left out, are summed, also a
 thousand words, and a logistic fit on labelled documents that the lexicon has not seen turns both sums into a score.
-At most `max_docs` labelled rows are read, picked by a hash of their text.
+About `max_docs` distinct labelled texts at most are read, picked by a hash; all their terms of enough weight count.
 
-Edge cases: null text counts as empty and scores as a text without matches; null labels teach nothing; without
+Edge cases: an empty table gives an empty one; texts of any length are read whole, and of terms that begin at one place
+the heaviest counts; null text counts as empty and scores as a text without matches; null labels teach nothing; without
 labelled rows of both kinds every score is 0; repeated rows give a row each; other columns are left out.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from basketgraph.llm.common import worker_cache
 
-MAX_DOCS, MAX_TERMS, MIN_DOCS, MIN_WEIGHT, SHORTEST, LONGEST = 30_000, 5_000, 4, 3.0, 4, 12
+MAX_DOCS, MIN_DOCS, MIN_WEIGHT, SHORTEST, LONGEST = 30_000, 4, 3.0, 4, 12
 #: Letters of other scripts that look like Latin ones, and what digits and signs stand for in words.
 LOOKALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ո": "n", "ս": "u", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ο": "o", "ν": "v", "ι": "i", "κ": "k", "ρ": "p", "τ": "t", "υ": "u", "ε": "e", "χ": "x", "ı": "i", "ɡ": "g", "ɑ": "a"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
@@ -105,7 +106,7 @@ def learn_terms(labelled: DataFrame) -> dict[str, float]:
     terms = words.select(F.explode(F.concat(F.array(F.concat("word", F.lit("."))), F.when(F.length("word") >= SHORTEST, begin).otherwise(F.array().cast("array<string>")))).alias("term"), "bad", "good")
     terms = terms.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter(F.col("bad") >= MIN_DOCS)
     weight = F.log((F.col("bad") + 0.5) / (float(n[1]) + 1)) - F.log((F.col("good") + 0.5) / (float(n[0]) + 1))
-    best = terms.withColumn("weight", weight).filter(F.col("weight") >= MIN_WEIGHT).orderBy((F.col("weight") * F.col("bad")).desc(), "term").limit(MAX_TERMS).toPandas()
+    best = terms.withColumn("weight", weight).filter(F.col("weight") >= MIN_WEIGHT).toPandas()
     kept: dict[str, float] = {}
     for term, w in sorted(zip(best.term, best.weight), key=lambda x: (len(x[0]), x[0])):
         word = term.rstrip(".")
@@ -136,7 +137,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_docs:
     """(terms with weights, exceptions, coefficients of the score) from rows with a text and a label of 0 or 1."""
     rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1))
     n = rows.count()
-    rows = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < (1_000_000 * min(1.0, max_docs / max(1, n))))
+    rows = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < (1_000_000 * min(1.0, max_docs / max(1, n)))).dropDuplicates()
     held = F.pmod(F.xxhash64(F.lit(1), "t"), F.lit(3)) == 0
     terms = learn_terms(rows.filter(~held))
     if not terms:

@@ -314,3 +314,126 @@ def test_language_id_of_short_texts(spark):
     assert not any(r.rejected for r in langid.predict(docs, model).collect())
     other = spark.createDataFrame([(1, "12 34"), (2, None)], "doc_id long, text string")
     assert all(r.rejected for r in langid.predict(other, model).collect())
+
+
+def test_licence_query_against_a_plain_search(spark, tmp_path):
+    from basketgraph.llm import queries
+
+    rnd = random.Random(9)
+    pieces = ["cc", "by", "CC BY", "general", "public license", "General Public License", "all rights", "reserved", "All Rights Reserved", "é", "x1", "all"]
+    rows = [(i, rnd.choice([" ", "-", "\n, "]).join(rnd.choice(pieces) for _ in range(rnd.randrange(40)))) for i in range(60)] + [(60, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in queries.op7_licenses(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+        hits = [(at, label) for phrase, label in licenses.PHRASES.items() for at in range(len(words)) if words[at : at + len(phrase.split())] == phrase.split()]
+        starts = [at for at, _ in hits]
+        assert got[i] == (len(words), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits})))
+
+
+def test_lexicon_against_a_plain_matcher():
+    rnd = random.Random(10)
+    for _ in range(100):
+        terms = {"".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 4))) + rnd.choice(["", "."]): float(rnd.randrange(1, 9)) for _ in range(6)}
+        harmless = ("ab ba", "a b")
+        text = "".join(rnd.choice("aab  é") for _ in range(60))
+        hits = {}
+        for at in range(len(text)):
+            for term, weight in terms.items():
+                word = term.rstrip(".")
+                end = at + len(word)
+                closed = end >= len(text) or not text[end].isalpha()
+                if text.startswith(word, at) and not (at and text[at - 1].isalpha()) and (closed or not term.endswith(".")):
+                    hits[at] = max(hits.get(at, 0), weight)
+        for phrase in harmless:
+            for at in range(len(text)):
+                end = at + len(phrase)
+                if text.startswith(phrase, at) and not (at and text[at - 1].isalpha()) and (end >= len(text) or not text[end].isalpha()):
+                    hits = {h: w for h, w in hits.items() if not at <= h < end}
+        assert toxicity.Lexicon(terms, harmless).sums(text)[0] == sum(hits.values())
+
+
+def test_kneser_ney_against_plain_counts():
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 8))) for _ in range(200)]
+    order, windows = langid.ORDER, langid.codes_of(words)[0]
+    _, first, times = np.unique(langid.hashes(windows), return_index=True, return_counts=True)
+    model = langid.Model(["x"], [langid.kneser_ney(windows[first], times)])
+    counts = {order: collections.Counter()}
+    for w in words:
+        padded = " " * (order - 1) + w + " "
+        counts[order].update(padded[i : i + order] for i in range(len(padded) - order + 1))
+    for m in range(order - 1, 0, -1):
+        counts[m] = collections.Counter(g[1:] for g in counts[m + 1])
+
+    def chance(gram):
+        m = len(gram)
+        if m == 0:
+            return 1 / langid.ALPHABET
+        own = counts[m]
+        ones, twos = (sum(c == k for c in own.values()) for k in (1, 2))
+        d = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+        follow = [c for g, c in own.items() if g[:-1] == gram[:-1]]
+        rest = d * len(follow) / sum(follow) if follow else 1
+        return (max(own[gram] - d, 0) / sum(follow) if follow and gram in own else 0) + rest * chance(gram[1:])
+
+    probes = ["abca", "ccc", "xa", "b"]
+    got = model.of_words(probes)
+    for w, (cost, n) in zip(probes, got.tolist()):
+        padded = " " * (order - 1) + w + " "
+        want = -sum(np.log(chance(padded[i : i + order])) for i in range(len(padded) - order + 1))
+        assert n == len(w) + 1 and abs(cost - want) < 1e-3
+
+
+def test_lm_scores_and_gradients_against_plain_loops():
+    rng = np.random.default_rng(12)
+    net = lmscore.Network.of(tuple(p.astype(np.float64) + 0.3 * rng.standard_normal(p.shape) for p in lmscore.Network(3).state()))
+    ids = np.array([9, 9, *rng.integers(0, 9, 30), 9, 9])
+    at = np.arange(2, 32)
+
+    def plain():
+        out = []
+        for i in at:
+            h = np.tanh(net.bias + sum(net.embed[ids[i + o]] @ net.project[j] for j, o in enumerate(lmscore.OFFSETS)))
+            kind, place = divmod(int(ids[i]), 3)
+            a, b = h @ net.classes + net.class_bias, h @ net.words[kind] + net.word_bias[kind]
+            out.append(a[kind] - np.log(np.exp(a).sum()) + b[place] - np.log(np.exp(b).sum()))
+        return np.array(out)
+
+    assert np.allclose(net.log_probabilities(ids, at), plain(), atol=1e-4)
+    rows, grads = net._gradients(ids, at)
+    for k, (p, g) in enumerate(zip(net.state(), grads)):
+        whole = np.zeros(p.shape)
+        whole[rows if k == 0 else ...] = g
+        for _ in range(6):
+            where = tuple(rng.integers(0, n) for n in p.shape)
+            was = p[where]
+            losses = []
+            for step in (1e-5, -1e-5):
+                p[where] = was + step
+                losses.append(-plain().mean())
+            p[where] = was
+            assert abs((losses[0] - losses[1]) / 2e-5 - whole[where]) < 1e-6
+
+
+def test_neighbours_recall_of_many_vectors(spark):
+    """20,000 vectors in clumps: nine of ten of the true nearest are found from under a third of all."""
+    rng = np.random.default_rng(13)
+    vectors = np.repeat(rng.standard_normal((500, 12)), 40, axis=0) + 0.25 * rng.standard_normal((20_000, 12))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    asked = range(0, 20_000, 200)
+    got = collections.defaultdict(set)
+    for r in ann.neighbours(table, table.vec_id % 200 == 0, share=0.02).select("query_id", "vec_id").collect():
+        got[r.query_id].add(r.vec_id)
+    found = 0
+    for q in asked:
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        found += len(got[q] & set(np.argsort(-scores)[:20].tolist()))
+    assert found >= 0.9 * 20 * len(asked)
+    forest = ann.Forest(vectors, ann.TREES, ann.LEAF)
+    own = np.zeros(len(forest.leaf_sizes), bool)
+    own[forest.search(vectors[0], 0.02)] = True
+    assert own[forest.leaves(vectors)].any(1).mean() < 1 / 3
