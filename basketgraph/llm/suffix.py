@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from basketgraph.llm.common import materialize, mix
 
@@ -454,13 +455,14 @@ def covered(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, columns: tuple = (), as_text: bool = False, **options) -> DataFrame:
-    """key, any columns named, text_bytes (length in UTF-8), kept (binary), removed (array of start and end).
+    """key, text_bytes (length in UTF-8), kept (binary), removed (array of start and end).
 
+    With columns there is also `more`, a struct of them, so their names clash with none of these.
     With as_text kept is a string, without the characters that a removal cuts through.
     """
     spans = repeated_spans(docs, key, text, length, **options)
-    rows = docs.select(F.col(key).alias("key"), *columns, F.coalesce(F.col(text), F.lit("")).alias("t"), F.xxhash64(key).alias("a"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("b"))
-    keep = ["key", *columns]
+    rows = docs.select(F.col(key).alias("key"), *([F.struct(*columns).alias("more")] if columns else []), F.coalesce(F.col(text), F.lit("")).alias("t"), F.xxhash64(key).alias("a"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("b"))
+    keep = ["key", "more"] if columns else ["key"]
 
     def run(batches):
         for b in batches:
@@ -475,6 +477,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
                 removed.append([{"start": a, "end": z} for a, z in gone])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sizes, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*keep, "text_bytes", "kept", "removed"])
 
-    own = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in columns)
     joined = rows.join(spans, ["a", "b"], "left").select(*keep, "t", "spans")
-    return joined.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, {own}text_bytes long, kept {"string" if as_text else "binary"}, removed array<struct<start:long,end:long>>").withColumnRenamed("key", key)
+    made = StructType.fromDDL(f"text_bytes long, kept {'string' if as_text else 'binary'}, removed array<struct<start:long,end:long>>")
+    out = StructType([*joined.select(*keep).schema, *made])
+    return joined.mapInArrow(run, out).withColumnRenamed("key", key)

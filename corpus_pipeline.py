@@ -1,7 +1,11 @@
 """A corpus pipeline: each stage takes the documents that the one before kept.
 
 quality rules -> language ID -> one of each group of near copies -> repeated passages cut out -> packing. All stages
-but the last return the columns of documents.
+but the last return the columns of documents, and further ones that it has, whatever their names.
+
+Edge cases: a row is judged by its own text, so null or repeated ids share no decision; null and empty texts are
+rejected by the quality rules; of repeated rows one stays after the near copies; texts of any length are read whole;
+the smallest id of a group stays (ties: by the row's name); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -44,8 +48,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of PASSAGE bytes or more that stand elsewhere too; a character cut through goes wholly. n_chars follows the text."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = suffix.deduplicate(docs, columns=tuple(rest), as_text=True, length=PASSAGE, grams=PASSAGE_GRAMS).withColumnRenamed("kept", "text")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    out = suffix.deduplicate(docs, columns=tuple(rest), as_text=True, length=PASSAGE, grams=PASSAGE_GRAMS)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*[new.get(c, F.col("more").getField(c)).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,24 @@ def test_pipeline(spark, tmp_path):
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.doc_tokens for r in pieces} == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in out.items()}
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    """Null ids and texts, repeated rows, a long text and columns of names used inside: columns stay, clean rows too."""
+    rnd = random.Random(10)
+    texts = [" ".join("".join(rnd.choice("abcdeimnorst") for _ in range(6)) for _ in range(50)) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (2, None), (3, ""), (4, texts[2]), (4, texts[3]), (5, "x" * 40_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, t string, row int")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").collect() == [], name
+        out = stage(spark, docs, "")
+        found = out.collect()
+        if name == "packing":
+            assert {r.doc_id for r in found} == {i for i, _ in rows}
+            continue
+        assert out.columns == docs.columns
+        clean = {(r.doc_id, r.text) for r in found}
+        if name != "repeated passages":
+            assert {(None, texts[1]), (1, texts[0]), (4, texts[2]), (4, texts[3])} <= clean, name
+        else:
+            assert len(found) == len(rows) and {(None, texts[1]), (4, texts[2]), (4, texts[3]), (3, "")} <= clean
