@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Word separators by contract: space and \t \n \v \f \r, which is what bytes.split() uses.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -28,14 +30,42 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of at least this share of all rows are hot: there are no more than its inverse.
+HOT = 0.001
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
+    """rows left join table, whose keys are unique and whose `count` says how many rows have them.
+
+    Keys of HOT of all rows or more, 1,000 at most, are broadcast; a row that found its key there, or has none, is given
+    another for the join by shuffle, so no task gets more rows of one key than that share.
+    """
+    if total is None:
+        total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) >= max(1.0, HOT * total)
+    rest = [c for c in table.columns if c not in (*keys, count)]
+    first = F.broadcast(table.filter(hot).select(*keys, F.struct(*rest).alias("_hot")))
+    found = rows.join(first, keys, "left")
+    lone = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], F.col("_hot").isNotNull())
+    spread = F.when(lone, F.monotonically_increasing_id())
+    found = found.withColumn("_spread", F.coalesce(spread, F.lit(-1)))
+    second = table.filter(~hot).select(*keys, F.struct(*rest).alias("_cold"), F.lit(-1).cast("long").alias("_spread"))
+    found = found.join(second, [*keys, "_spread"], "left").drop("_spread")
+    return found.select(*rows.columns, *[F.coalesce(F.col("_hot").getField(c), F.col("_cold").getField(c)).alias(c) for c in rest])
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, whichever task runs in it."""
     import pyspark

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketgraph.llm import ann, bpe, jaccard, langid, licenses, lmscore, packing, quality, suffix, toxicity
-from basketgraph.llm.common import documents
+from basketgraph.llm import align, ann, bpe, jaccard, langid, licenses, lmscore, packing, quality, suffix, toxicity, warc
+from basketgraph.llm.common import documents, materialize
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,5 +76,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_toxicity": op3_toxicity, "op4_lm_score": op4_lm_score, "op5_nearest": op5_nearest, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op8_jaccard_join": op8_jaccard_join, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
-SQL = {"op10_quality_rules": quality.oracle_sql()}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html", "url")
+    return records.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "error")
+
+
+#: Base32 of a digest: each 5 hexadecimal digits are 4 letters.
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM p JOIN f USING (h)"""
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = materialize(align.align(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digest=True), "aligned")
+    out = align.scored(found, materialize(align.pair_counts(found), "counts"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_toxicity": op3_toxicity, "op4_lm_score": op4_lm_score, "op5_nearest": op5_nearest, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op8_jaccard_join": op8_jaccard_join, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules, "op11_warc": op11_warc, "op13_alignment": op13_alignment}
+SQL = {"op10_quality_rules": quality.oracle_sql(), "op11_warc": WARC_SQL}
