@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketgraph.llm import align, ann, bpe, jaccard, langid, licenses, lmscore, packing, quality, suffix, toxicity, warc
+from basketgraph.llm import align, ann, bpe, jaccard, langid, licenses, lmscore, packing, quality, suffix, toxicity, trie, warc
 from basketgraph.llm.common import documents, materialize
 
 
@@ -87,11 +87,29 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(l
   CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM p JOIN f USING (h)"""
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+#: CRC-32 by bits: a byte goes in, then eight shifts (-1), over the characters of an id.
+CRC_SQL = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"
+TRIE_SQL = rf"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(struct_pack(r := r, x := x) ORDER BY pos) AS turns FROM t GROUP BY 1), k AS (SELECT c, turns, c - c % 20 AS base, {CRC_SQL.format("c")} % 4 AS h FROM o),
+b AS (SELECT k.c, list_concat(coalesce(o.turns[1:h], []), k.turns[h + 1:]) AS seq FROM k LEFT JOIN o ON o.c = k.base),
+p AS (SELECT c, d, seq[1:d] AS pre, len(seq) AS n FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM b)),
+v AS (SELECT d, pre, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends FROM p GROUP BY 1, 2),
+ch AS (SELECT d - 1 AS d, pre[1:d - 1] AS pre, count(*) AS n FROM v WHERE d > 0 GROUP BY 1, 2),
+w AS (SELECT v.d, v.pre, conv_id, n_convs, ends, coalesce(ch.n, 0) AS n_children, CASE WHEN v.d > 0 THEN (n_convs - 1) * len(list_filter(regexp_split_to_array(v.pre[v.d].x, '[ 	-]+'), lambda y: y <> '')) ELSE 0 END AS own FROM v LEFT JOIN ch ON ch.d = v.d AND ch.pre = v.pre),
+s AS (SELECT a AS d, pre[1:a] AS pre, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM (SELECT pre, own, n_children, unnest(range(0, d + 1)) AS a FROM w) GROUP BY 1, 2)
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN s ON s.d = w.d AND s.pre = w.pre LEFT JOIN w u ON u.d = w.d - 1 AND u.pre = w.pre[1:w.d - 1]"""
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(align.align(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digest=True), "aligned")
     out = align.scored(found, materialize(align.pair_counts(found), "counts"))
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_toxicity": op3_toxicity, "op4_lm_score": op4_lm_score, "op5_nearest": op5_nearest, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op8_jaccard_join": op8_jaccard_join, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules, "op11_warc": op11_warc, "op13_alignment": op13_alignment}
-SQL = {"op10_quality_rules": quality.oracle_sql(), "op11_warc": WARC_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_toxicity": op3_toxicity, "op4_lm_score": op4_lm_score, "op5_nearest": op5_nearest, "op6_packing": op6_packing, "op7_licenses": op7_licenses, "op8_jaccard_join": op8_jaccard_join, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules, "op11_warc": op11_warc, "op12_conversation_trie": op12_conversation_trie, "op13_alignment": op13_alignment}
+SQL = {"op10_quality_rules": quality.oracle_sql(), "op11_warc": WARC_SQL, "op12_conversation_trie": TRIE_SQL}
