@@ -389,7 +389,7 @@ CLOSE = "SELECT n.node, round(CASE WHEN s > 0 THEN (r - 1) / s * (r - 1) / ((SEL
 @query(f"WITH RECURSIVE {H} {CLOSE.format('h')}")
 def closeness(spark, d):
     nodes, _, adj = network(spark, d)
-    return traverse.closeness(traverse.hop_distances(nodes, adj), nodes).withColumn("closeness", F.round("closeness", 6))
+    return traverse.closeness_of_sums(traverse.hop_sums(nodes, adj), nodes).withColumn("closeness", F.round("closeness", 6))
 
 
 @query(f"WITH {bellman_ford(8)} {CLOSE.format('w8')}")
@@ -438,7 +438,7 @@ def component_sizes(spark, d):
 @query(f"WITH RECURSIVE {H}, c AS ({COMP}), g AS (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) SELECT round(avg(d), 6) AS average_path_length FROM h JOIN c ON c.node = h.source JOIN g USING (component) WHERE d > 0")
 def average_path_length(spark, d):
     nodes, edges, adj = network(spark, d)
-    out = traverse.average_path_length(traverse.connected_components(nodes, edges), traverse.hop_distances(nodes, adj))
+    out = traverse.path_length_of_sums(traverse.connected_components(nodes, edges), traverse.hop_sums(nodes, adj))
     return out.select(F.round("average_path_length", 6).alias("average_path_length"))
 
 
@@ -495,6 +495,136 @@ def top_edges(spark, d):
     return graph.top_edges(cooc.cooccurrence_edges(baskets(spark, d)), 10)
 
 
+# The graph of parts bought in bulk: order lines of more than BULK units. It is sparse at every scale, with many
+# components, parts that stand alone and ways of many hops; a weight is how many units two parts share in orders.
+
+BULK = 46
+BULK_E = f"""b AS (SELECT l_orderkey AS basket, l_partkey AS item, sum(l_quantity)::DOUBLE AS units FROM lineitem WHERE l_quantity > {BULK} GROUP BY 1, 2), n AS (SELECT item AS node, count(*) AS frequency FROM b GROUP BY 1),
+e AS (SELECT x.item AS source, y.item AS target, sum(least(x.units, y.units)) AS weight FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2), a AS (SELECT source AS src, target AS dst, weight AS w FROM e UNION ALL SELECT target, source, weight FROM e)"""
+#: Search by rounds: a row is kept for each pair and changed when a shorter way is found.
+BULK_H = f"{BULK_E}, h(source, node, d) USING KEY (source, node) AS (SELECT node, node, 0 FROM n UNION SELECT h.source, a.dst, min(h.d + 1) FROM h JOIN a ON a.src = h.node LEFT JOIN recurring.h r ON r.source = h.source AND r.node = a.dst WHERE r.node IS NULL GROUP BY 1, 2)"
+BULK_W = f"{BULK_E}, w(source, node, d) USING KEY (source, node) AS (SELECT node, node, 0.0::DOUBLE FROM n UNION SELECT w.source, a.dst, min(w.d + 1 / a.w) FROM w JOIN a ON a.src = w.node LEFT JOIN recurring.w r ON r.source = w.source AND r.node = a.dst WHERE r.d IS NULL OR w.d + 1 / a.w < r.d - 1e-12 GROUP BY 1, 2)"
+#: Steps on shortest paths from each source, and the number of paths to each node, by walks of ever more steps.
+BULK_PATHS = """, down AS MATERIALIZED (SELECT x.source, x.node AS u, y.node AS v FROM {d} x JOIN a ON a.src = x.node JOIN {d} y ON y.source = x.source AND y.node = a.dst WHERE abs(x.d + {length} - y.d) <= 1e-9),
+p(source, v, i, c) AS (SELECT node, node, 0, 1.0::DOUBLE FROM n UNION ALL SELECT p.source, down.v, p.i + 1, sum(p.c) FROM p JOIN down ON down.source = p.source AND down.u = p.v GROUP BY 1, 2, 3), sg AS MATERIALIZED (SELECT q.source, q.node, q.d, c FROM {d} q JOIN (SELECT source, v, sum(c) AS c FROM p GROUP BY 1, 2) s ON s.source = q.source AND s.v = q.node),
+t AS (SELECT x.node, sum(x.c * y.c / z.c) AS v FROM sg x JOIN sg y ON x.node = y.source JOIN sg z ON z.source = x.source AND z.node = y.node AND abs(x.d + y.d - z.d) <= 1e-9 WHERE x.source <> x.node AND y.source <> y.node AND x.source <> y.node GROUP BY 1), m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM n)
+SELECT n.node, round(coalesce(v, 0) * 0.5 / ((m - 1) * (m - 2) / 2), {digits}) AS betweenness FROM n LEFT JOIN t ON t.node = n.node, m"""
+#: Shares of all pairs are small here.
+FINE = 9
+
+
+def bulk_network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges, adjacency."""
+    lines = table(spark, d, "lineitem").filter(F.col("l_quantity") > BULK).groupBy(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item")).agg(F.sum("l_quantity").cast("double").alias("units"))
+    lines = materialize(lines, "lines")
+    nodes = materialize(lines.groupBy(F.col("item").alias("node")).agg(F.count(F.lit(1)).alias("frequency")), "nodes")
+    other = lines.select("basket", F.col("item").alias("target"), F.col("units").alias("others"))
+    pairs = lines.withColumnRenamed("item", "source").join(other, "basket").filter("source < target")  # an order has few lines
+    edges = materialize(pairs.groupBy("source", "target").agg(F.sum(F.least("units", "others")).alias("weight")), "edges")
+    return nodes, edges, materialize(graph.adjacency(edges), "adjacency")
+
+
+@query(f"WITH {BULK_E}, x AS (SELECT (SELECT count(*) FROM n) AS nodes, count(*) AS edges, max(weight) AS max_weight FROM e) SELECT nodes, edges, max_weight, round(edges / (nodes * (nodes - 1) / 2), 9) AS density FROM x")
+def bulk_summary(spark, d):
+    nodes, edges, _ = bulk_network(spark, d)
+    return graph.network_summary(nodes, edges).withColumn("density", F.round("density", FINE))
+
+
+@query(f"WITH {BULK_E} SELECT node FROM n WHERE node NOT IN (SELECT src FROM a)")
+def bulk_isolated(spark, d):
+    nodes, edges, _ = bulk_network(spark, d)
+    return graph.isolated_nodes(nodes, edges).select("node")
+
+
+@query(f"WITH {BULK_E}, g AS (SELECT src, count(*) AS c, sum(w) AS s FROM a GROUP BY 1) SELECT node, coalesce(c, 0) AS degree, round(coalesce(c, 0) / ((SELECT count(*) FROM n) - 1), 9) AS centrality, coalesce(s, 0) AS strength FROM n LEFT JOIN g ON src = node")
+def bulk_degrees(spark, d):
+    nodes, _, adj = bulk_network(spark, d)
+    return graph.degree_centrality(nodes, adj).withColumn("centrality", F.round("centrality", FINE)).join(graph.strength(nodes, adj), "node")
+
+
+@query(f"WITH RECURSIVE {BULK_H} SELECT source, node, d FROM h")
+def bulk_hop_distances(spark, d):
+    nodes, _, adj = bulk_network(spark, d)
+    return traverse.hop_distances(nodes, adj)
+
+
+@query(f"WITH RECURSIVE {BULK_W} SELECT source, node, round(d, 6) AS d FROM w")
+def bulk_weighted_distances(spark, d):
+    nodes, _, adj = bulk_network(spark, d)
+    return traverse.weighted_distances(nodes, adj).withColumn("d", F.round("d", 6))
+
+
+BULK_CLOSE = "SELECT n.node, round(CASE WHEN s > 0 THEN (r - 1) / s * (r - 1) / ((SELECT count(*) FROM n) - 1) ELSE 0 END, {digits}) AS closeness FROM n JOIN (SELECT source, sum(d) AS s, count(*) AS r FROM {0} GROUP BY 1) ON source = n.node"
+
+
+@query(f"WITH RECURSIVE {BULK_H} {BULK_CLOSE.format('h', digits=FINE)}")
+def bulk_closeness(spark, d):
+    nodes, _, adj = bulk_network(spark, d)
+    return traverse.closeness_of_sums(traverse.hop_sums(nodes, adj), nodes).withColumn("closeness", F.round("closeness", FINE))
+
+
+@query()
+def bulk_estimated_closeness(spark, d):
+    nodes, _, adj = bulk_network(spark, d)
+    return traverse.estimated_closeness(nodes, adj)
+
+
+@query(f"WITH RECURSIVE {BULK_W} {BULK_CLOSE.format('w', digits=6)}")
+def bulk_weighted_closeness(spark, d):
+    nodes, _, adj = bulk_network(spark, d)
+    return traverse.closeness(traverse.weighted_distances(nodes, adj), nodes).withColumn("closeness", F.round("closeness", 6))
+
+
+@query(f"WITH RECURSIVE {BULK_H}{BULK_PATHS.format(d='h', length='1', digits=FINE)}")
+def bulk_betweenness(spark, d):
+    nodes, edges, adj = bulk_network(spark, d)
+    return traverse.batched_betweenness(nodes, edges, adj).withColumn("betweenness", F.round("betweenness", FINE))
+
+
+@query(f"WITH RECURSIVE {BULK_W}{BULK_PATHS.format(d='w', length='1 / a.w', digits=FINE)}")
+def bulk_weighted_betweenness(spark, d):
+    nodes, edges, adj = bulk_network(spark, d)
+    return traverse.batched_betweenness(nodes, edges, adj, weighted=True).withColumn("betweenness", F.round("betweenness", FINE))
+
+
+@query()
+def bulk_sampled_betweenness(spark, d):
+    nodes, edges, adj = bulk_network(spark, d)
+    return traverse.sampled_betweenness(nodes, edges, adj)
+
+
+@query(f"WITH RECURSIVE {BULK_H} {COMP}")
+def bulk_components(spark, d):
+    nodes, edges, _ = bulk_network(spark, d)
+    return traverse.connected_components(nodes, edges)
+
+
+@query(f"WITH RECURSIVE {BULK_H} SELECT component, count(*) AS size FROM ({COMP}) GROUP BY 1")
+def bulk_component_sizes(spark, d):
+    nodes, edges, _ = bulk_network(spark, d)
+    return traverse.component_sizes(traverse.connected_components(nodes, edges))
+
+
+@query(f"WITH RECURSIVE {BULK_H}, c AS ({COMP}), g AS (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) SELECT round(avg(d), 6) AS average_path_length FROM h JOIN c ON c.node = h.source JOIN g USING (component) WHERE d > 0")
+def bulk_path_length(spark, d):
+    nodes, edges, adj = bulk_network(spark, d)
+    out = traverse.path_length_of_sums(traverse.connected_components(nodes, edges), traverse.hop_sums(nodes, adj))
+    return out.select(F.round("average_path_length", 6).alias("average_path_length"))
+
+
+BULK_SCORES = {"degree": ("bulk_degrees", "centrality"), "strength": ("bulk_degrees", "strength"), "betweenness": ("bulk_betweenness", "betweenness"), "closeness": ("bulk_closeness", "closeness"), "weighted_betweenness": ("bulk_weighted_betweenness", "betweenness"), "weighted_closeness": ("bulk_weighted_closeness", "closeness")}
+
+
+@query(rankings_sql(BULK_SCORES))
+def bulk_rankings(spark, d):
+    nodes, edges, adj = bulk_network(spark, d)
+    far = traverse.weighted_distances(nodes, adj)
+    return graph.rankings({
+        "degree": graph.degree_centrality(nodes, adj), "strength": graph.strength(nodes, adj), "closeness": traverse.closeness_of_sums(traverse.hop_sums(nodes, adj), nodes),
+        "betweenness": traverse.batched_betweenness(nodes, edges, adj), "weighted_closeness": traverse.closeness(far, nodes), "weighted_betweenness": traverse.batched_betweenness(nodes, edges, adj, weighted=True),
+    })
+
+
 # Periods
 
 SUMMARY = f"""{PA}, rc AS (SELECT period, node, node AS comp FROM n UNION SELECT rc.period, a.dst, rc.comp FROM rc JOIN a ON a.period = rc.period AND a.src = rc.node), bc AS (SELECT period, count(DISTINCT basket) AS basket_count FROM b GROUP BY 1), nc AS (SELECT period, count(*) AS node_count, count(*) FILTER (WHERE category = 'warm') AS warm, count(*) FILTER (WHERE category = 'cool') AS cool FROM n GROUP BY 1),

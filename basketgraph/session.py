@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,45 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Paths made in the scopes of scratch() that are open, the innermost last.
+_scopes: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes what is written within when it ends; what is passed to the function that it gives stays, as in `return keep(df)`.
+
+    keep() writes its rows outside of the scope (to that around it, if there is one).
+    """
+    own: list[str] = []
+    _scopes.append(own)
+
+    def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+        _scopes.remove(own)
+        try:
+            return materialize(df, name)
+        finally:
+            _scopes.append(own)
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(own)
+        remove(spark, own)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes paths in any file system that Spark writes to."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
