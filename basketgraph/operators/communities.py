@@ -1,14 +1,27 @@
-"""Communities by modularity with a resolution, after Leiden, as rounds of joins. `by` splits graphs, e.g. settings."""
+"""Communities by modularity with a resolution, after Leiden: nodes move in parts, one a task. `by` splits graphs, e.g. settings.
+
+A task has the links of the nodes of its part, added up by community where they lead out of it, and moves these nodes one
+after the other against what all others were in the last round; Spark joins, deals, merges and scores. A node's links
+are held by one task. A graph of no more than PART_NODES nodes and PART_LINKS links, which is counted first, such as what a
+large one has been merged to, is one part with all its levels.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import deque
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from basketgraph.operators.graph import ranked
 from basketgraph.operators.traverse import connected_components
-from basketgraph.session import materialize, numbered
+from basketgraph.session import materialize, numbered, scratch
+
+#: Nodes of a part, links of a graph that one task may hold whole, and the least gain that counts.
+PART_NODES, PART_LINKS, GAIN = 20_000, 1_000_000, 1e-9
 
 
 def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0, weighted: bool = True, by: list[str] = (), digits: int | None = 6) -> DataFrame:
@@ -29,77 +42,286 @@ def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0, we
     return rows.groupBy(*by).agg((F.round(value, digits) if digits is not None else value).alias("modularity"))
 
 
-def _moves(edges: DataFrame, members: DataFrame, degree: DataFrame, gamma, by: list[str], turn: int, seed: int, within: bool) -> DataFrame:
-    """by, node, to, mine: the best strictly better community of a node among those of its neighbours, and whether it is its turn.
+def settle(order: list[int], community: list, degree: np.ndarray, near: list[list[tuple[int, float]]], far: list[dict], totals: dict, scale: float) -> None:
+    """Moves nodes to the best community of their neighbours, in place, until none has a better one.
+
+    near: neighbours among these nodes with weights; far: weights to communities of nodes that stay; totals: degrees of
+    communities summed; scale: resolution / sum of all degrees. A node is looked at again only when a neighbour has moved.
+    """
+    queue, waiting = deque(order), set(order)
+    while queue:
+        i = queue.popleft()
+        waiting.discard(i)
+        now, k, weights = community[i], degree[i], dict(far[i])
+        for j, w in near[i]:
+            weights[community[j]] = weights.get(community[j], 0.0) + w
+        totals[now] -= k
+        best, most = now, max(weights.get(now, 0.0) - scale * k * totals[now], 0.0)
+        for c in sorted(weights):
+            gain = weights[c] - scale * k * totals[c]
+            if c != now and gain > most + GAIN:
+                best, most = c, gain
+        totals[best] += k
+        if best != now:
+            community[i] = best
+            for j, _ in near[i]:
+                if community[j] != best and j not in waiting:
+                    waiting.add(j)
+                    queue.append(j)
+
+
+def refine(order: list[int], outer: list, degree: np.ndarray, near: list[list[tuple[int, float]]], scale: float) -> list[int]:
+    """Parts of communities: each node that is alone joins the best part that a neighbour of its community is in, if any gains."""
+    part, size, totals = list(range(len(order))), [1] * len(order), degree.tolist()
+    for i in order:
+        if size[part[i]] > 1:
+            continue
+        weights: dict[int, float] = {}
+        for j, w in near[i]:
+            if outer[j] == outer[i] and j != i:
+                weights[part[j]] = weights.get(part[j], 0.0) + w
+        gains = [(weights[c] - scale * degree[i] * totals[c], -c) for c in weights]
+        if gains and max(gains)[0] > GAIN:
+            to = -max(gains)[1]
+            size[part[i]], part[i] = 0, to
+            size[to] += 1
+            totals[to] += degree[i]
+    return part
+
+
+def solve(order: list[int], degree: np.ndarray, near: list[list[tuple[int, float]]], community: list, scale: float) -> list:
+    """Communities of a whole graph that starts from some: passes over all levels until one moves nothing."""
+    while True:
+        before, community = community, list(community)
+        now = order, degree, near, community
+        place = list(range(len(order)))
+        while True:
+            nodes, k, links, own = now
+            totals: dict = {}
+            for c, x in zip(own, k.tolist()):
+                totals[c] = totals.get(c, 0.0) + x
+            settle(nodes, own, k, links, [{}] * len(own), totals, scale)
+            if len(own) == len(community) and own == before:
+                return community
+            part = refine(nodes, own, k, links, scale)
+            merged = {p: i for i, p in enumerate(dict.fromkeys(part[i] for i in nodes))}
+            if len(merged) == len(part):
+                break
+            code = [merged[p] for p in part]
+            place = [code[x] for x in place]
+            sums: list[dict[int, float]] = [{} for _ in merged]
+            for i, of in enumerate(links):
+                for j, w in of:
+                    if code[j] != code[i]:
+                        sums[code[i]][code[j]] = sums[code[i]].get(code[j], 0.0) + w
+            upper = [own[0]] * len(merged)
+            for i, c in zip(code, own):
+                upper[i] = c
+            now = list(range(len(merged))), np.bincount(code, k, len(merged)), [sorted(x.items()) for x in sums], upper
+        community = connected([now[3][x] for x in place], near)
+
+
+def connected(community: list, near: list[list[tuple[int, float]]]) -> list:
+    """Communities split into their connected parts, each with the first of its nodes as its name."""
+    out = [-1] * len(community)
+    for first in range(len(community)):
+        if out[first] >= 0:
+            continue
+        out[first], stack = first, [first]
+        while stack:
+            i = stack.pop()
+            for j, _ in near[i]:
+                if out[j] < 0 and community[j] == community[i]:
+                    out[j] = first
+                    stack.append(j)
+    return out
+
+
+def _solved(links: DataFrame, members: DataFrame, by: list[str], gamma: Column, seed: int) -> DataFrame:
+    """by, node, community of graphs of a bounded size, one a task."""
+    rows = _links(links, members, by, gamma, seed, F.lit(0))
+
+    def run(table: pa.Table) -> pa.Table:
+        names, order, degree, community, near, _ = _neighbours(table)
+        found = solve(order.tolist(), degree, near, community, table.column("scale")[0].as_py())
+        return _named(table, by, names, {"community": pa.array([str(c) for c in found], pa.string())})
+
+    return rows.groupBy(*by, "part").applyInArrow(run, _schema(links, by) + "community string")
+
+
+def _neighbours(table: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, list[str], list[list[tuple[int, float]]], list[dict]]:
+    """Names, positions by hash, degrees, communities, near and far of the nodes of a table of links."""
+    src, dst, w = table.column("src").to_numpy(), table.column("dst").to_numpy(), table.column("w").to_numpy()
+    names, first, own = np.unique(src, return_index=True, return_inverse=True)
+    place = {n: i for i, n in enumerate(names.tolist())}
+    near: list[list] = [[] for _ in names]
+    far: list[dict] = [{} for _ in names]
+    for i, d, x, c in zip(own.tolist(), dst.tolist(), w.tolist(), table.column("to").to_pylist()):
+        j = place.get(d)
+        if j is not None and j != i:
+            near[i].append((j, x))
+        elif j is None:
+            far[i][c] = far[i].get(c, 0.0) + x
+    for own_near in near:
+        own_near.sort()
+    pick = lambda c: table.column(c).take(pa.array(first))
+    return names.tolist(), np.argsort(pick("nth").to_numpy(), kind="stable"), pick("deg").to_numpy(), pick("community").to_pylist(), near, far
+
+
+def _links(links: DataFrame, members: DataFrame, by: list[str], gamma: Column, seed: int, deal: Column) -> DataFrame:
+    """Rows for the tasks: a node's links, with its community and degree, the community at the other end and its total."""
+    degree = links.groupBy(*by, F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
+    info = members.join(degree, [*by, "node"])
+    total = info.groupBy(*by, "community").agg(F.sum("deg").alias("total"))
+    two_m = links.groupBy(*by).agg(F.sum("w").alias("two_m"))
+    info = info.join(total, [*by, "community"])
+    info = info.join(two_m, list(by)) if by else info.crossJoin(F.broadcast(two_m))  # one row
+    ends = info.select(*by, F.col("node").alias("dst"), F.col("community").alias("to"), F.col("total").alias("to_total"))
+    starts = info.select(*by, F.col("node").alias("src"), "community", "deg", "total", (gamma / F.col("two_m")).alias("scale"), F.xxhash64("node", F.lit(seed)).alias("nth"), deal.alias("part"))
+    return links.join(ends, [*by, "dst"]).join(starts, [*by, "src"])
+
+
+def _settled(links: DataFrame, members: DataFrame, by: list[str], gamma: Column, parts: int, seed: int) -> DataFrame:
+    """by, node, community, part: all nodes after the moves of their part, the others staying where they are."""
+    rows = _links(links, members, by, gamma, seed, F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(parts)))
+
+    def run(table: pa.Table) -> pa.Table:
+        names, order, degree, community, near, far = _neighbours(table)
+        totals = dict(zip(table.column("to").to_pylist(), table.column("to_total").to_pylist())) | dict(zip(table.column("community").to_pylist(), table.column("total").to_pylist()))
+        settle(order.tolist(), community, degree, near, far, totals, table.column("scale")[0].as_py())
+        return _named(table, by, names, {"community": pa.array(community, pa.string()), "part": pa.array([table.column("part")[0].as_py()] * len(names), pa.int64())})
 
-    Half of the nodes have a turn at first, later ever fewer, as neighbours that move at once may go round in circles.
+    return rows.groupBy(*by, "part").applyInArrow(run, _schema(links, by) + "community string, part long")
+
+
+def _refined(links: DataFrame, members: DataFrame, by: list[str], gamma: Column, parts: int, seed: int) -> DataFrame:
+    """by, node, part (its smallest node), community. Parts lie in one task: a large community's nodes are dealt to several."""
+    whole = F.pmod(F.xxhash64("community"), F.lit(parts))
+    rows = _links(links, members, by, gamma, seed, whole)
+    if parts > 1:  # communities of more nodes than a task should hold are dealt by node
+        large = members.groupBy(*by, "community").agg((F.count(F.lit(1)) > PART_NODES).alias("large"))
+        dealt = F.when(F.col("large"), F.pmod(F.xxhash64("src", F.lit(seed)), F.lit(parts))).otherwise(F.col("part"))
+        rows = rows.join(large, [*by, "community"]).withColumn("part", dealt).drop("large")
+
+    def run(table: pa.Table) -> pa.Table:
+        names, order, degree, outer, near, _ = _neighbours(table)
+        part = refine(order.tolist(), outer, degree, near, table.column("scale")[0].as_py())
+        least: dict[int, str] = {}
+        for i, p in enumerate(part):
+            least[p] = min(least.get(p, names[i]), names[i])
+        return _named(table, by, names, {"part": pa.array([least[p] for p in part], pa.string()), "community": pa.array(outer, pa.string())})
+
+    return rows.groupBy(*by, "part").applyInArrow(run, _schema(links, by) + "part string, community string")
+
+
+def _schema(links: DataFrame, by: list[str]) -> str:
+    return "".join(f"{c} {links.schema[c].dataType.simpleString()}, " for c in by) + "node string, "
+
+
+def _named(table: pa.Table, by: list[str], names: list[str], columns: dict[str, pa.Array]) -> pa.Table:
+    same = {c: table.column(c).take(pa.array([0] * len(names), pa.int64())) for c in by}
+    return pa.table(same | {"node": pa.array(names, pa.string())} | columns)
+
+
+def _local(links: DataFrame, members: DataFrame, by: list[str], gamma: Column, parts: int, seed: int) -> tuple[DataFrame, bool]:
+    """Members after moves until no node has a better community, and whether any has moved.
+
+    One part is settled by its task. Of several, whose nodes move at once, those moves count that raise the score; if
+    they don't all together, half of the parts' moves are tried, down to one part's, which always raise it. Parts are
+    dealt anew each time. So it ends, and it ends because nothing moves.
     """
-    own = members.select(*by, "node", "community", *(["outer"] if within else []))
-    nbr = own.select(*by, F.col("node").alias("dst"), F.col("community").alias("to"), *([F.col("outer").alias("outer_to")] if within else []))
-    links = edges.join(nbr, [*by, "dst"]).join(own.withColumnRenamed("node", "src"), [*by, "src"])
-    if within:
-        links = links.filter("outer = outer_to")
-    links = links.groupBy(*by, F.col("src").alias("node"), "community", "to").agg(F.sum("w").alias("links"))
-    total = own.join(degree, [*by, "node"]).groupBy(*by, F.col("community").alias("to")).agg(F.sum("deg").alias("total"), F.count(F.lit(1)).alias("size"))
-    two_m = degree.groupBy(*by).agg(F.sum("deg").alias("two_m"))
-    rows = links.join(total, [*by, "to"]).join(degree, [*by, "node"])
+    any_moved, turn = False, 0
+    while True:
+        with scratch(links.sparkSession) as keep:
+            found = materialize(_settled(links, members, by, gamma, parts, seed + turn), "settled")
+            old = members.select(*by, "node", F.col("community").alias("old"))
+            both = found.join(old, [*by, "node"])
+            moving = [r.part for r in both.filter("community <> old").select("part").distinct().orderBy("part").collect()]
+            if not moving:
+                return members, any_moved
+            any_moved = True
+            if parts == 1:
+                return keep(found.drop("part"), "members"), True
+            before, step = score(links, members, by, gamma), 1
+            while True:
+                chosen = moving[::step]
+                now = both.select(*by, "node", F.when(F.col("part").isin(chosen), F.col("community")).otherwise(F.col("old")).alias("community"))
+                now = materialize(now, "members")
+                if len(chosen) == 1 or score(links, now, by, gamma) > before:
+                    break
+                step *= 2
+            members, turn = keep(now, "members"), turn + 1
+
+
+def score(links: DataFrame, members: DataFrame, by: list[str], gamma: Column) -> float:
+    """The quality that moves raise, summed over all graphs."""
+    a, b = members.withColumnsRenamed({"node": "src", "community": "ca"}), members.withColumnsRenamed({"node": "dst", "community": "cb"})
+    rows = links.join(a, [*by, "src"]).join(b, [*by, "dst"]).groupBy(*by, F.col("ca").alias("community")).agg(F.sum("w").alias("total"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inside"))
+    two_m = links.groupBy(*by).agg(F.sum("w").alias("two_m"))
     rows = rows.join(two_m, list(by)) if by else rows.crossJoin(F.broadcast(two_m))  # one row
-    here = F.col("to") == F.col("community")
-    gain = F.col("links") - gamma * F.col("deg") * (F.col("total") - F.when(here, F.col("deg")).otherwise(0.0)) / F.col("two_m")
-    rows = rows.select(*by, "node", "community", "to", "size", F.round(gain, 9).alias("gain"), here.alias("here"))
-    best = rows.withColumn("nth", F.row_number().over(W.partitionBy(*by, "node").orderBy(F.desc("gain"), "to"))).filter("nth = 1")
-    stay = rows.filter("here").select(*by, "node", F.col("gain").alias("stay"))
-    best = best.join(stay, [*by, "node"], "left").fillna(0.0, ["stay"])
-    mine = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(turn)), F.lit(2 + turn // 16)) == 0
-    return best.filter((F.col("to") != F.col("community")) & (F.col("gain") > F.col("stay")) & (F.col("gain") > 0)).select(*by, "node", "to", mine.alias("mine"))
-
-
-def _local(edges: DataFrame, members: DataFrame, degree: DataFrame, gamma, by: list[str], rounds: int, seed: int, within: bool = False) -> DataFrame:
-    """Rounds of moves until no node has a better community."""
-    for turn in range(rounds):
-        wishes = materialize(_moves(edges, members, degree, gamma, by, turn, seed, within), "moves")
-        if wishes.isEmpty():
-            break
-        moves = wishes.filter("mine").drop("mine")
-        members = materialize(members.join(moves, [*by, "node"], "left").withColumn("community", F.coalesce("to", "community")).drop("to"), "members")
-    return members
-
-
-def communities(edges: DataFrame, resolution: float = 1.0, by: list[str] = (), levels: int = 32, rounds: int = 64, seed: int = 1) -> DataFrame:
+    return rows.agg(F.sum(F.col("inside") / F.col("two_m") - gamma * F.pow(F.col("total") / F.col("two_m"), F.lit(2)))).first()[0] or 0.0
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, by: list[str] = (), seed: int = 1, part_nodes: int = PART_NODES) -> DataFrame:
     """by, node, community (numbered from 0 by size, then smallest node). Edges: source, target, weight.
 
     A level moves nodes, refines each community from single nodes within it, and makes refined parts the nodes of
-    the next level, which starts from the communities found. In the end communities that are not connected are split.
-    A level ends when no node has a better community, and the last level is the one that merges nothing; `rounds` and
-    `levels` only stop moves that go round in circles. A column `resolution` among `by` gives
-    each graph its own.
+    the next level, which starts from the communities found, until a level merges nothing. Passes over all levels go on
+    until one moves nothing. In the end communities that are not connected are split. Nodes are dealt to tasks of about
+    `part_nodes`. A column `resolution` among `by` gives each graph its own.
     """
     by = list(by)
-    gamma = F.col("resolution") if "resolution" in by else F.lit(resolution)
+    gamma = F.col("resolution") if "resolution" in by else F.lit(float(resolution))
     first = edges.select(*by, F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.col("weight").cast("double").alias("w"))
     links = first.unionByName(first.select(*by, F.col("target").alias("source"), F.col("source").alias("target"), "w"))
-    links = materialize(links.groupBy(*by, F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.sum("w").alias("w")), "links")
-    names = links.select(*by, F.col("src").alias("node")).distinct()
-    place = materialize(names.select(*by, F.col("node").alias("leaf"), "node"), "place")
-    start = names.withColumn("community", F.col("node"))
-    for level in range(levels):
-        degree = materialize(links.groupBy(*by, F.col("src").alias("node")).agg(F.sum("w").alias("deg")), "degree")
-        between = links.filter("src <> dst")
-        moved = _local(between, materialize(start, "members"), degree, gamma, by, rounds, seed + 2 * level)
-        fine = materialize(moved.select(*by, "node", F.col("node").alias("community"), F.col("community").alias("outer")), "fine")
-        fine = _local(between, fine, degree, gamma, by, rounds, seed + 2 * level + 1, within=True)
-        named = fine.groupBy(*by, "community").agg(F.min("node").alias("part"), F.first("outer").alias("outer"))
-        parts = materialize(fine.drop("outer").join(named.drop("outer"), [*by, "community"]).select(*by, "node", "part"), "parts")
-        of_part = materialize(parts.join(moved, [*by, "node"]).groupBy(*by, F.col("part").alias("node")).agg(F.min("community").alias("community")), "start")
-        before, after = names.count() if level == 0 else n_nodes, of_part.count()  # noqa: F821
-        place = materialize(place.join(parts, [*by, "node"]).select(*by, "leaf", F.col("part").alias("node")), "place")
-        a, b = parts.withColumnsRenamed({"node": "src", "part": "a"}), parts.withColumnsRenamed({"node": "dst", "part": "b"})
+    leaves = materialize(links.groupBy(*by, F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.sum("w").alias("w")), "links")
+    found = leaves.select(*by, F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    if _largest(found, by)[1] <= part_nodes and _most_links(leaves, by) <= PART_LINKS:
+        return relabel(materialize(_solved(leaves, found, by, gamma, seed), "communities"), by)
+    with scratch(edges.sparkSession) as keep:
+        turn = 0
+        while True:
+            found, moved = _pass(leaves, materialize(found, "members"), by, gamma, part_nodes, seed + 1000 * turn)
+            turn += 1
+            if not moved:
+                break
+        found = keep(found, "communities")
+    return relabel(connected_within(first, found, by), by)
+
+
+def _pass(links: DataFrame, start: DataFrame, by: list[str], gamma: Column, part_nodes: int, seed: int) -> tuple[DataFrame, bool]:
+    """Leaves with their communities after one pass over all levels, and whether any node has moved."""
+    place, any_moved, level = None, False, 0
+    count = _largest(start, by)
+    while True:
+        if level and count[1] <= part_nodes and _most_links(links, by) <= PART_LINKS:
+            return place.join(_solved(links, start, by, gamma, seed), [*by, "node"]).select(*by, F.col("leaf").alias("node"), "community"), True
+        parts = max(1, -(-count[1] // part_nodes))
+        moved, changed = _local(links, start, by, gamma, parts, seed + 10 * level)
+        any_moved |= changed
+        if level == 0 and not changed:
+            return start, False
+        fine = materialize(_refined(links, moved, by, gamma, parts, seed + 10 * level), "parts")
+        after = _largest(fine.select(*by, "part").distinct(), by)
+        named = fine.select(*by, "node", "part")
+        place = named.select(*by, F.col("node").alias("leaf"), F.col("part").alias("node")) if place is None else place.join(named, [*by, "node"]).select(*by, "leaf", F.col("part").alias("node"))
+        start = fine.groupBy(*by, F.col("part").alias("node")).agg(F.min("community").alias("community"))
+        if after == count:
+            return place.join(start, [*by, "node"]).select(*by, F.col("leaf").alias("node"), "community"), any_moved
+        a, b = named.withColumnsRenamed({"node": "src", "part": "a"}), named.withColumnsRenamed({"node": "dst", "part": "b"})
         links = materialize(links.join(a, [*by, "src"]).join(b, [*by, "dst"]).groupBy(*by, F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "links")
-        start, n_nodes = of_part, after
-        if after == before:
-            break
-    found = place.join(start, [*by, "node"]).select(*by, F.col("leaf").alias("node"), "community")
-    return relabel(connected_within(first, materialize(found, "found"), by), by)
+        count, level = after, level + 1
+
+
+def _most_links(links: DataFrame, by: list[str]) -> int:
+    """The links of the graph that has most."""
+    return links.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+
+def _largest(nodes: DataFrame, by: list[str]) -> tuple[int, int]:
+    """How many nodes all graphs have together, and the largest of them."""
+    sizes = nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    return sizes[0] or 0, sizes[1] or 0
 
 
 def connected_within(edges: DataFrame, members: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -137,7 +359,7 @@ def cluster_top_members(table: DataFrame, k: int = 5) -> DataFrame:
     return top.groupBy("community", "size").agg(F.array_sort(F.collect_list(F.struct("rank", "node"))).alias("m")).select("community", "size", F.col("m.node").alias("members"))
 
 
-def sweep_settings(neighbors: DataFrame, ks: list[int], resolutions: list[float], **options) -> DataFrame:
+def sweep_settings(neighbors: DataFrame, ks: list[int], resolutions: list[float], seed: int = 1) -> DataFrame:
     """k, resolution, clusters, largest, modularity (unweighted, resolution 1) from neighbours ranked up to the largest k."""
     spark = neighbors.sparkSession
     settings = spark.createDataFrame([(k, float(r)) for k in ks for r in resolutions], "k int, resolution double")
@@ -145,7 +367,7 @@ def sweep_settings(neighbors: DataFrame, ks: list[int], resolutions: list[float]
     chosen = neighbors.join(F.broadcast(settings), F.col("rank") <= F.col("k"))
     edges = chosen.groupBy(*by, F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.avg("weight").alias("weight"))
     edges = materialize(edges.withColumns({c: F.col(c).cast("string") for c in ("source", "target")}), "edges")
-    members = materialize(communities(edges, by=by, **options), "members")
+    members = materialize(communities(edges, by=by, seed=seed), "members")
     sizes = cluster_sizes(members, by).groupBy(*by).agg(F.count(F.lit(1)).alias("clusters"), F.max("size").alias("largest"))
     plain = ["k", "setting"]
     named = lambda d: d.withColumnRenamed("resolution", "setting")  # noqa: E731  so that modularity takes resolution 1

@@ -13,10 +13,16 @@ from basketgraph.session import materialize, uniform
 
 #: Nodes in the walks of a part.
 PART_NODES = 2_000_000
+#: Labels of a context and the negatives after it.
+FIRST = np.eye(1, 1024)[0]
 
 
 def train_part(paths: list[list[str]], names: list[str], inner: np.ndarray, outer: np.ndarray, weights: np.ndarray, window: int, negatives: int, rate: float, seed: int) -> None:
-    """One pass over the walks of a partition, in place; a negative is never the context itself."""
+    """One pass over the walks of a partition, in place; a negative is never the context itself.
+
+    A step is a place of a walk with its contexts: larger ones add up gradients of nodes that a walk visits again and
+    again, and diverge on small graphs.
+    """
     rng = np.random.default_rng(seed)
     index = {n: i for i, n in enumerate(names)}
     chance = np.cumsum(weights / weights.sum())
@@ -28,13 +34,15 @@ def train_part(paths: list[list[str]], names: list[str], inner: np.ndarray, oute
             continue
         others = np.minimum(np.searchsorted(chance, rng.random((len(center), negatives))), len(names) - 1)
         target = np.column_stack([context, others])
-        label = np.zeros(target.shape)
-        label[:, 0] = 1
-        x, y = inner[center], outer[target]
-        g = (label - 1 / (1 + np.exp(-np.clip((x[:, None, :] * y).sum(-1), -30, 30)))) * rate
-        g[:, 1:][others == context[:, None]] = 0
-        np.add.at(inner, center, (g[..., None] * y).sum(1))
-        np.add.at(outer, target, g[..., None] * x[:, None, :])
+        counts = np.ones(target.shape)
+        counts[:, 1:] = others != context[:, None]
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(i)]):  # a place of the walk with all its contexts
+            own, c = target[s:e], center[s]
+            x, y = inner[c].copy(), outer[own]
+            g = counts[s:e] * (FIRST[: 1 + negatives] - 1 / (1 + np.exp(-np.clip(y @ x, -30, 30)))) * rate
+            inner[c] += np.einsum("ij,ijk->k", g, y)
+            np.add.at(outer, own, g[..., None] * x)
 
 
 def _of_epoch(run, epoch: int):

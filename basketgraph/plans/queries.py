@@ -178,6 +178,31 @@ def graph_export(spark, d):
     return read.select(F.col("_id").alias("id"), F.col("_source").alias("source"), F.col("_target").alias("target"), F.col("data._VALUE").alias("weight"))
 
 
+@query(
+    f"""WITH RECURSIVE {K} SELECT 'node' AS kind, node AS id, NULL AS source, NULL AS target, category, CAST(frequency AS DOUBLE) AS value FROM n
+UNION ALL SELECT 'edge', concat('e', row_number() OVER (ORDER BY weight DESC, source, target) - 1), source, target, NULL, CAST(weight AS DOUBLE) FROM k"""
+)
+def graph_document(spark, d):
+    nodes, edges, _ = network(spark, d)
+    parts, file = new_path(spark, "graph-parts"), new_path(spark, "graph.xml")
+    io.write_graph(nodes, edges, parts, ["category", "frequency"])
+    io.merge_parts(spark, parts, file)
+    at, to = io.read_graph(spark, file, ["category", "frequency"])
+    none = F.lit(None).cast("string")
+    at = at.select(F.lit("node").alias("kind"), F.col("node").alias("id"), none.alias("source"), none.alias("target"), "category", F.col("frequency").cast("double").alias("value"))
+    return at.unionByName(to.select(F.lit("edge").alias("kind"), "id", "source", "target", none.alias("category"), F.col("weight").alias("value")))
+
+
+@query("SELECT vec_id, label, len(embedding) AS size, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[-1]::DOUBLE, 6) AS last, round(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE, 6))), 6) AS total FROM embeddings")
+def embedding_file(spark, d):
+    rows = embeddings(spark, d).select(F.col("node").alias("vec_id"), "label", "vector")
+    path, size = new_path(spark, "embedding"), dimension(rows)
+    io.write_csv(io.vector_to_columns(rows, size), path, digits=6)
+    back = io.columns_to_vector(io.read_csv(spark, path, "vec_id long, label int, " + ", ".join(f"dim_{i + 1} double" for i in range(size))))
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6)
+    return back.select("vec_id", "label", F.size("vector").cast("long").alias("size"), F.element_at("vector", 1).alias("first"), F.element_at("vector", -1).alias("last"), total.alias("total"))
+
+
 @query("SELECT vec_id, len(embedding) AS size, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[-1]::DOUBLE, 6) AS last FROM embeddings")
 def vector_columns(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
@@ -844,7 +869,7 @@ def cluster_top_members(spark, d):
 @query()
 def sweep_settings(spark, d):
     near = materialize(knn.knn_neighbors(embeddings(spark, d), 12), "near")
-    return comm.sweep_settings(near, [5, 8, 10, 12], [0.8, 1.0, 1.2, 1.5], levels=1, rounds=4)
+    return comm.sweep_settings(near, [5, 8, 10, 12], [0.8, 1.0, 1.2, 1.5])
 
 
 @query(

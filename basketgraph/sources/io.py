@@ -70,6 +70,68 @@ def write_xml(rows: DataFrame, path: str, tag: str, root: str = "graph") -> None
     rows.write.format("xml").options(rowTag=tag, rootTag=root).save(path)
 
 
+def _escaped(c: Column) -> Column:
+    """Text for XML, in elements and attributes."""
+    out = c.cast("string")
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        out = F.replace(out, F.lit(plain), F.lit(entity))
+    return out
+
+
+#: Types of keys in graph XML by Spark's.
+XML_TYPES = {"bigint": "long", "int": "int", "smallint": "int", "tinyint": "int", "double": "double", "float": "float", "boolean": "boolean"}
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, attributes: list[str], key: str = "node") -> None:
+    """One graph document in text files that follow each other in order of name: keys, nodes by key, edges e0, e1, ... by weight.
+
+    Rows are sorted by ranges, so no task or file holds the document; merge_parts() makes one file of them. Attributes
+    that are null have no element.
+    """
+    spark, kinds = nodes.sparkSession, dict(nodes.dtypes)
+    keys = [f'<key id="d{i}" for="node" attr.name="{a}" attr.type="{XML_TYPES.get(kinds[a], "string")}"/>' for i, a in enumerate(attributes)]
+    keys.append(f'<key id="w" for="edge" attr.name="weight" attr.type="{XML_TYPES.get(dict(edges.dtypes)["weight"], "string")}"/>')
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *keys, '<graph edgedefault="undirected">']
+    ends = spark.createDataFrame([(0, i, x) for i, x in enumerate(head)] + [(3, 0, "</graph>"), (3, 1, "</graphml>")], "section int, number long, value string")
+    data = [F.when(F.col(a).isNotNull(), F.concat(F.lit(f'<data key="d{i}">'), _escaped(F.col(a)), F.lit("</data>"))) for i, a in enumerate(attributes)]
+    node = F.concat_ws("", F.lit('<node id="'), _escaped(F.col(key)), F.lit('">'), *data, F.lit("</node>"))
+    at = numbered(nodes, [F.asc(key)]).select(F.lit(1).alias("section"), "number", node.alias("value"))
+    ordered = numbered(edges.select("source", "target", "weight"), [F.desc("weight"), F.asc("source"), F.asc("target")])
+    edge = F.concat(F.lit('<edge id="e'), "number", F.lit('" source="'), _escaped(F.col("source")), F.lit('" target="'), _escaped(F.col("target")), F.lit('"><data key="w">'), _escaped(F.col("weight")), F.lit("</data></edge>"))
+    lines = ends.unionByName(at).unionByName(ordered.select(F.lit(2).alias("section"), "number", edge.alias("value")))
+    lines.repartitionByRange("section", "number").sortWithinPartitions("section", "number").select("value").write.text(path)
+
+
+def merge_parts(spark: SparkSession, path: str, to: str) -> None:
+    """One file of all part files of a folder, in order of name: streamed to a file beside it that is renamed when it is whole."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    of = lambda p: hadoop.fs.Path(p)
+    fs = of(path).getFileSystem(conf)
+    parts = sorted(s.getPath().toString() for s in fs.listStatus(of(path)) if s.getPath().getName().startswith("part-"))
+    out = fs.create(of(f"{to}.part"), True)
+    try:
+        for p in parts:
+            given = fs.open(of(p))
+            try:
+                hadoop.io.IOUtils.copyBytes(given, out, 1 << 16, False)
+            finally:
+                given.close()
+    finally:
+        out.close()
+    if fs.exists(of(to)) or not fs.rename(of(f"{to}.part"), of(to)):
+        raise FileExistsError(to)
+
+
+def read_graph(spark: SparkSession, path: str, attributes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node and attributes, as strings) and edges (id, source, target, weight) of a document, in one file or in parts."""
+    value = "array<struct<_VALUE:string,_key:string>>"
+    nodes = spark.read.format("xml").options(rowTag="node").schema(f"_id string, data {value}").load(path)
+    pick = lambda i: F.get(F.filter("data", lambda x: x["_key"] == f"d{i}"), F.lit(0))["_VALUE"]
+    nodes = nodes.select(F.col("_id").alias("node"), *[pick(i).alias(a) for i, a in enumerate(attributes)])
+    edges = spark.read.format("xml").options(rowTag="edge").schema("_id string, _source string, _target string, data struct<_VALUE:double,_key:string>").load(path)
+    return nodes, edges.select(F.col("_id").alias("id"), F.col("_source").alias("source"), F.col("_target").alias("target"), F.col("data._VALUE").alias("weight"))
+
+
 def _numbered(columns: list[str], prefix: str) -> list[str]:
     return sorted((c for c in columns if re.fullmatch(rf"{re.escape(prefix)}\d+", c)), key=lambda c: int(c[len(prefix) :]))
 

@@ -1,10 +1,20 @@
+import collections
 import itertools
 import math
+import os
+import random
+from xml.etree import ElementTree
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from basketgraph.operators import communities, embed, graph, traverse
+from basketgraph import session
+from basketgraph.operators import communities, embed, graph, knn, traverse
 from basketgraph.plans import queries
+from basketgraph.sources import io
+
+SF = "/root/testdata/sf0.001"
 
 
 def frames(spark, n, edges):
@@ -56,6 +66,87 @@ def test_distances_and_betweenness(spark, name):
         assert got == {f"n{i:02d}": round(v, 9) for i, v in enumerate(bc)}
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_batches_samples_and_sums(spark, weighted):
+    """A graph of two parts and a node alone: many batches, a sample of all, and sums from bit counts give what brute force does."""
+    rnd = random.Random(3)
+    edges = sorted({tuple(sorted(rnd.sample(range(12), 2))) for _ in range(18)} | {(13, 14), (14, 15)})
+    edges = [(a, b, rnd.choice([1, 2, 4])) for a, b in edges]
+    nodes, e = frames(spark, 17, edges)
+    adj = graph.adjacency(e)
+    d, bc = brute(17, edges, weighted)
+    for rows in (traverse.batched_betweenness(nodes, e, adj, weighted=weighted, batch_rows=300), traverse.sampled_betweenness(nodes, e, adj, weighted=weighted)):
+        assert {r.node: round(r.betweenness, 9) for r in rows.collect()} == {f"n{i:02d}": round(v, 9) for i, v in enumerate(bc)}
+    if not weighted:
+        reached = {i: [v for (a, _), v in d.items() if a == i and v < math.inf] for i in range(17)}
+        assert {r.node: (r.total, r.r) for r in traverse.hop_sums(nodes, adj).collect()} == {f"n{i:02d}": (sum(v), len(v)) for i, v in reached.items()}
+
+
+def ring(spark, n, chords=()):
+    """A ring of n nodes, and what brute force by breadth-first search says of it: hop sums of each node."""
+    nodes = spark.range(n).select(F.col("id").alias("node"))
+    edges = [(i, (i + 1) % n) for i in range(n)] + list(chords)
+    e = spark.createDataFrame([(min(x), max(x), 1) for x in edges], "source long, target long, weight long")
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    sums = {}
+    for s in range(n):
+        seen, front = {s: 0}, [s]
+        while front:
+            front = [v for u in front for v in near[u] if v not in seen and not seen.update({v: seen[u] + 1})]
+        sums[s] = sum(seen.values())
+    return nodes, e, sums
+
+
+def test_sketches_estimate_closeness(spark):
+    """A stated error: sketches of 4,096 registers are within 5 % on a graph of 700 nodes, the exact form is exact."""
+    rnd = random.Random(7)
+    nodes, e, sums = ring(spark, 700, [rnd.sample(range(700), 2) for _ in range(500)])
+    adj = graph.adjacency(e)
+    exact = {i: 699 / v for i, v in sums.items()}
+    assert {r.node: round(r.closeness, 9) for r in traverse.closeness_of_sums(traverse.hop_sums(nodes, adj), nodes).collect()} == {i: round(v, 9) for i, v in exact.items()}
+    assert all(abs(r.closeness / exact[r.node] - 1) < 0.05 for r in traverse.estimated_closeness(nodes, adj).collect())
+
+
+def test_sampled_betweenness_keeps_its_error(spark):
+    nodes, e, _ = ring(spark, 14, [(0, i) for i in range(2, 13, 2)])
+    adj = graph.adjacency(e)
+    exact = {r.node: r.betweenness for r in traverse.batched_betweenness(nodes, e, adj).collect()}
+    near = {r.node: r.betweenness for r in traverse.sampled_betweenness(nodes, e, adj, error=0.45, doubt=0.2).collect()}
+    assert max(exact.values()) > 0.4 and any(near[i] != v for i, v in exact.items()) and max(abs(near[i] - v) for i, v in exact.items()) <= 0.45
+
+
+def test_weighted_distances_write_what_changes(spark):
+    """On a ring each round improves two rows a source, so all rounds together write about as many rows as there are pairs."""
+    nodes, e, _ = ring(spark, 12)
+    written = []
+    far = traverse.weighted_distances(nodes, graph.adjacency(e), written=written).collect()
+    assert len(far) == 144 and sum(written) == 144 - 12 and max(written) <= 24
+
+
+def test_scratch_removes_and_keeps(spark, tmp_path):
+    with session.scratch(spark) as keep:
+        gone = session.materialize(spark.range(5), "gone")
+        gone_at = os.path.dirname(gone.inputFiles()[0].removeprefix("file://"))
+        assert os.path.exists(gone_at)
+        kept = keep(gone.filter("id > 2"))
+    assert [r.id for r in kept.orderBy("id").collect()] == [3, 4]
+    assert not os.path.exists(gone_at)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_bulk_queries_are_not_constant(spark):
+    """Several components, nodes alone, distances above 2, and scores that differ."""
+    d = queries.QUERIES
+    assert {r.d for r in d["bulk_hop_distances"](spark, SF).select("d").distinct().collect()} >= {0, 1, 2, 3}
+    sizes = [r.size for r in d["bulk_component_sizes"](spark, SF).collect()]
+    assert len(sizes) > 20 and min(sizes) == 1 and max(sizes) > 4
+    for name, column in (("bulk_closeness", "closeness"), ("bulk_betweenness", "betweenness")):
+        assert d[name](spark, SF).select(column).distinct().count() > 3
+
+
 def test_components_and_small_graphs(spark):
     nodes, e = frames(spark, 6, [(0, 1, 1), (1, 2, 1), (3, 4, 1)])
     assert {r.node: r.component for r in traverse.connected_components(nodes, e).collect()} == {"n00": "n00", "n01": "n00", "n02": "n00", "n03": "n03", "n04": "n03", "n05": "n05"}
@@ -72,6 +163,110 @@ def test_communities_of_two_cliques(spark):
     assert got == {frozenset(f"n{i:02d}" for i in g) for g in ((0, 1, 2, 3), (4, 5, 6, 7))}
 
 
+def planted(spark, groups=4, size=9, seed=5):
+    """Groups of many inner links, a few links between them."""
+    rnd, n = random.Random(seed), groups * size
+    edges = [(a, b, 1) for a in range(n) for b in range(a + 1, n) if rnd.random() < (0.7 if a // size == b // size else 0.03)]
+    return frames(spark, n, edges)[1], edges
+
+
+def plain_modularity(edges, community, resolution=1.0):
+    m = sum(w for *_, w in edges)
+    degree = collections.Counter()
+    for a, b, w in edges:
+        degree[community[f"n{a:02d}"]] += w
+        degree[community[f"n{b:02d}"]] += w
+    inside = sum(w for a, b, w in edges if community[f"n{a:02d}"] == community[f"n{b:02d}"])
+    return inside / m - resolution * sum((k / (2 * m)) ** 2 for k in degree.values())
+
+
+@pytest.mark.parametrize("part_nodes", [20_000, 10])
+def test_communities_end_where_nothing_moves(spark, part_nodes):
+    """In one task, and in many parts that are merged and scored by Spark: the planted groups, and no node has a better place."""
+    e, edges = planted(spark)
+    got = {r.node: r.community for r in communities.communities(e, 1.0, part_nodes=part_nodes).collect()}
+    best = plain_modularity(edges, got)
+    assert best >= plain_modularity(edges, {f"n{i:02d}": i // 9 for i in range(36)}) - 1e-9
+    assert all(plain_modularity(edges, got | {n: c}) <= best + 1e-9 for n in got for c in set(got.values()))
+    assert communities.modularity(e, communities.communities(e, 1.0, part_nodes=part_nodes)).first().modularity == round(best, 6)
+
+
+def test_sweep_is_what_each_setting_gives(spark):
+    e, edges = planted(spark, 3, 6)
+    near = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
+    near = near.withColumn("rank", F.row_number().over(graph.W.partitionBy("source").orderBy("target")))
+    rows = {(r.k, r.resolution): r for r in communities.sweep_settings(near, [3, 5], [0.8, 1.5]).collect()}
+    assert rows.keys() == {(k, g) for k in (3, 5) for g in (0.8, 1.5)}
+    for (k, g), r in rows.items():
+        own = knn.knn_edges(near.filter(F.col("rank") <= k))
+        got = {x.node: x.community for x in communities.communities(own, g).collect()}
+        sizes = collections.Counter(got.values())
+        plain = [(int(x.source[1:]), int(x.target[1:]), 1) for x in own.collect()]
+        assert (r.clusters, r.largest, r.modularity) == (len(sizes), max(sizes.values()), round(plain_modularity(plain, got), 6))
+
+
+def plain_skipgram(paths, names, inner, outer, weights, window, negatives, rate, seed):
+    """train_part as loops: one gradient a pair, those of one place of a walk from the vectors before it."""
+    rng = np.random.default_rng(seed)
+    chance = np.cumsum(weights / weights.sum())
+    for path in (paths[i] for i in rng.permutation(len(paths))):
+        ids = [names.index(n) for n in path]
+        pairs = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(len(ids)) if i != j and abs(i - j) <= window]
+        if not pairs:
+            continue
+        drawn = rng.random((len(pairs), negatives))
+        at = [i for i in range(len(ids)) for j in range(len(ids)) if i != j and abs(i - j) <= window]
+        for n, ((c, o), us) in enumerate(zip(pairs, drawn)):
+            if n == 0 or at[n] != at[n - 1]:
+                old_in, old_out = inner.copy(), outer.copy()
+            others = [min(int(np.searchsorted(chance, u)), len(names) - 1) for u in us]
+            for t, label in [(o, 1.0)] + [(x, 0.0) for x in others if x != o]:
+                g = (label - 1 / (1 + math.exp(-float(old_in[c] @ old_out[t])))) * rate
+                inner[c] += g * old_out[t]
+                outer[t] += g * old_in[c]
+
+
+def test_skipgram_is_a_plain_loop(spark):
+    rnd = random.Random(2)
+    names = list("abcdef")
+    paths = [[rnd.choice(names) for _ in range(rnd.randrange(1, 8))] for _ in range(30)]
+    start = np.random.default_rng(0)
+    vectors = [start.normal(size=(6, 4)) / 4 for _ in range(2)]
+    one, two = [v.copy() for v in vectors], [v.copy() for v in vectors]
+    embed.train_part(paths, names, *one, np.arange(1.0, 7), 2, 3, 0.05, 9)
+    plain_skipgram(paths, names, *two, np.arange(1.0, 7), 2, 3, 0.05, 9)
+    assert all(np.allclose(a, b) for a, b in zip(one, two)) and not np.allclose(one[0], vectors[0])
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_node2vec_tells_cliques_apart(spark, parts):
+    """Members of a clique are nearer to each other than to the other clique's, also when training is dealt to parts."""
+    clique = [(a, b, 1) for g in (range(6), range(6, 12)) for a, b in itertools.combinations(g, 2)]
+    nodes, e = frames(spark, 12, [*clique, (5, 6, 1)])
+    got = {int(r.node[1:]): np.array(r.vector) for r in embed.node2vec(nodes, e, 8, epochs=6, rate=0.1, parts=parts).collect()}
+    cos = lambda a, b: got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
+    within = np.mean([cos(a, b) for a, b, _ in clique])
+    across = np.mean([cos(a, b) for a in range(6) for b in range(6, 12)])
+    assert within > across + 0.2
+
+
+def test_graph_document_is_one_graph(spark, tmp_path):
+    """A document with names that need escaping, and a null attribute, parses as one graph and reads back equal."""
+    nodes = spark.createDataFrame([("a<b", "x & y", 3), ('say "hi"', None, 1), ("z\n", "c", 2)], "node string, category string, frequency int")
+    edges = spark.createDataFrame([("a<b", "z\n", 5), ('say "hi"', "z\n", 9)], "source string, target string, weight long")
+    io.write_graph(nodes, edges, f"{tmp_path}/parts", ["category", "frequency"])
+    io.merge_parts(spark, f"{tmp_path}/parts", f"{tmp_path}/graph.xml")
+    root = ElementTree.parse(f"{tmp_path}/graph.xml").getroot()
+    ns = "{http://graphml.graphdrawing.org/xmlns}"
+    assert [x.tag for x in root] == [f"{ns}key"] * 3 + [f"{ns}graph"] and {k.get("attr.type") for k in root.iter(f"{ns}key")} == {"string", "int", "long"}
+    assert [x.get("id") for x in root.iter(f"{ns}node")] == ["a<b", 'say "hi"', "z\n"] and [(x.get("id"), x.get("source"), x.find(f"{ns}data").text) for x in root.iter(f"{ns}edge")] == [("e0", 'say "hi"', "9"), ("e1", "a<b", "5")]
+    at, to = io.read_graph(spark, f"{tmp_path}/graph.xml", ["category", "frequency"])
+    assert {tuple(r) for r in at.collect()} == {("a<b", "x & y", "3"), ('say "hi"', None, "1"), ("z\n", "c", "2")}
+    assert {tuple(r) for r in to.collect()} == {("e0", 'say "hi"', "z\n", 9.0), ("e1", "a<b", "z\n", 5.0)}
+    with pytest.raises(FileExistsError):
+        io.merge_parts(spark, f"{tmp_path}/parts", f"{tmp_path}/graph.xml")
+
+
 @pytest.mark.parametrize("name", ["node_embeddings", "node2vec"])
 def test_embeddings_train_four_epochs(spark, monkeypatch, name):
     _, edges = frames(spark, 3, [(0, 1, 1), (1, 2, 1)])
