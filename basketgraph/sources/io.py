@@ -125,10 +125,10 @@ def merge_parts(spark: SparkSession, path: str, to: str) -> None:
 def read_graph(spark: SparkSession, path: str, attributes: list[str]) -> tuple[DataFrame, DataFrame]:
     """Nodes (node and attributes, as strings) and edges (id, source, target, weight) of a document, in one file or in parts."""
     value = "array<struct<_VALUE:string,_key:string>>"
-    nodes = spark.read.format("xml").options(rowTag="node").schema(f"_id string, data {value}").load(path)
+    nodes = spark.read.format("xml").options(rowTag="node", ignoreSurroundingSpaces=False).schema(f"_id string, data {value}").load(path)
     pick = lambda i: F.get(F.filter("data", lambda x: x["_key"] == f"d{i}"), F.lit(0))["_VALUE"]
     nodes = nodes.select(F.col("_id").alias("node"), *[pick(i).alias(a) for i, a in enumerate(attributes)])
-    edges = spark.read.format("xml").options(rowTag="edge").schema("_id string, _source string, _target string, data struct<_VALUE:double,_key:string>").load(path)
+    edges = spark.read.format("xml").options(rowTag="edge", ignoreSurroundingSpaces=False).schema("_id string, _source string, _target string, data struct<_VALUE:double,_key:string>").load(path)
     return nodes, edges.select(F.col("_id").alias("id"), F.col("_source").alias("source"), F.col("_target").alias("target"), F.col("data._VALUE").alias("weight"))
 
 
