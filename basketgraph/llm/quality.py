@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-LINE_DOCS, LINE_SHARE, KEEP_SHARE = 100, 0.01, 0.2
+LINE_DOCS, LINE_SHARE, KEEP_SHARE = 5, 0.02, 0.2
 SPACE, SPACES = r"[\x20\x09-\x0D]+", " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 ID, TEXT, HOST, GONE = "__id", "__text", "__host", "__gone"  # hashes that name a row, its host, and hashes of its lines above the limit

@@ -437,3 +437,23 @@ def test_neighbours_recall_of_many_vectors(spark):
     own = np.zeros(len(forest.leaf_sizes), bool)
     own[forest.search(vectors[0], 0.02)] = True
     assert own[forest.leaves(vectors)].any(1).mean() < 1 / 3
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_line_limits_act_on_given_tables(spark):
+    """Production limits remove the lines that many texts of a host share and no clean document, and do the same as SQL."""
+    import duckdb
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = quality.quality(docs).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert sorted(map(tuple, rows)) == sorted(con.execute(f"SELECT {', '.join(rows[0].__fields__)} FROM ({quality.oracle_sql()})").fetchall())
+    assert sum(r.removed_chars > 0 for r in rows) > 50 and all(r.kept == (not r.base_failed) for r in rows)
+    shared = [f"cookie notice of the host, number {i}" for i in range(3)]
+    mine = lambda i: " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + j)}" for j in range(25))
+    own = [(i, "\n".join([*shared, mine(i)]) if i < 30 else mine(i) if i < 60 else "\n".join([*shared, mine(i)[:8]]), "h") for i in range(62)]
+    got = {r.doc_id: (r.removed_chars, r.kept, r.base_failed) for r in quality.quality(spark.createDataFrame(own, "doc_id int, text string, source string")).collect()}
+    length = sum(map(len, shared))
+    assert got[0] == (0, True, False) and all(got[i] == (length, True, False) for i in range(1, 30)) and all(got[i] == (0, True, False) for i in range(30, 60))
+    assert got[60] == got[61] == (length, False, False)  # depleted
