@@ -31,3 +31,10 @@ def test_parse_list_raises(spark):
     df = spark.createDataFrame([("{}",)], "t string")
     with pytest.raises(Exception, match="not a list"):
         df.select(clean.parse_list(df.t)).collect()
+
+
+def test_review_gate_raises(spark):
+    log = spark.createDataFrame([(1, "HT7", "keep"), (2, "?", "review_needed")], "basket int, original string, action string")
+    with pytest.raises(ValueError, match="1 items need review"):
+        clean.require_reviewed(log)
+    assert clean.require_reviewed(log.filter("basket = 1")).count() == 1

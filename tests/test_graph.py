@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketgraph import session
-from basketgraph.operators import communities, embed, graph, knn, traverse
+from basketgraph.operators import communities, cooc, embed, graph, knn, traverse
 from basketgraph.plans import queries
 from basketgraph.sources import io
 
@@ -163,6 +163,21 @@ def test_communities_of_two_cliques(spark):
     assert got == {frozenset(f"n{i:02d}" for i in g) for g in ((0, 1, 2, 3), (4, 5, 6, 7))}
 
 
+@pytest.mark.parametrize("by", [[], ["period"]])
+def test_large_baskets_are_dealt_out(spark, by):
+    """Counts are those of plain loops, whatever the blocks; a basket of 3,000 items spreads over tasks."""
+    rnd = random.Random(1)
+    rows = [(p, b, sorted(rnd.sample("abcdefghijklmnopqrst", rnd.randrange(0, 20)))) for p in (1, None) for b in range(6)]
+    df = spark.createDataFrame(rows, "period int, basket int, items array<string>")
+    want = collections.Counter((*([p] if by else []), *x) for p, _, items in rows for x in itertools.combinations(items, 2))
+    for block in (1, 3, 7, 100):
+        got = cooc.cooccurrence_edges(df, by, block).collect()
+        assert {tuple(r)[:-1]: r.weight for r in got} == want and len(got) == len(want)
+    large = spark.range(1).select(F.lit(1).alias("period"), F.sequence(F.lit(1), F.lit(3000)).alias("items"))
+    edges = cooc.cooccurrence_edges(large, by, 500)
+    assert edges.count() == 3000 * 2999 // 2 and edges.filter("weight <> 1 OR source >= target").isEmpty()
+
+
 def planted(spark, groups=4, size=9, seed=5):
     """Groups of many inner links, a few links between them."""
     rnd, n = random.Random(seed), groups * size
