@@ -1,46 +1,150 @@
-"""Exact k nearest neighbours by cosine similarity, and their undirected graph."""
+"""Exact k nearest neighbours by cosine similarity, and their undirected graph.
+
+Vectors are dealt to the cells of their nearest pivots (a bounded hashed sample), and cells to blocks of bounded size.
+Each block finds neighbours in itself first. That gives each vector a bound, and it meets only the blocks of cells that
+can hold a nearer one: no member of a cell is nearer to it than its angle to the pivot less the cell's largest angle.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-LEAST = 0.0001
+from basketgraph.session import materialize
+
+LEAST, SLACK = 0.0001, 1e-8
+#: Pivots at most: each vector is compared with all of them.
+MAX_PIVOTS = 1024
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    """Rows of unit length; zero vectors stay zero."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 1e-12)
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1, 1))
+
+
+def _met(x: pa.Table, y: pa.Table, k: int) -> pa.Table:
+    """source, target, weight: the best k of y for each row of x, by weight, then id."""
+    out = []
+    if x.num_rows and y.num_rows:
+        y = y.sort_by("id")
+        theirs, ids, own = _unit(y.column("v").combine_chunks()), y.column("id").to_numpy(), x.column("id").to_numpy()
+        for s in range(0, x.num_rows, 512):
+            mine = _unit(x.column("v").slice(s, 512).combine_chunks())
+            w = np.round(np.maximum(LEAST, (mine @ theirs.T + 1) / 2), 9)
+            w[own[s : s + 512, None] == ids[None, :]] = -1
+            top = np.argsort(-w, axis=1, kind="stable")[:, :k]
+            found = np.repeat(own[s : s + 512], top.shape[1]), ids[top].ravel(), np.take_along_axis(w, top, 1).ravel()
+            out.append([c[found[2] >= 0] for c in found])
+    names = ["source", "target", "weight"]
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0)] * 3
+    kinds = [x.schema.field("id").type] * 2 + [pa.float64()]
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, kinds)})
+
+
+def _pivots(rows: DataFrame, n: int) -> np.ndarray:
+    """Unit vectors of the n first rows by hash that aren't zero."""
+    picked = rows.filter(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(n).select("v").collect()
+    x = np.array([r.v for r in picked], float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.empty((0, 0))
+
 
+def _placed(rows: DataFrame, pivots: np.ndarray, block_rows: int) -> tuple[DataFrame, list[tuple[int, int, float]]]:
+    """id, v, block; and of each cell its first block, the number of its blocks and its largest angle. Zero vectors are the last cell."""
+    kind = rows.schema["id"].dataType.simpleString()
 
-def knn_neighbors(vectors: DataFrame, k: int, key: str = "node", vector: str = "vector", block_rows: int = 4096) -> DataFrame:
+    def deal(batches):
+        for b in batches:
+            x = _unit(b.column("v"))
+            at = _angles(x, pivots)
+            cell = np.where(x.any(1), at.argmin(1), len(pivots))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(np.where(cell < len(pivots), at.min(1), np.pi))], ["id", "v", "cell", "angle"])
+
+    dealt = materialize(rows.mapInArrow(deal, f"id {kind}, v array<double>, cell int, angle double"), "cells")
+    sizes = {r.cell: (r.n, r.r) for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect()}  # MAX_PIVOTS + 1 at most
+    cells, first = [], 0
+    for c in range(len(pivots) + 1):
+        n, r = sizes.get(c, (0, 0.0))
+        blocks = -(-n // block_rows)
+        cells.append((first, blocks, r))
+        first += blocks
+    starts = rows.sparkSession.createDataFrame([(c, f, max(1, n)) for c, (f, n, _) in enumerate(cells)], "cell int, first int, blocks int")
+    block = F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    return materialize(dealt.join(F.broadcast(starts), "cell").select("id", "v", block.alias("block")), "blocks"), cells
+
+
+def knn_neighbors(vectors: DataFrame, k: int, key: str = "node", vector: str = "vector", block_rows: int = 4096, met: list[float] | None = None) -> DataFrame:
     """source, target, weight (max(0.0001, (cosine + 1) / 2)), rank: by weight, then key.
 
-    Rows are dealt into blocks; each pair of blocks is one matrix product, of which each source keeps its best k.
+    `met` gets the share of pairs of blocks that had to meet.
     """
     kind = vectors.schema[key].dataType.simpleString()
-    blocks = max(1, -(-vectors.count() // block_rows))
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    left = rows.select("id", "v", F.col("own").alias("a"), every).withColumnRenamed("other", "b")
-    right = rows.select("id", "v", F.col("own").alias("b"), every).withColumnRenamed("other", "a")
-
-    def unit(column) -> np.ndarray:
-        x = np.array(column.tolist(), float).reshape(len(column), -1)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, size, out=np.zeros_like(x), where=size > 1e-12)
-
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"source": [], "target": [], "weight": []})
-        y = y.sort_values("id")
-        s = np.round(np.maximum(LEAST, (unit(x["v"]) @ unit(y["v"]).T + 1) / 2), 9)
-        s[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = -1
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"source": np.repeat(x["id"].to_numpy(), top.shape[1]), "target": y["id"].to_numpy()[top].ravel(), "weight": np.take_along_axis(s, top, 1).ravel()})
-        return out[out["weight"] >= 0]
-
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, f"source {kind}, target {kind}, weight double")
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    wanted = -(-vectors.count() // block_rows)
+    pivots = _pivots(rows, min(MAX_PIVOTS, wanted)) if wanted > 1 else np.empty((0, 0))
+    schema = f"source {kind}, target {kind}, weight double"
     order = W.partitionBy("source").orderBy(F.desc("weight"), "target")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    if len(pivots) < 2:
+        alone = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, wanted))))
+        blocks, cells = alone, [(0, max(1, wanted), np.pi)]
+        pivots = np.empty((0, 0))
+    else:
+        blocks, cells = _placed(rows, pivots, block_rows)
+    n_blocks = sum(n for _, n, _ in cells)
+
+    def within(table: pa.Table) -> pa.Table:
+        return _met(table, table, k)
+
+    near = blocks.groupBy("block").applyInArrow(within, schema)
+    if n_blocks == 1:
+        return best(near)
+    near = materialize(near, "within")
+    bounds = near.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("least"))
+    asked = blocks.join(bounds, "id", "left").select("id", "v", "block", F.when(F.col("n") >= k, F.col("least")).otherwise(0.0).alias("least"))
+
+    def visits(batches):
+        radii = np.array([r for _, _, r in cells])
+        for b in batches:
+            x, own = _unit(b.column("v")), b.column("block").to_numpy()
+            nearest = np.zeros((len(x), len(cells)))  # angle that no member of a cell is below
+            if len(pivots):
+                nearest[:, : len(pivots)] = np.maximum(0.0, _angles(x, pivots) - radii[None, : len(pivots)])
+                nearest[~x.any(1)] = 0.0
+            may = np.maximum(LEAST, (np.cos(nearest) + 1) / 2) + SLACK >= b.column("least").to_numpy()[:, None]
+            of, to = [], []
+            for i, c in zip(*(w.tolist() for w in np.nonzero(may))):
+                first, n, _ = cells[c]
+                for other in range(first, first + n):
+                    if other != own[i]:
+                        of.append(i)
+                        to.append(other)
+            of = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id").take(of), b.column("v").take(of), b.column("block").take(of), pa.array(to, b.column("block").type)], ["id", "v", "a", "b"])
+
+    block = blocks.schema["block"].dataType.simpleString()
+    left = materialize(asked.mapInArrow(visits, f"id {kind}, v array<double>, a {block}, b {block}"), "visits")
+    pairs = left.select("a", "b").distinct()
+    if met is not None:
+        met.append((pairs.count() + n_blocks) / n_blocks**2)
+    right = blocks.withColumnRenamed("block", "of_b").join(pairs.select(F.col("a").alias("of_a"), F.col("b").alias("of_b")), "of_b").select("id", "v", "of_a", "of_b")
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        return _met(x, y, k)
+
+    far = left.groupBy("a", "b").cogroup(right.groupBy("of_a", "of_b")).applyInArrow(meet, schema)
+    return best(near.unionByName(far))
 
 
 def knn_edges(neighbors: DataFrame) -> DataFrame:

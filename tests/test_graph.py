@@ -178,6 +178,27 @@ def test_large_baskets_are_dealt_out(spark, by):
     assert edges.count() == 3000 * 2999 // 2 and edges.filter("weight <> 1 OR source >= target").isEmpty()
 
 
+@pytest.mark.parametrize("spread, most", [(0.05, 0.5), (5.0, 1.0)])
+def test_neighbours_by_pivots_are_exact(spark, spread, most):
+    """Clumps, a third of equal vectors, zero vectors and ties: what one matrix product gives, though few blocks of clumps meet."""
+    rng = np.random.default_rng(6)
+    clumps = rng.normal(size=(12, 8))
+    x = np.round(clumps[rng.integers(0, 12, 240)] + spread * rng.normal(size=(240, 8)), 3)
+    x[160:235], x[235:] = x[0], 0
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, vector array<double>")
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    w = np.round(np.maximum(0.0001, (unit @ unit.T + 1) / 2), 9)
+    np.fill_diagonal(w, -1)
+    want = {(i, r + 1): (int(j), w[i, j]) for i in range(240) for r, j in enumerate(np.argsort(-w[i], kind="stable")[:5])}
+    met = []
+    for rows in (16, 1000):
+        got = {(r.source, r.rank): (r.target, r.weight) for r in knn.knn_neighbors(df, 5, block_rows=rows, met=met).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i][1] - v) < 2e-9 for i, (_, v) in want.items())
+        assert sum(got[i][0] != t for i, (t, _) in want.items()) == 0
+    assert len(met) == 1 and met[0] <= most
+
+
 def planted(spark, groups=4, size=9, seed=5):
     """Groups of many inner links, a few links between them."""
     rnd, n = random.Random(seed), groups * size
