@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from basketgraph.llm.common import materialize
+
 LINE_DOCS, LINE_SHARE, KEEP_SHARE = 5, 0.02, 0.2
 SPACE, SPACES = r"[\x20\x09-\x0D]+", " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -33,33 +35,35 @@ def _shifted(c: str, by: int) -> Column:
     return F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(by + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
-def base_stats(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """A row for each document: key, hashes that name it, counts, line hashes, and hashes of its 8-word windows."""
+def base_stats(docs: DataFrame, key: str, text: str, host: str) -> tuple[DataFrame, DataFrame]:
+    """A row for each document: key, hashes that name it, counts and line hashes, written once for all that reads them; and ID, TEXT, hashes of its 8-word windows.
+
+    The windows, which are larger than the text, have one reader and aren't written.
+    """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
     rows = rows.select("*", F.xxhash64("key").alias(ID), F.xxhash64("t").alias(TEXT), _trim(F.col("t")).alias("body"))
     rows = rows.withColumn("words", F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.split("body", SPACE)))
     lines = F.filter(F.split("t", "\n"), lambda x: _trim(x) != "")
     normal = F.split(F.translate(F.lower("t"), "123456789", "0" * 9), "\n")
-    rows = rows.select(
+    stats = rows.select(
         "key", "host", ID, TEXT,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        lines.alias("lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.transform(normal, lambda x: F.struct(F.xxhash64(_trim(x)).alias("line"), F.length(_trim(x)).alias("chars"))).alias("normal"),
-        F.transform("words", lambda x: F.xxhash64(x)).alias("h1"),
     )
-    rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
+    windows = rows.select(ID, TEXT, F.transform("words", lambda x: F.xxhash64(x)).alias("h1"))
     for name, of, by in (("h2", "h1", 1), ("h4", "h2", 2), ("h8", "h4", 4)):
-        rows = rows.withColumn(name, _shifted(of, by)).drop(of)
-    return rows
+        windows = windows.withColumn(name, _shifted(of, by)).drop(of)
+    return materialize(stats, "stats"), windows
 
 
-def repeated_words(stats: DataFrame) -> DataFrame:
+def repeated_words(windows: DataFrame) -> DataFrame:
     """ID, TEXT, n_repeat_words of the documents that hold a window twice."""
     # A condition inside the generator, not a filter: a filter would be pushed down and the hashes computed again in it.
     twice = F.when(F.size(F.array_distinct("h8")) < F.size("h8"), F.col("h8")).otherwise(F.array().cast("array<long>"))
-    windows = stats.select(ID, TEXT, F.posexplode(twice).alias("at", "window"))
+    windows = windows.select(ID, TEXT, F.posexplode(twice).alias("at", "window"))
     same = W.partitionBy(ID, TEXT, "window")
     repeated = windows.withColumn("times", F.max("at").over(same) - F.min("at").over(same)).filter("times > 0")
     ahead = F.lead("at").over(W.partitionBy(ID, TEXT).orderBy("at"))
@@ -86,13 +90,13 @@ def lines_above(stats: DataFrame, line_docs: int, line_share: float) -> DataFram
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
     """key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_chars."""
-    return _judged(base_stats(docs, key, text, host), line_docs, line_share, keep_share).withColumnRenamed("key", key).drop(ID, TEXT, "host")
+    return _judged(*base_stats(docs, key, text, host), line_docs, line_share, keep_share).withColumnRenamed("key", key).drop(ID, TEXT, "host")
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
     """The rows of docs that are kept, each without its lines above the limit."""
-    stats = base_stats(docs, key, text, host)
-    kept = _judged(stats, line_docs, line_share, keep_share).filter("kept").select(ID, TEXT, F.col("host").alias(HOST)).distinct()
+    stats, windows = base_stats(docs, key, text, host)
+    kept = _judged(stats, windows, line_docs, line_share, keep_share).filter("kept").select(ID, TEXT, F.col("host").alias(HOST)).distinct()
     gone = lines_above(stats, line_docs, line_share).groupBy(ID, TEXT, F.col("host").alias(HOST)).agg(F.collect_set("line").alias(GONE))
     named = docs.withColumns({ID: F.xxhash64(key), TEXT: F.xxhash64(F.coalesce(F.col(text), F.lit(""))), HOST: F.coalesce(F.col(host).cast("string"), F.lit(""))})
     rows = named.join(kept, [ID, TEXT, HOST], "left_semi").join(gone, [ID, TEXT, HOST], "left")
@@ -101,11 +105,11 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     return rows.withColumn(text, F.when(F.col(GONE).isNull(), F.col(text)).otherwise(left)).select(docs.columns)
 
 
-def _judged(stats: DataFrame, line_docs: int, line_share: float, keep_share: float) -> DataFrame:
+def _judged(stats: DataFrame, windows: DataFrame, line_docs: int, line_share: float, keep_share: float) -> DataFrame:
     """The columns of quality(), with the names of rows."""
     line_chars = F.aggregate("normal", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
     rows = stats.select("key", ID, TEXT, "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", line_chars.alias("line_chars"))
-    rows = rows.join(repeated_words(stats), [ID, TEXT], "left").join(removed_chars(stats, line_docs, line_share), [ID, TEXT, "host"], "left")
+    rows = rows.join(repeated_words(windows), [ID, TEXT], "left").join(removed_chars(stats, line_docs, line_share), [ID, TEXT, "host"], "left")
     rows = rows.fillna(0, ["n_repeat_words", "removed"])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     depleted = (F.col("line_chars") - F.col("removed")) < keep_share * F.col("line_chars")
