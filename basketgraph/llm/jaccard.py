@@ -25,7 +25,8 @@ whole hashes.
 
 Edge cases: null and empty texts have no shingles and link with nothing; texts with fewer words than k are one
 shingle; rows (id with text) are vertices, so a repeated or null id links nothing; a null id names no component; ties don't
-arise, as the smallest id names a component; other columns are left out; an empty table gives an empty one.
+arise, as the smallest id names a component; ids must be whole numbers; texts of any length are read whole, the hashes of
+their shingles held at once (8 bytes each); other columns are left out; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ documents show, with slack for short texts, or where it has no letter.
 
 Edge cases: null texts and texts without a letter are `und`, score 0, rejected; labels that are null teach nothing;
 ties go to the first language by name; repeated rows give a row each; with no training rows everything is `und`;
-other columns are left out.
+other columns are left out; texts of any length are read whole, 20,000 words at a time, so the longest word bounds memory.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ these words are broadcast, those of the others joined to the documents; a word m
 
 Edge cases: null and empty texts have no tokens, sum 0 and mean 0; neighbours beyond a text's ends are a mark of
 their own; ties in counts go to the smaller word; repeated rows give a row each; on an empty table nothing is
-trained and the result is empty; other columns are left out.
+trained and the result is empty; other columns are left out; texts of any length are read whole, a chunk of words at a
+time. Each task trains on its own rows before parameters are averaged, so scores depend on how rows are partitioned.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ they go, largest first, into the first sequence with room, found in a tournament
 lengths and checksums (or ids, if asked for) are shuffled.
 
 Edge cases: null text counts as empty, and an empty text is its end token alone; repeated rows are packed as often as
-they occur; ties in length go by id, then start; a null id is kept; other columns are left out; an empty table gives
-an empty one.
+they occur; ties in length go by id, then start; a null id is kept; texts of any length are read whole, their ids held
+at once (4 bytes each) and cut into pieces; other columns are left out; an empty table gives an empty one.
 """
 
 from __future__ import annotations

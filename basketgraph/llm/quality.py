@@ -8,7 +8,9 @@ quality() gives the figures, cleaned() the rows kept with the text that is left.
 and text and by its host, so rows that share an id, or have none, are judged each by their own.
 
 Edge cases: null text has no words and fails the base rules; a null host is a host of its own; repeated rows give the
-same result each; a null id gives a row with a null id; other columns are left out; an empty table gives an empty one.
+same result each; a null id gives a row with a null id; of documents that hold a line and have one id, that of the smaller
+text hash keeps it; texts of any length are read whole, their words' hashes being an array of the row; other columns are
+left out; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -15,8 +15,8 @@ have more than `hot` bytes, the different stretches, each once with its number o
 at last by k = length, where a minimiser is the window itself. This is exact at each step and bounds every shard.
 
 Edge cases: null texts count as empty; texts shorter than `length` keep everything; matches never cross documents;
-repeated rows are copies of each other and lose all that is long enough; an empty table gives an empty one; other
-columns are left out.
+repeated rows are copies of each other and lose all that is long enough; texts of any length are read whole, a row each,
+and only what recurs in their stretches is sorted; an empty table gives an empty one; other columns are left out.
 """
 
 from __future__ import annotations
