@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,27 +41,53 @@ def neighbour_lists(adj: DataFrame) -> DataFrame:
     return adj.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "w"))).alias("options"))
 
 
+def _over(length: int) -> Column:
+    return F.col("done") | (F.size("walk") >= length)
+
+
+#: Proposals of a walker in a round.
+TRIES = 4
+
+
+def _round(state: DataFrame, lists: DataFrame, known: DataFrame, length: int, p: float, q: float, seed: int) -> DataFrame:
+    """Walkers after a round: each goes to its first proposal that is accepted; one without waits for the next round, one that is over stays."""
+    most, i = max(1.0, 1 / p, 1 / q), F.size("walk")
+    at = state.join(lists.withColumnRenamed("src", "cur"), "cur", "left")
+    tries = F.transform(F.sequence(F.col("attempt"), F.col("attempt") + TRIES - 1), lambda a: F.struct(a.alias("a"), weighted_pick(F.col("options"), uniform(seed, "start", "nth", i, a)).alias("next"), uniform(seed + 1, "start", "nth", i, a).alias("u")))
+    own = ["start", "nth", "walk", "cur", "prev", "attempt"]
+    rows = at.select(*own, F.explode_outer(F.when(~_over(length), tries)).alias("x")).select(*own, "x.*").join(known, ["prev", "next"], "left")
+    beside = F.coalesce("beside", F.lit(False)) & (F.col("next") != F.col("prev"))
+    accepted = F.col("u") * most <= bias(F.col("next"), F.col("prev"), beside, F.lit(1.0), p, q)
+    first = F.min(F.when(accepted & F.col("next").isNotNull(), F.struct("a", "next"))).alias("first")
+    best = rows.groupBy(*own).agg(first, F.count("next").alias("n"))
+    moved = F.col("first").isNotNull()
+    return best.select(
+        "start", "nth", F.when(moved, F.concat("walk", F.array("first.next"))).otherwise(F.col("walk")).alias("walk"), F.when(moved, F.col("first.next")).otherwise(F.col("cur")).alias("cur"),
+        F.when(moved, F.col("cur")).otherwise(F.col("prev")).alias("prev"), F.when(moved, 0).otherwise(F.col("attempt") + TRIES).alias("attempt"), (F.col("n") == 0).alias("done"),
+    )
+
+
 def random_walks(nodes: DataFrame, adj: DataFrame, num_walks: int, length: int, p: float = 1.0, q: float = 1.0, seed: int = 42) -> DataFrame:
     """start, nth, walk: num_walks walks from each node, of up to `length` nodes, ending early where there is no way on.
 
-    A walker carries the neighbours of its previous node, so a step is one join on where it stands.
+    By rejection: a walker draws neighbours of where it stands by weight, and takes the first that is accepted, as often
+    as its bias allows; whether that is beside the node before is looked up in the table of edges. So besides the walk it
+    carries two nodes and a number, whatever their degrees, and goes on drawing in the next round if it has to.
     """
     lists = materialize(neighbour_lists(adj), "lists")
-    state = nodes.select(F.col("node").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("nth"))
+    known = adj.select(F.col("src").alias("prev"), F.col("dst").alias("next"), F.lit(True).alias("beside"))
     none = F.lit(None).cast("string")
-    state = state.select("start", "nth", F.array("start").alias("walk"), F.col("start").alias("cur"), none.alias("prev"), F.array().cast("array<string>").alias("near"), F.lit(False).alias("done"))
-    for i in range(1, length):
-        at = state.join(lists.withColumnRenamed("src", "cur"), "cur", "left")
-        weighed = F.transform("options", lambda x: F.struct(x["dst"].alias("dst"), bias(x["dst"], F.col("prev"), F.array_contains("near", x["dst"]), x["w"], p, q).alias("w")))
-        at = at.withColumn("weighed", weighed).withColumn("next", F.when(F.size("weighed") > 0, weighted_pick(F.col("weighed"), uniform(seed, "start", "nth", F.lit(i)))))
-        moved = F.col("next").isNotNull() & ~F.col("done")
-        state = at.select(
-            "start", "nth", F.when(moved, F.concat("walk", F.array("next"))).otherwise(F.col("walk")).alias("walk"), F.when(moved, F.col("next")).otherwise(F.col("cur")).alias("cur"),
-            F.col("cur").alias("prev"), F.coalesce(F.transform("options", lambda x: x["dst"]), F.array().cast("array<string>")).alias("near"), (~moved).alias("done"),
-        )
-        if i % 4 == 0:
-            state = materialize(state, "walks")
-    return materialize(state.select("start", "nth", "walk"), "walks")
+    state = nodes.select(F.col("node").cast("string").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("nth"))
+    state = state.select("start", "nth", F.array("start").alias("walk"), F.col("start").alias("cur"), none.alias("prev"), F.lit(0).alias("attempt"), F.lit(length < 2).alias("done"))
+    ended = []
+    while True:
+        state = materialize(state, "walks")
+        ended.append(state.filter(_over(length)).select("start", "nth", "walk"))
+        state = state.filter(~_over(length))
+        if state.isEmpty():
+            return reduce(DataFrame.unionByName, ended)
+        for _ in range(4):
+            state = _round(state, lists, known, length, p, q, seed)
 
 
 def skipgram_pairs(walks: DataFrame, window: int) -> DataFrame:

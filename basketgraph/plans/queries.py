@@ -730,15 +730,14 @@ def weighted_pick(spark, d):
     return lists.select(F.col("src").alias("node"), walks.weighted_pick(F.col("options"), uniform(9, "src")).alias("pick"))
 
 
-def walks_sql(num: int, length: int, p: float, q: float, seed: int = 42) -> str:
-    """Each step: weighted neighbours of where a walk stands, and the first whose running sum reaches a hashed share of the total."""
-    out = f"WITH {A}, s0 AS MATERIALIZED (SELECT src AS start, nth, src AS cur, NULL::VARCHAR AS prev, src AS walk FROM (SELECT DISTINCT src FROM a), range({num}) r(nth))"
+def walks_sql(num: int, length: int, p: float, q: float, seed: int = 42, tries: int = 16) -> str:
+    """Each step: proposals by running sums of weights that reach a hashed share of their total, and the first of them that another hash accepts. That none of 16 is doesn't happen here."""
+    out = f"WITH {A}, r AS MATERIALIZED (SELECT src, dst, sum(w) OVER (PARTITION BY src ORDER BY dst) AS run, sum(w) OVER (PARTITION BY src) AS total FROM a), s0 AS MATERIALIZED (SELECT src AS start, nth, src AS cur, NULL::VARCHAR AS prev, src AS walk FROM (SELECT DISTINCT src FROM a), range({num}) r(nth))"
     for i in range(1, length):
-        u = f"('0x' || substr(md5(concat_ws('|', '{seed}', start, nth, '{i}')), 1, 8))::BIGINT / 4294967296.0"
-        weight = f"CASE WHEN s.prev IS NULL OR z.src IS NOT NULL THEN a.w WHEN a.dst = s.prev THEN a.w / {p} ELSE a.w / {q} END"
-        out += f""", o{i} AS (SELECT s.*, a.dst, {weight} AS weight FROM s{i - 1} s JOIN a ON a.src = s.cur LEFT JOIN a z ON z.src = s.prev AND z.dst = a.dst),
-r{i} AS (SELECT *, sum(weight) OVER (PARTITION BY start, nth ORDER BY dst) AS run, sum(weight) OVER (PARTITION BY start, nth) AS total FROM o{i}),
-s{i} AS MATERIALIZED (SELECT start, nth, min(dst) AS cur, cur AS prev, concat(walk, '|', min(dst)) AS walk FROM r{i} WHERE run >= {u} * total GROUP BY start, nth, r{i}.cur, walk)"""
+        u = [f"('0x' || substr(md5(concat_ws('|', '{seed + k}', start, nth, '{i}', a)), 1, 8))::BIGINT / 4294967296.0" for k in (0, 1)]
+        out += f""", t{i} AS (SELECT s.start, s.nth, s.cur, s.prev, s.walk, x.a, min(r.dst) AS next FROM s{i - 1} s CROSS JOIN range({tries}) x(a) JOIN r ON r.src = s.cur WHERE r.run >= {u[0]} * r.total GROUP BY 1, 2, 3, 4, 5, 6),
+k{i} AS (SELECT t.*, CASE WHEN t.prev IS NULL OR z.src IS NOT NULL THEN 1 WHEN t.next = t.prev THEN 1 / {p} ELSE 1 / {q} END AS bias FROM t{i} t LEFT JOIN a z ON z.src = t.prev AND z.dst = t.next),
+s{i} AS MATERIALIZED (SELECT start, nth, arg_min(next, a) AS cur, k{i}.cur AS prev, concat(walk, '|', arg_min(next, a)) AS walk FROM k{i} WHERE {u[1]} * {max(1, 1 / p, 1 / q)} <= bias GROUP BY start, nth, k{i}.cur, walk)"""
     return f"{out} SELECT start, CAST(nth AS INT) AS nth, walk FROM s{length - 1}"
 
 

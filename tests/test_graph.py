@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketgraph import session
-from basketgraph.operators import communities, cooc, embed, graph, knn, traverse
+from basketgraph.operators import communities, cooc, embed, graph, knn, traverse, walks
 from basketgraph.plans import queries
 from basketgraph.sources import io
 
@@ -199,6 +199,20 @@ def test_neighbours_by_pivots_are_exact(spark, spread, most):
     assert len(met) == 1 and met[0] <= most
 
 
+def test_walks_follow_transition_weights(spark):
+    """Steps after two nodes are as frequent as their weights; a walk ends where there is no way on; strong p and q need many proposals."""
+    _, e = frames(spark, 6, [(0, 1, 3), (1, 2, 1), (0, 2, 2), (2, 3, 1), (3, 4, 5)])
+    nodes, adj = spark.createDataFrame([(f"n{i:02d}",) for i in range(6)], "node string"), graph.adjacency(e)
+    rows = walks.random_walks(nodes, adj, 600, 6, 0.2, 5.0).collect()
+    assert len(rows) == 3600 and all(len(r.walk) == (1 if r.start == "n05" else 6) and r.walk[0] == r.start for r in rows)
+    weight = {(r.prev, r.cur, r.cand): r.weight for r in walks.transition_weights(adj, 0.2, 5.0).collect()}
+    seen = collections.Counter(x for r in rows for x in zip(r.walk, r.walk[1:], r.walk[2:]))
+    assert seen.keys() <= weight.keys()
+    for two in {x[:2] for x in seen}:
+        n, total = sum(c for x, c in seen.items() if x[:2] == two), sum(w for x, w in weight.items() if x[:2] == two)
+        assert n < 300 or all(abs(seen[x] / n - w / total) < 0.08 for x, w in weight.items() if x[:2] == two)
+
+
 def planted(spark, groups=4, size=9, seed=5):
     """Groups of many inner links, a few links between them."""
     rnd, n = random.Random(seed), groups * size
