@@ -156,7 +156,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id",
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        aligner = cached(("align", byte_path, piece_path), lambda: Aligner(byte_path, piece_path))
+        aligner = cached(("align", byte_path, piece_path), lambda: Aligner(byte_path, piece_path), alone=True)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 own = batch.slice(at, 200)

@@ -73,9 +73,12 @@ def worker_cache() -> dict:
     return pyspark.__dict__.setdefault("_basketgraph_cache", {})
 
 
-def cached(key, make):
+def cached(key, make, alone: bool = False):
+    """What make() gives, kept by the worker. With alone, for large tables, all else that is kept goes first: it is of stages before."""
     store = worker_cache()
     if key not in store:
+        if alone:
+            store.clear()
         store[key] = make()
     return store[key]
 
@@ -97,7 +100,7 @@ class WordHashes(dict):
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    table = cached("words", WordHashes)
+    table = cached("words", WordHashes, alone=True)
     return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
 
 

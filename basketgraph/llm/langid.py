@@ -173,6 +173,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", max_chars:
 def _scored(batches, state: tuple, text: str, keep: list[str]):
     store = worker_cache()
     if store.get("langid", (None,))[0] is not state:
+        store.clear()  # what stages before have kept
         store["langid"] = (state, ChunkScores(Model.of(state)))
     model, scores = Model.of(state), store["langid"][1]
     for whole in batches:

@@ -93,7 +93,7 @@ class ChunkIds:
 
 
 def chunk_ids(path: str) -> ChunkIds:
-    return cached(("chunks", path), lambda: ChunkIds(path))
+    return cached(("chunks", path), lambda: ChunkIds(path), alone=True)
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
