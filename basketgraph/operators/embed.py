@@ -1,81 +1,170 @@
-"""Node embeddings: skip-gram with negative sampling on walks, averaged over partitions after each epoch."""
+"""Node embeddings: skip-gram with negative sampling on walks, trained in blocks of centers and contexts.
+
+Nodes are dealt to B blocks by their hash. A step is a place of a walk with those of its contexts that lie in one
+block, so a step belongs to a part, a block of centers and a block of contexts. An epoch has B turns; in turn t block i
+of the centers meets block i + t of the contexts, so the B parts of a turn share no vector and are trained side by side.
+After B turns each pair of blocks has met, and every step was taken once. Vectors are written after each turn.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketgraph.functions.vectors import cosine
 from basketgraph.operators import graph, walks
-from basketgraph.session import materialize, uniform
+from basketgraph.session import materialize, new_path, remove, uniform
 
-#: Nodes in the walks of a part.
-PART_NODES = 2_000_000
+#: Nodes of a block, and places of walks in a part, on average; a part of SLACK times as many is dealt to several tasks.
+BLOCK_NODES, PART_STEPS, SLACK = 200_000, 200_000, 4
 #: Labels of a context and the negatives after it.
 FIRST = np.eye(1, 1024)[0]
+VECTORS = "side int, block int, node string, n long, vector array<double>"
 
 
-def train_part(paths: list[list[str]], names: list[str], inner: np.ndarray, outer: np.ndarray, weights: np.ndarray, window: int, negatives: int, rate: float, seed: int) -> None:
-    """One pass over the walks of a partition, in place; a negative is never the context itself.
+def train_steps(center: np.ndarray, ends: np.ndarray, context: np.ndarray, inner: np.ndarray, outer: np.ndarray, weights: np.ndarray, negatives: int, rate: float, rng: np.random.Generator) -> None:
+    """Takes steps in place: step k moves center[k] with the contexts that end before ends[k]; a negative is never the context itself.
 
     A step is a place of a walk with its contexts: larger ones add up gradients of nodes that a walk visits again and
     again, and diverge on small graphs.
     """
-    rng = np.random.default_rng(seed)
-    index = {n: i for i, n in enumerate(names)}
     chance = np.cumsum(weights / weights.sum())
-    for path in (paths[i] for i in rng.permutation(len(paths))):
-        ids = np.array([index[n] for n in path])
-        i, j = np.nonzero((np.abs(np.subtract.outer(np.arange(len(ids)), np.arange(len(ids)))) <= window) & ~np.eye(len(ids), dtype=bool))
-        center, context = ids[i], ids[j]
-        if not len(center):
-            continue
-        others = np.minimum(np.searchsorted(chance, rng.random((len(center), negatives))), len(names) - 1)
-        target = np.column_stack([context, others])
-        counts = np.ones(target.shape)
-        counts[:, 1:] = others != context[:, None]
-        starts = np.flatnonzero(np.diff(i, prepend=-1))
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(i)]):  # a place of the walk with all its contexts
-            own, c = target[s:e], center[s]
-            x, y = inner[c].copy(), outer[own]
-            g = counts[s:e] * (FIRST[: 1 + negatives] - 1 / (1 + np.exp(-np.clip(y @ x, -30, 30)))) * rate
-            inner[c] += np.einsum("ij,ijk->k", g, y)
-            np.add.at(outer, own, g[..., None] * x)
-
-
-def _of_epoch(run, epoch: int):
-    """A function of two groups; a third parameter would be taken for the key."""
-    return lambda left, right: run(epoch, left, right)
-
-
-def train_embeddings(paths: DataFrame, dimensions: int, window: int = 3, negatives: int = 3, epochs: int = 4, rate: float = 0.035, parts: int | None = None, seed: int = 42) -> DataFrame:
+    others = np.minimum(np.searchsorted(chance, rng.random((len(context), negatives))), len(weights) - 1)
+    target = np.column_stack([context, others])
+    counts = np.ones(target.shape)
+    counts[:, 1:] = others != context[:, None]
+    ends = ends.tolist()
+    for c, s, e in zip(center.tolist(), [0, *ends], ends):
+        own = target[s:e]
+        x, y = inner[c].copy(), outer[own]
+        g = counts[s:e] * (FIRST[: 1 + negatives] - 1 / (1 + np.exp(-np.clip(y @ x, -30, 30)))) * rate
+        inner[c] += np.einsum("ij,ijk->k", g, y)
+        np.add.at(outer, own, g[..., None] * x)
+
+
+class Part:
+    """A part while its rows come: the vectors of its centers (side 0) and contexts (side 1), then its steps (side 2)."""
+
+    def __init__(self, rng: np.random.Generator, negatives: int, rate: float):
+        self.rng, self.negatives, self.rate = rng, negatives, rate
+        self.rows: tuple[list, list] = ([], [])
+        self.index = self.tables = None
+
+    def take(self, side: int, rows: pa.RecordBatch) -> None:
+        if side < 2:
+            self.rows[side].append(rows)
+            return
+        if self.index is None:
+            self.index = [{n: i for i, n in enumerate(m for b in own for m in b.column("node").to_pylist())} for own in self.rows]
+            self.tables = [np.concatenate([b.column("vector").flatten().to_numpy().reshape(b.num_rows, -1) for b in own]) for own in self.rows]
+            self.weights = np.concatenate([b.column("n").to_numpy() for b in self.rows[1]]).astype(float) ** 0.75
+        at, to = self.index
+        center = np.fromiter(map(at.__getitem__, rows.column("node").to_pylist()), np.int64, rows.num_rows)
+        near = rows.column("contexts")
+        context = np.fromiter(map(to.__getitem__, near.flatten().to_pylist()), np.int64)
+        train_steps(center, np.cumsum(near.value_lengths().to_numpy()), context, *self.tables, self.weights, self.negatives, self.rate, self.rng)
+
+    def result(self):
+        for side, own in enumerate(self.rows):
+            start = 0
+            for b in own:
+                vector = b.column("vector")
+                if self.tables is not None:
+                    vector = pa.FixedSizeListArray.from_arrays(self.tables[side][start : start + b.num_rows].ravel(), self.tables[side].shape[1]).cast(pa.list_(pa.float64()))
+                start += b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column("side"), b.column("block"), b.column("node"), b.column("n"), vector], ["side", "block", "node", "n", "vector"])
+
+
+def _trainer(epoch: int, turn: int, seed: int, negatives: int, rate: float):
+    """For rows in order of part, shard and side: the vectors after the steps. Steps are taken as they come, so a task holds two blocks."""
+
+    def run(batches):
+        key = held = None
+        for b in batches:
+            marks = np.column_stack([b.column(c).to_numpy() for c in ("part", "shard", "side")])
+            starts = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(1)][: len(marks)]).tolist()
+            for s, e in zip(starts, [*starts[1:], len(marks)]):
+                part, shard, side = marks[s].tolist()
+                if key != (part, shard):
+                    if held:
+                        yield from held.result()
+                    key, held = (part, shard), Part(np.random.default_rng([seed, epoch, turn, part, shard]), negatives, rate)
+                held.take(side, b.slice(s, e - s))
+        if held:
+            yield from held.result()
+
+    return run
+
+
+def _block(node, blocks: int):
+    return F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int")
+
+
+def steps_of(paths: DataFrame, window: int, blocks: int) -> DataFrame:
+    """turn, part (the center's block), start, nth, place, node (the center) and its contexts of one block."""
+    near = F.filter(F.sequence(F.greatest(F.lit(0), F.col("place") - window), F.least(F.size("walk") - 1, F.col("place") + window)), lambda i: i != F.col("place"))
+    places = paths.select("start", "nth", "walk", F.posexplode("walk").alias("place", "node"))
+    places = places.select("start", "nth", "place", "node", F.transform(near, lambda i: F.get("walk", i)).alias("near"))
+    dealt = places.select("*", F.explode(F.array_distinct(F.transform("near", lambda x: _block(x, blocks)))).alias("to"))
+    own = dealt.select("*", _block("node", blocks).alias("part"), F.filter("near", lambda x: _block(x, blocks) == F.col("to")).alias("contexts"))
+    return own.select(F.pmod(F.col("to") - F.col("part"), F.lit(blocks)).alias("turn"), "part", "start", "nth", "place", "node", "contexts")
+
+
+def train_embeddings(paths: DataFrame, dimensions: int, window: int = 3, negatives: int = 3, epochs: int = 4, rate: float = 0.035, blocks: int | None = None, seed: int = 42) -> DataFrame:
     """node, vector from walks (start, nth, walk).
 
-    Each part gets its walks and the vectors of the nodes in them, so nothing grows with the whole graph; negatives
-    come from the part's nodes by their counts to the power 0.75. After an epoch a node's vectors are averaged. Without
-    `parts` there is one for each PART_NODES of all walks' nodes, so a part has a bound and their number grows.
+    Without `blocks` there are as many as keep a block's nodes and a part's steps at a bound, so a task holds two
+    blocks of vectors whatever the graph. Negatives come from the part's contexts by their counts to the power 0.75.
+    Walks come in an order hashed anew each epoch. A part of far more steps than others, as of a node that a third of all
+    walks pass, is dealt to shards that start alike and whose vectors are averaged. Empty walks give an empty table;
+    a node whose walks have no other place keeps its first vector.
     """
-    parts = parts or max(1, (paths.agg(F.sum(F.size("walk"))).first()[0] or 0) // PART_NODES)
-    dealt = materialize(paths.select(F.pmod(F.xxhash64("start", "nth"), F.lit(parts)).alias("part"), "start", "nth", "walk"), "dealt")
-    counts = materialize(dealt.select("part", F.explode("walk").alias("node")).groupBy("part", "node").agg(F.count(F.lit(1)).alias("n")), "counts")
+    spark = paths.sparkSession
+    dealt = materialize(paths.select("start", "nth", "walk"), "walks")
+    counts = materialize(dealt.select(F.explode("walk").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")), "counts")
+    nodes, places = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = min(blocks or max(math.ceil(math.sqrt(places / PART_STEPS)), math.ceil(nodes / BLOCK_NODES)), nodes) or 1
+    table = new_path(spark, "steps")
+    steps = steps_of(dealt, window, blocks)
+    # A turn is read by its folder; the parts of a file are 64 at most.
+    steps.repartition("turn", F.floor(F.col("part") / 64)).write.partitionBy("turn").parquet(table)
+    steps = spark.read.schema(steps.schema).parquet(table)
+    sizes = steps.groupBy("turn", "part").agg(F.ceil(F.count(F.lit(1)) / (SLACK * PART_STEPS)).cast("int").alias("shards"))
+    hot = materialize(sizes.filter("shards > 1"), "hot")
+    several = not hot.isEmpty()
     start = F.transform(F.sequence(F.lit(1), F.lit(dimensions)), lambda i: (uniform(seed, F.col("node"), i) - 0.5) / dimensions)
-    vectors = materialize(counts.select("node").distinct().select("node", start.alias("inner"), F.array_repeat(F.lit(0.0), dimensions).alias("outer")), "vectors")
-
-    def run(epoch: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right, left = right.sort_values("node"), left.sort_values(["start", "nth"])
-        inner, outer = np.array(right["inner"].tolist()), np.array(right["outer"].tolist())
-        train_part([list(w) for w in left["walk"]], right["node"].tolist(), inner, outer, right["n"].to_numpy(float) ** 0.75, window, negatives, rate, seed + epoch)
-        return pd.DataFrame({"node": right["node"], "inner": list(inner), "outer": list(outer)})
-
+    first = counts.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), _block("node", blocks).alias("block"), "node", "n")
+    vectors = first.withColumn("vector", F.when(F.col("side") == 0, start).otherwise(F.array_repeat(F.lit(0.0), dimensions)))
+    before = None
     for e in range(epochs):
-        known = counts.join(vectors, "node").select(F.col("part").alias("of_part"), "node", "n", "inner", "outer")
-        done = dealt.groupBy("part").cogroup(known.groupBy("of_part")).applyInPandas(_of_epoch(run, e), "node string, inner array<double>, outer array<double>")
-        cells = materialize(done, "epoch")
-        mean = [F.array(*[F.avg(F.get(c, F.lit(i))) for i in range(dimensions)]).alias(c) for c in ("inner", "outer")]
-        vectors = materialize(cells.groupBy("node").agg(*mean), "vectors")
-    return vectors.select("node", F.col("inner").alias("vector"))
+        for t in range(blocks):
+            part = F.when(F.col("side") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - t, F.lit(blocks)))
+            known = vectors.select(part.alias("part"), "side", "block", "node", "n", "vector")
+            order = F.xxhash64(F.lit(seed + e), "start", "nth")
+            taken = steps.filter(F.col("turn") == t).select("part", F.lit(2).alias("side"), "node", order.alias("walk"), "place", "contexts", F.xxhash64("start", "nth").alias("dealt"))
+            if several:
+                own = hot.filter(F.col("turn") == t).select("part", "shards")
+                known = known.join(own, "part", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1)))
+                taken = taken.join(own, "part", "left").withColumn("shard", F.pmod("dealt", F.coalesce("shards", F.lit(1))).cast("int"))
+            rows = [x.withColumn("shard", F.lit(0)) if not several else x for x in (known, taken)]
+            rows = rows[0].drop("shards").unionByName(rows[1].drop("shards", "dealt"), allowMissingColumns=True)
+            rows = rows.repartition("part", "shard").sortWithinPartitions("part", "shard", "side", "walk", "place", "node")
+            done = rows.mapInArrow(_trainer(e, t, seed, negatives, rate), VECTORS)
+            if several:
+                mean = F.array(*[F.avg(F.get("vector", F.lit(i))) for i in range(dimensions)])
+                done = done.groupBy("side", "block", "node", "n").agg(mean.alias("vector"))
+            path = new_path(spark, "vectors")
+            done.write.parquet(path)
+            vectors = spark.read.schema(VECTORS).parquet(path)
+            if before:
+                remove(spark, [before])
+            before = path
+    remove(spark, [table])
+    return vectors.filter("side = 0").select("node", "vector")
 
 
 def node2vec(nodes: DataFrame, edges: DataFrame, dimensions: int, weighted: bool = True, num_walks: int = 12, length: int = 14, p: float = 1.0, q: float = 0.8, seed: int = 42, **training) -> DataFrame:

@@ -255,49 +255,78 @@ def test_sweep_is_what_each_setting_gives(spark):
         assert (r.clusters, r.largest, r.modularity) == (len(sizes), max(sizes.values()), round(plain_modularity(plain, got), 6))
 
 
-def plain_skipgram(paths, names, inner, outer, weights, window, negatives, rate, seed):
-    """train_part as loops: one gradient a pair, those of one place of a walk from the vectors before it."""
-    rng = np.random.default_rng(seed)
-    chance = np.cumsum(weights / weights.sum())
-    for path in (paths[i] for i in rng.permutation(len(paths))):
-        ids = [names.index(n) for n in path]
-        pairs = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(len(ids)) if i != j and abs(i - j) <= window]
-        if not pairs:
-            continue
-        drawn = rng.random((len(pairs), negatives))
-        at = [i for i in range(len(ids)) for j in range(len(ids)) if i != j and abs(i - j) <= window]
-        for n, ((c, o), us) in enumerate(zip(pairs, drawn)):
-            if n == 0 or at[n] != at[n - 1]:
-                old_in, old_out = inner.copy(), outer.copy()
-            others = [min(int(np.searchsorted(chance, u)), len(names) - 1) for u in us]
-            for t, label in [(o, 1.0)] + [(x, 0.0) for x in others if x != o]:
-                g = (label - 1 / (1 + math.exp(-float(old_in[c] @ old_out[t])))) * rate
-                inner[c] += g * old_out[t]
-                outer[t] += g * old_in[c]
-
-
-def test_skipgram_is_a_plain_loop(spark):
+def plain_skipgram(paths, nodes, inner, outer, n, blocks, block, window, negatives, rate, seed, epochs, order):
+    """Training as loops, block by block: one gradient a pair, those of one place of a walk from the vectors before it."""
+    for e, t in itertools.product(range(epochs), range(blocks)):
+        for part in range(blocks):
+            rng = np.random.default_rng([seed, e, t, part, 0])
+            to = [x for x in nodes if block[x] == (part + t) % blocks]
+            weights = np.array([n[x] for x in to], float) ** 0.75
+            chance = np.cumsum(weights / weights.sum())
+            for path in (paths[k] for k in order[e]):
+                for i, c in enumerate(path):
+                    near = [path[j] for j in range(max(0, i - window), min(len(path), i + window + 1)) if j != i and path[j] in to]
+                    if block[c] != part or not near:
+                        continue
+                    old_in, old_out = inner[c].copy(), {x: v.copy() for x, v in outer.items()}
+                    for o in near:
+                        others = [to[min(int(np.searchsorted(chance, u)), len(to) - 1)] for u in rng.random(negatives)]
+                        for x, label in [(o, 1.0)] + [(x, 0.0) for x in others if x != o]:
+                            g = (label - 1 / (1 + math.exp(-float(old_in @ old_out[x])))) * rate
+                            inner[c] = inner[c] + g * old_out[x]
+                            outer[x] = outer[x] + g * old_in
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_skipgram_is_a_plain_loop(spark, blocks):
+    """The distributed training, in one block and in turns of several, gives the vectors of plain loops."""
     rnd = random.Random(2)
-    names = list("abcdef")
-    paths = [[rnd.choice(names) for _ in range(rnd.randrange(1, 8))] for _ in range(30)]
-    start = np.random.default_rng(0)
-    vectors = [start.normal(size=(6, 4)) / 4 for _ in range(2)]
-    one, two = [v.copy() for v in vectors], [v.copy() for v in vectors]
-    embed.train_part(paths, names, *one, np.arange(1.0, 7), 2, 3, 0.05, 9)
-    plain_skipgram(paths, names, *two, np.arange(1.0, 7), 2, 3, 0.05, 9)
-    assert all(np.allclose(a, b) for a, b in zip(one, two)) and not np.allclose(one[0], vectors[0])
-
-
-@pytest.mark.parametrize("parts", [1, 3])
-def test_node2vec_tells_cliques_apart(spark, parts):
-    """Members of a clique are nearer to each other than to the other clique's, also when training is dealt to parts."""
+    paths = {k: [rnd.choice("abcdef") for _ in range(rnd.randrange(1, 8))] for k in range(30)}
+    df = spark.createDataFrame([(k, 0, w) for k, w in paths.items()], "start long, nth int, walk array<string>")
+    names = sorted({x for w in paths.values() for x in w})
+    rows = spark.createDataFrame([(x,) for x in names], "node string")
+    start = rows.select("node", embed._block("node", blocks).alias("b"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (embed.uniform(7, F.col("node"), i) - 0.5) / 4).alias("v")).collect()
+    inner, outer = {r.node: np.array(r.v) for r in start}, {x: np.zeros(4) for x in names}
+    order = [[r.start for r in df.orderBy(F.xxhash64(F.lit(7 + e), "start", "nth")).collect()] for e in range(2)]
+    n = collections.Counter(x for w in paths.values() for x in w)
+    first = {x: v.copy() for x, v in inner.items()}
+    plain_skipgram(paths, names, inner, outer, n, blocks, {r.node: r.b for r in start}, 2, 3, 0.3, 7, 2, order)
+    got = {r.node: np.array(r.vector) for r in embed.train_embeddings(df, 4, 2, 3, 2, 0.3, blocks, 7).collect()}
+    assert set(got) == set(names) and all(np.allclose(got[x], inner[x]) for x in names)
+    assert not any(np.allclose(got[x], first[x]) for x in names)
+
+
+def test_steps_meet_each_pair_of_blocks_once(spark):
+    """Each place meets each of its contexts once, in the turn of their blocks, and no two parts of a turn share a block."""
+    rnd = random.Random(4)
+    paths = {k: [rnd.choice("abcdefgh") for _ in range(rnd.randrange(0, 9))] for k in range(20)}
+    df = spark.createDataFrame([(k, 0, w) for k, w in paths.items()], "start long, nth int, walk array<string>")
+    block = {r.node: r.b for r in spark.createDataFrame([(x,) for x in "abcdefgh"], "node string").select("node", embed._block("node", 3).alias("b")).collect()}
+    got = collections.Counter()
+    for r in embed.steps_of(df, 2, 3).collect():
+        assert r.part == block[r.node] and {block[x] for x in r.contexts} == {(r.part + r.turn) % 3}
+        got.update((r.start, r.place, r.node, x) for x in r.contexts)
+    assert got == collections.Counter((k, i, c, w[j]) for k, w in paths.items() for i, c in enumerate(w) for j in range(max(0, i - 2), min(len(w), i + 3)) if j != i)
+
+
+def test_skipgram_of_nothing(spark):
+    df = spark.createDataFrame([], "start long, nth int, walk array<string>")
+    assert embed.train_embeddings(df, 4).collect() == []
+    lone = spark.createDataFrame([(1, 0, ["a"]), (2, 0, [])], "start long, nth int, walk array<string>")
+    assert [(r.node, len(r.vector)) for r in embed.train_embeddings(lone, 4).collect()] == [("a", 4)]
+
+
+@pytest.mark.parametrize(("blocks", "limit"), [(1, 200_000), (3, 200_000), (2, 40)])
+def test_node2vec_tells_cliques_apart(spark, monkeypatch, blocks, limit):
+    """Members of a clique are nearer to each other than to the other clique's, in blocks too, and where large parts are dealt to shards."""
+    monkeypatch.setattr(embed, "PART_STEPS", limit)
     clique = [(a, b, 1) for g in (range(6), range(6, 12)) for a, b in itertools.combinations(g, 2)]
     nodes, e = frames(spark, 12, [*clique, (5, 6, 1)])
-    got = {int(r.node[1:]): np.array(r.vector) for r in embed.node2vec(nodes, e, 8, epochs=6, rate=0.1, parts=parts).collect()}
+    got = {int(r.node[1:]): np.array(r.vector) for r in embed.node2vec(nodes, e, 8, epochs=6, rate=0.1, blocks=blocks).collect()}
     cos = lambda a, b: got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
     within = np.mean([cos(a, b) for a, b, _ in clique])
     across = np.mean([cos(a, b) for a in range(6) for b in range(6, 12)])
-    assert within > across + 0.2
+    assert len(got) == 12 and within > across + 0.2
 
 
 def test_graph_document_is_one_graph(spark, tmp_path):
@@ -324,7 +353,7 @@ def test_embeddings_train_four_epochs(spark, monkeypatch, name):
     walks = spark.createDataFrame([(1, ["n00", "n01", "n02"])], "basket long, walk array<string>")
     monkeypatch.setattr(queries, "basket_walks", lambda spark, d: walks)
     monkeypatch.setattr(queries, "network", lambda spark, d, **whole: (nodes, edges, None))
-    monkeypatch.setattr(embed, "_of_epoch", lambda run, epoch, was=embed._of_epoch: done.append(epoch) or was(run, epoch))
+    monkeypatch.setattr(embed, "_trainer", lambda epoch, *more, was=embed._trainer: done.append(epoch) or was(epoch, *more))
     done = []
     queries.QUERIES[name](spark, "").collect()
     assert done == [0, 1, 2, 3]
