@@ -20,9 +20,7 @@ from basketgraph.operators import graph, walks
 from basketgraph.session import materialize, new_path, remove, uniform
 
 #: Nodes of a block, and places of walks in a part, on average; a part of SLACK times as many is dealt to several tasks.
-BLOCK_NODES, PART_STEPS, SLACK = 200_000, 200_000, 4
-#: Labels of a context and the negatives after it.
-FIRST = np.eye(1, 1024)[0]
+BLOCK_NODES, PART_STEPS, SLACK = 200_000, 100_000, 4
 VECTORS = "side int, block int, node string, n long, vector array<double>"
 
 
@@ -32,18 +30,24 @@ def train_steps(center: np.ndarray, ends: np.ndarray, context: np.ndarray, inner
     A step is a place of a walk with its contexts: larger ones add up gradients of nodes that a walk visits again and
     again, and diverge on small graphs.
     """
-    chance = np.cumsum(weights / weights.sum())
+    chance, sizes = np.cumsum(weights / weights.sum()), np.diff(ends, prepend=0)
     others = np.minimum(np.searchsorted(chance, rng.random((len(context), negatives))), len(weights) - 1)
-    target = np.column_stack([context, others])
-    counts = np.ones(target.shape)
-    counts[:, 1:] = others != context[:, None]
-    ends = ends.tolist()
+    # A target that a step has several times is one, with how often it is a context and how often it is met.
+    target = np.column_stack([context, others]) + (np.repeat(np.arange(len(center)), sizes) * len(weights))[:, None]
+    met = np.ones(target.shape)
+    met[:, 1:] = others != context[:, None]
+    target, of = np.unique(target, return_inverse=True)
+    step, target = np.divmod(target, len(weights))
+    hits = np.bincount(of.reshape(met.shape)[:, 0], minlength=len(target)) * rate
+    met = np.bincount(of.ravel(), met.ravel(), len(target)) * rate / 2
+    hits -= met  # of the sigmoid as (1 + tanh(z / 2)) / 2
+    ends = np.searchsorted(step, np.arange(1, len(center) + 1)).tolist()
     for c, s, e in zip(center.tolist(), [0, *ends], ends):
         own = target[s:e]
-        x, y = inner[c].copy(), outer[own]
-        g = counts[s:e] * (FIRST[: 1 + negatives] - 1 / (1 + np.exp(-np.clip(y @ x, -30, 30)))) * rate
-        inner[c] += np.einsum("ij,ijk->k", g, y)
-        np.add.at(outer, own, g[..., None] * x)
+        x, y = inner[c], outer[own]
+        g = hits[s:e] - met[s:e] * np.tanh(y @ x / 2)
+        outer[own] = y + g[:, None] * x
+        inner[c] = x + g @ y
 
 
 class Part:
@@ -152,7 +156,8 @@ def train_embeddings(paths: DataFrame, dimensions: int, window: int = 3, negativ
                 taken = taken.join(own, "part", "left").withColumn("shard", F.pmod("dealt", F.coalesce("shards", F.lit(1))).cast("int"))
             rows = [x.withColumn("shard", F.lit(0)) if not several else x for x in (known, taken)]
             rows = rows[0].drop("shards").unionByName(rows[1].drop("shards", "dealt"), allowMissingColumns=True)
-            rows = rows.repartition("part", "shard").sortWithinPartitions("part", "shard", "side", "walk", "place", "node")
+            # A task a block: the shards of a part are fewer than blocks, and go to the tasks that follow.
+            rows = rows.repartitionById(blocks, F.pmod(F.col("part") + F.col("shard"), F.lit(blocks)).cast("int")).sortWithinPartitions("part", "shard", "side", "walk", "place", "node")
             done = rows.mapInArrow(_trainer(e, t, seed, negatives, rate), VECTORS)
             if several:
                 mean = F.array(*[F.avg(F.get("vector", F.lit(i))) for i in range(dimensions)])
