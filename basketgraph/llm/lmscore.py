@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from basketgraph.llm.common import LOWER, WordHashes, cached, materialize, word_hashes, worker_cache
 
 BUCKETS, REACH, WIDTH, HIDDEN = 64, 2, 24, 32
+#: Words of a step of training, at every size of the corpus.
+BATCH = 2048
 SHARE, LEAST, FIRST = 50_000, 5, 960
 #: Counts that are broadcast, tokens that a task trains on at once and at least, and values in a block of parameters.
 KNOWN, CHUNK, TASK_TOKENS, BLOCK = 200_000, 65_536, 100_000, 4096
@@ -110,7 +112,7 @@ class Network:
             setattr(self, n, x)
         return self
 
-    def train(self, chunks, batch: int = 512, rate: float = 0.003, seed: int = 5) -> int:
+    def train(self, chunks, batch: int = BATCH, rate: float = 0.003, seed: int = 5) -> int:
         """Adam on the negative log-probability of each word given its neighbours, over chunks (ids, at); gives the tokens."""
         rng = np.random.default_rng(seed)
         params = self.state()
@@ -271,7 +273,7 @@ def fit(docs: DataFrame, text: str = "text", epochs: int = 2) -> Model:
     order = np.argsort(h)
     state, tasks = Network(classes_of(len(words))).state(), max(1, total // TASK_TOKENS)
     for e in range(epochs if total else 0):
-        state = _epoch(rows.coalesce(int(tasks)), words, state, 512 if total < 1_000_000 else 2048, 5 + e)
+        state = _epoch(rows.coalesce(int(tasks)), words, state, BATCH, 5 + e)
     return Model(words, state, totals, (h[order], n[order]), outside.filter((F.col("n") >= 2) & (F.col("n") < least)))
 
 
