@@ -33,26 +33,30 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from basketgraph.llm.common import LOWER, gram_hashes, materialize, mix, word_hashes
+from basketgraph.llm.common import arrow_rows, gram_hashes, lookup, materialize, mix, text_hashes
 
 K, SHARE, MAX_FREQUENT, FREQUENT, STARS = 5, 80, 500_000, 8, 3
 #: Bits of the map of shared shingles (8 MB), and pairs up to which their ends are broadcast (16 MB).
 MAP_BITS, BROADCAST_PAIRS = 26, 500_000
+#: Rows of an Arrow batch.
+ROWS = 2000
 #: Sizes whose ratio is at least this are nearly one.
 NEAR = 0.98
 
 
 def shingles(text: str, k: int = K) -> np.ndarray:
     """Sorted distinct hashes of the runs of k words."""
-    words = word_hashes(text.encode().translate(LOWER).split())
+    words = text_hashes(text)
     if not len(words):
         return np.empty(0, np.uint64)
     if len(words) < k:
         return mix(gram_hashes(words, len(words)) + np.uint64(len(words)))
-    return np.unique(gram_hashes(words, k))
+    out = gram_hashes(words, k)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def _token(hashed: np.ndarray) -> np.ndarray:
@@ -172,7 +176,8 @@ def _prefixes(batches, frequent: tuple[np.ndarray, np.ndarray], k: int, share: i
                 sig.append(xxhash.xxh3_128_digest(own.tobytes()))
                 group.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=n))
                 prefix.append(_token(first).view(np.int32))
-                twins.append(len(first) - len(np.unique(prefix[-1])))
+                tokens = np.sort(prefix[-1])
+                twins.append(int((tokens[1:] == tokens[:-1]).sum()))
             yield pa.RecordBatch.from_arrays([c.column("id"), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array(np.array(group, np.uint64).view(np.int64)), pa.array(prefix, pa.list_(pa.int32())), pa.array(twins, pa.int32())], ["id", "n", "sig", "alike", "prefix", "twins"])
 
 
@@ -223,8 +228,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = materialize(small.filter("a <> b").distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        now = materialize(small.filter("a <> b").distinct().observe(seen, F.count(F.lit(1)).alias("edges"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        state = seen.get
         if state == before:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
         before = state
@@ -279,6 +285,11 @@ def row_name(key: str, text: str) -> Column:
 
 def row_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, share: int = SHARE, max_frequent: int = MAX_FREQUENT) -> DataFrame:
     """id (row_name), key, n, component (the smallest row_name reachable by links) of each row."""
+    with arrow_rows(docs.sparkSession, ROWS):
+        return _row_components(docs, key, text, k, share, max_frequent)
+
+
+def _row_components(docs: DataFrame, key: str, text: str, k: int, share: int, max_frequent: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     rows = docs.select(row_name(key, text).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     frequent = context.broadcast(frequent_tokens(rows, k, max_frequent))
@@ -308,6 +319,7 @@ def row_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         h = F.xxhash64("gid", "token", F.lit(r))
         order = F.struct("alone", *own) if r == 0 else F.struct((h % 2).alias("half"), "alone", h.alias("h"), *own)
         star = at.groupBy("token").agg(F.min(order).alias("s")).select("token", F.col("s.gid").alias("center"), F.col("s.n").alias("m"), *([] if r == 0 else [F.col("s.low").alias("low_2"), F.col("s.high").alias("high_2")]))
+        star = materialize(star, "stars")
         pairs = at.join(star, "token").filter((F.col("gid") != F.col("center")) & _fits(share) & (F.lit(True) if r == 0 else _apart()))
         pairs = pairs.select(F.least("gid", "center").alias("a"), F.greatest("gid", "center").alias("b")).distinct()
         pairs = _counted(lists, pairs, share)
@@ -326,8 +338,9 @@ def row_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         lists = lists.join(_mixed(lists.join(members.select("gid", "component"), "gid"), "token"), "token")
     # What is left: shingles and groups whose vertices lie in several components.
     lists = materialize(lists, "lists")
-    pairs = _counted(lists, _across(lists.join(kinds, "gid"), share), share).select(F.col("a").alias("gid"), F.col("b").alias("other"))
-    pairs = pairs.union(_mixed(members, "gid").select("gid", F.col("gid").alias("other")))
+    pairs = _mixed(members, "gid").select("gid", F.col("gid").alias("other"))
+    if not lists.isEmpty():
+        pairs = pairs.union(materialize(_counted(lists, _across(lists.join(kinds, "gid"), share), share), "across").select(F.col("a").alias("gid"), F.col("b").alias("other")))
     x = members.select("gid", F.col("id").alias("x"), F.col("component").alias("cx"))
     y = members.select(F.col("gid").alias("other"), F.col("id").alias("y"), F.col("component").alias("cy"))
     pairs = pairs.join(x, "gid").join(y, "other").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -346,20 +359,23 @@ def _across(at: DataFrame, share: int) -> DataFrame:
     """
     unit = F.when(F.col("low") == F.col("high"), F.struct(F.lit(0).alias("own"), F.col("low").alias("id"))).otherwise(F.struct(F.lit(1).alias("own"), F.col("gid").alias("id")))
     at = at.select("token", "gid", "n", "twins", unit.alias("unit"), F.floor(F.log("n") / F.lit(-np.log(NEAR))).cast("int").alias("sized"))
-    groups = at.select("gid", "n", "unit", "sized").distinct()
-    at = at.join(groups.groupBy("unit").agg(F.count(F.lit(1)).alias("weight")), "unit")
+    at = materialize(at, "units")
+    groups = at.groupBy("gid", "n", "unit", "sized").agg(F.count(F.lit(1)).alias("held"))
+    weights = groups.groupBy("unit").agg(F.sum("held").alias("held"), F.count(F.lit(1)).alias("weight"))
+    at = materialize(lookup(at, materialize(weights, "weights"), ["unit"], "held"), "units")
     wholes = at.groupBy("token", F.col("unit").alias("with"), F.col("sized").alias("as")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("weight").alias("weight_2"))
     smaller = F.struct("weight", "unit") < F.struct(F.col("weight_2").alias("weight"), F.col("with").alias("unit"))
     fits = (100 * F.col("most") >= share * F.col("n")) & (100 * F.col("n") >= share * F.col("least"))
     met = at.join(wholes, "token").filter(smaller & fits).groupBy("gid", "n", "with", "as").agg((F.count(F.lit(1)) + F.max("twins")).alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
-    found = met.filter(_may_reach(share)).select("gid", "n", "with", "as")
+    found = materialize(met.filter(_may_reach(share)).select("gid", "n", "with", "as"), "met")
     others = groups.select(F.col("gid").alias("other"), F.col("n").alias("m"), F.col("unit").alias("with"), F.col("sized").alias("as"))
     return found.join(others, ["with", "as"]).filter(_fits(share)).select(F.col("gid").alias("a"), F.col("other").alias("b"))
 
 
 def _counted(lists: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
-    """Those of pairs (a, b) of groups that share enough prefix shingles."""
-    own = lists.groupBy("gid", "n", "twins").agg(F.collect_set("token").alias("tokens"))
+    """Those of pairs (a, b) of groups that share enough prefix shingles. Plans are cut here and there, as the driver holds a plan again for each of its stages."""
+    pairs = materialize(pairs, "met")
+    own = materialize(lists.groupBy("gid", "n", "twins").agg(F.collect_set("token").alias("tokens")), "tokens")
     left = own.select(F.col("gid").alias("a"), "n", "twins", F.col("tokens").alias("x"))
     right = own.select(F.col("gid").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
     return pairs.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("x", "y")) + F.col("twins")).filter(_enough(share)).select("a", "b")

@@ -8,9 +8,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from basketgraph.llm import ann, bpe, jaccard, langid, licenses, lmscore, packing, quality, suffix, toxicity
+from basketgraph.llm import ann, bpe, common, jaccard, langid, licenses, lmscore, packing, quality, suffix, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.01"
@@ -172,6 +173,47 @@ def test_jaccard_components(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == {i: (len(sets[i]), find(i)) for i in range(len(rows))}
 
 
+def test_jaccard_plans_are_short(spark, monkeypatch):
+    """The driver holds a plan again for each of its stages, so no plan has many."""
+    rnd, exchanges, write = random.Random(3), [], jaccard.materialize
+
+    def counted(df, name):
+        exchanges.append(len(re.findall(r"Exchange (?:hash|Single|range|Round)", df._jdf.queryExecution().executedPlan().toString())))
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        w = base[i % 3 * 15 :][:45]
+        for _ in range(rnd.choice([0, 1, 3, 6])):
+            w[rnd.randrange(len(w))] = f"v{rnd.randrange(30)}"
+        rows.append((i, " ".join(w)))
+    jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert max(exchanges) <= 12, exchanges
+
+
+def test_hashes_of_words_of_a_text():
+    texts = ["", " ", "a", " a ", "A\x0bb\x1cC\x85 d e\u3000f\ng", "x" * 300_000 + " y X", "é É ab AB ba b\0 \0b \0", *(t or "" for _, t in ODD)]
+    seen: dict = {}
+    for t in texts:
+        words = t.encode().translate(common.LOWER).split()
+        got = common.text_hashes(t).tolist()
+        assert len(got) == len(words) and all(seen.setdefault(w, h) == h for w, h in zip(words, got))
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_arrow_batches_are_short_within(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    rows = spark.range(5000).coalesce(1)
+    with common.arrow_rows(spark, 700):
+        within = {r.n for r in rows.mapInArrow(sizes, "n long").collect()}
+    assert max(within) <= 700 and {r.n for r in rows.mapInArrow(sizes, "n long").collect()} == {5000}
+
+
 def test_language_id(spark):
     rnd = random.Random(6)
     words = {"aa": ["kato", "miru", "sena", "tori"], "bb": ["grum", "blont", "strask", "wumph"]}
