@@ -34,6 +34,8 @@ BATCH = 2048
 SHARE, LEAST, FIRST = 50_000, 5, 960
 #: Counts that are broadcast, tokens that a task trains on at once and at least, and values in a block of parameters.
 KNOWN, CHUNK, TASK_TOKENS, BLOCK = 200_000, 65_536, 100_000, 4096
+#: Places of a class in a batch up to which it is reckoned beside others.
+SIDE = 64
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 
 
@@ -115,19 +117,38 @@ class Network:
     def train(self, chunks, batch: int = BATCH, rate: float = 0.003, seed: int = 5) -> int:
         """Adam on the negative log-probability of each word given its neighbours, over chunks (ids, at); gives the tokens."""
         rng = np.random.default_rng(seed)
-        params = self.state()
-        first, second, step, tokens = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, 0
+        embed, *dense = self.state()
+        # All but the embeddings lie in one array, so that a step is few passes over it.
+        flat = np.concatenate([p.ravel() for p in dense])
+        ends = np.cumsum([p.size for p in dense])[:-1]
+        for name, p, part in zip(self.NAMES[1:], dense, np.split(flat, ends)):
+            setattr(self, name, part.reshape(p.shape))
+        first, second, step, tokens = np.zeros_like(embed), np.zeros_like(embed), 0, 0
+        m, v, g, square = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), np.empty_like(flat)
         for ids, at in chunks:
             tokens += len(at)
             order = rng.permutation(at)
             for s in range(0, len(order), batch):
                 step += 1
-                rows, grads = self._gradients(ids, order[s : s + batch])
-                for k, (p, g, m, v) in enumerate(zip(params, grads, first, second)):
-                    own = rows if k == 0 else ...  # of the embeddings, those met
-                    m[own] = 0.9 * m[own] + 0.1 * g
-                    v[own] = 0.999 * v[own] + 0.001 * g * g
-                    p[own] -= rate * (m[own] / (1 - 0.9**step)) / (np.sqrt(v[own] / (1 - 0.999**step)) + 1e-8)
+                rows, (own, *grads) = self._gradients(ids, order[s : s + batch])
+                up, root = rate / (1 - 0.9**step), 1 / math.sqrt(1 - 0.999**step)
+                np.concatenate([x.ravel() for x in grads], out=g)
+                np.multiply(g, g, out=square)
+                square *= 0.001
+                v *= 0.999
+                v += square
+                g *= 0.1
+                m *= 0.9
+                m += g
+                np.sqrt(v, out=square)
+                square *= root
+                square += 1e-8
+                np.divide(m, square, out=g)
+                g *= up
+                flat -= g
+                a, b = 0.9 * first[rows] + 0.1 * own, 0.999 * second[rows] + 0.001 * own * own
+                first[rows], second[rows] = a, b
+                embed[rows] -= up * a / (np.sqrt(b) * root + 1e-8)
         return tokens
 
     def _gradients(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -143,18 +164,33 @@ class Network:
         p /= n
         back = p @ self.classes.T
         words, word_bias = np.zeros_like(self.words), np.zeros_like(self.word_bias)
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(classes + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            own = order[edges[c] : edges[c + 1]]
+        # By class: large ones one by one, the others side by side, each filled up to the size of the largest of them.
+        order = np.argsort(kind.astype(np.int16) if classes < 1 << 15 else kind, kind="stable")
+        sizes = np.bincount(kind, minlength=classes)
+        begins = np.cumsum(sizes) - sizes
+        large = np.flatnonzero(sizes > SIDE)
+        for c in large:
+            own = order[begins[c] : begins[c] + sizes[c]]
             q = _softmax(h[own] @ self.words[c] + self.word_bias[c])
             q[np.arange(len(own)), place[own]] -= 1
             q /= n
             words[c], word_bias[c] = h[own].T @ q, q.sum(0)
             back[own] += q @ self.words[c].T
+        small = np.flatnonzero((sizes > 0) & (sizes <= SIDE))
+        if len(small):
+            many = int(sizes[small].max())
+            inside = np.arange(many) < sizes[small, None]
+            own = order[(begins[small, None] + np.arange(many))[inside]]
+            x = np.zeros((len(small), many, HIDDEN), h.dtype)
+            x[inside] = h[own]
+            q = _softmax(x @ self.words[small] + self.word_bias[small, None])
+            q[(*np.nonzero(inside), place[own])] -= 1
+            q *= inside[:, :, None] / h.dtype.type(n)
+            words[small], word_bias[small] = x.transpose(0, 2, 1) @ q, q.sum(1)
+            back[own] += (q @ self.words[small].transpose(0, 2, 1))[inside]
         back *= 1 - h * h
         flat = around.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.uint16) if len(self.embed) <= 1 << 16 else flat, kind="stable")  # 16 bits go by radix
         begins = np.flatnonzero(np.diff(flat[order], prepend=-1))
         embed = np.add.reduceat((back @ project.T).reshape(-1, WIDTH)[order], begins)
         return flat[order][begins], [embed, (e.T @ back).reshape(self.project.shape), back.sum(0), h.T @ p, p.sum(0), words, word_bias]
@@ -189,8 +225,11 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+    """Over the last axis, in place."""
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
 
 
 def _rows(docs: DataFrame, text: str) -> DataFrame:
