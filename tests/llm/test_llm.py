@@ -484,6 +484,35 @@ def test_lm_training_loops_over_large_classes_only(monkeypatch):
     assert len(turns) < 18 * 10
 
 
+def test_lm_reads_texts_once(spark, monkeypatch):
+    """Training and scores share one reading of the texts, and give what they give apart."""
+    rnd, reads, read = random.Random(6), [], lmscore._read
+    texts = [None, "", *(" ".join(f"w{int(rnd.expovariate(0.02))}" for _ in range(rnd.randrange(400))) for _ in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(lmscore, "FIRST", 30)
+    monkeypatch.setattr(lmscore, "SHARE", 20)
+    monkeypatch.setattr(lmscore, "KNOWN", 20)
+    monkeypatch.setattr(lmscore, "_read", lambda *a: reads.append(1) or read(*a))
+    got = {r.doc_id: r for r in lmscore.fit_and_score(docs).collect()}
+    assert len(reads) == 1 and len(got) == len(texts)
+    for r in lmscore.score(docs, lmscore.fit(docs)).collect():
+        assert r.n_tokens == got[r.doc_id].n_tokens == len((texts[r.doc_id] or "").split())
+        assert abs(r.log_likelihood - got[r.doc_id].log_likelihood) < 1e-6 * (1 + r.n_tokens)
+
+
+def test_lm_sums_of_rows_and_far_logits():
+    rng = np.random.default_rng(3)
+    of, x = np.minimum(rng.geometric(0.02, 3000), 150), rng.standard_normal((3000, 5))
+    numbers, sums = lmscore._summed(x, of, 200)
+    want = np.zeros((200, 5))
+    np.add.at(want, of, x)
+    assert numbers.tolist() == sorted(set(of.tolist())) and np.allclose(sums, want[numbers])
+    far = np.array([[1000.0, 0, 999], [-900, -901, -902], [1, 2, 3]], np.float32)
+    want = np.exp(far - far.max(1, keepdims=True).astype(np.float64))
+    assert np.allclose(lmscore._log_sum(far.copy()), far.max(1) + np.log(want.sum(1)), rtol=1e-5)
+    assert np.allclose(lmscore._softmax(far.copy()), want / want.sum(1, keepdims=True), rtol=1e-5)
+
+
 def test_neighbours_recall_of_many_vectors(spark):
     """20,000 vectors in clumps: nine of ten of the true nearest are found from under a third of all."""
     rng = np.random.default_rng(13)
