@@ -120,6 +120,29 @@ def test_suffix_arrays():
             assert plcp[b] == n
 
 
+def test_substrings_that_differ_early_are_not_compared_further(monkeypatch):
+    """One long substring among short ones: all are in order, and few are sorted again for its sake."""
+    rnd = random.Random(9)
+    t = np.array([*(rnd.randrange(1, 300) for _ in range(3000)), *sorted(rnd.randrange(1, 300) for _ in range(600)), *sorted((rnd.randrange(1, 300) for _ in range(600)), reverse=True), 5, 0] * 2)
+    t = np.append(t[t > 0], 0)
+    small = [True]
+    for i in range(len(t) - 2, -1, -1):
+        small.append(t[i] < t[i + 1] or (t[i] == t[i + 1] and small[-1]))
+    small = small[::-1]
+    lms = np.array([i for i in range(1, len(t)) if small[i] and not small[i - 1]], np.int32)
+    stop = np.append(lms[1:], len(t) - 1)
+    sorts, argsort, unique = [], np.argsort, np.unique
+    with monkeypatch.context() as m:
+        m.setattr(np, "argsort", lambda x, *a, **k: sorts.append(len(x)) or argsort(x, *a, **k))
+        m.setattr(np, "unique", lambda x, *a, **k: sorts.append(len(x)) or unique(x, *a, **k))
+        order, differs = suffix._sort_directly(t, lms, stop)
+    strings = {int(a): (*t[a : z + 1].tolist(), 1000) for a, z in zip(lms, stop)}
+    got = [strings[i] for i in order.tolist()]
+    assert max(map(len, got)) > 400 and got == sorted(strings.values())
+    assert differs.tolist() == [a != b for a, b in zip(got, got[1:])]
+    assert sum(sorts) < 6 * len(lms)
+
+
 @pytest.mark.parametrize("hot", [100_000, 300])
 def test_suffix_dedup(spark, hot):
     rnd, length = random.Random(4), 40
