@@ -296,6 +296,41 @@ def test_skipgram_is_a_plain_loop(spark, blocks):
     assert not any(np.allclose(got[x], first[x]) for x in names)
 
 
+def test_few_nodes_are_one_block(spark, monkeypatch):
+    """Many places of few nodes are one block's steps, dealt to tasks side by side, and not turns of blocks of a node or two."""
+    monkeypatch.setattr(embed, "PART_STEPS", 30)
+    rnd, turns, seen = random.Random(3), [], spark.sparkContext.accumulator(0)
+    paths = [(k, 0, [rnd.choice("abcdef") for _ in range(5)]) for k in range(120)]
+
+    def counted(epoch, turn, *more, was=embed._trainer):
+        turns.append((epoch, turn))
+
+        def run(batches):
+            batches = list(batches)
+            seen.add(sum(b.num_rows for b in batches) > 0)
+            return was(epoch, turn, *more)(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(embed, "_trainer", counted)
+    got = embed.train_embeddings(spark.createDataFrame(paths, "start long, nth int, walk array<string>"), 4, epochs=2).collect()
+    assert {r.node for r in got} == set("abcdef") and turns == [(0, 0), (1, 0)]
+    assert seen.value == 2 * 5  # 600 places in shards of 4 x 30, a task each
+
+
+def test_dense_steps_are_those_looked_up(monkeypatch):
+    rng = np.random.default_rng(8)
+    center, sizes = rng.integers(0, 5, 400), rng.integers(1, 4, 400)
+    context, weights, tables = rng.integers(0, 7, sizes.sum()), rng.random(7), []
+    for dense in (0, 4096):
+        monkeypatch.setattr(embed, "DENSE", dense)
+        monkeypatch.setattr(embed, "DENSE_RUN", 7 * 90)
+        inner, outer = np.random.default_rng(9).normal(size=(5, 3)), np.zeros((7, 3))
+        embed.train_steps(center, np.cumsum(sizes), context, inner, outer, weights, 3, 0.1, np.random.default_rng(1))
+        tables.append((inner, outer))
+    assert all(np.allclose(a, b) for a, b in zip(*tables)) and abs(tables[0][1]).min() > 0
+
+
 def test_steps_meet_each_pair_of_blocks_once(spark):
     """Each place meets each of its contexts once, in the turn of their blocks, and no two parts of a turn share a block."""
     rnd = random.Random(4)
