@@ -278,6 +278,15 @@ def test_graphs_that_fit_are_one_task(spark, monkeypatch):
     assert len(got) == 5000 and all(len(x) == 1 for x in got.values())
 
 
+def test_sweep_of_graphs_that_fit_is_a_task_each(spark, monkeypatch):
+    monkeypatch.setattr(communities, "_pass", None)
+    e = spark.range(7000).selectExpr("id AS c", "explode(array((0, 1), (0, 2), (1, 2), (2, 3))) AS e")
+    near = e.selectExpr("3 * c + e.col1 AS source", "(3 * c + e.col2) % 21000 AS target", "1.0 AS weight", "IF(e.col2 = 3, 2, 1) AS rank")
+    rows = communities.sweep_settings(near, [1, 2], [900.0]).collect()
+    assert {(r.k, r.resolution, r.clusters, r.largest) for r in rows} == {(1, 900.0, 7000, 3), (2, 900.0, 7000, 3)}
+    assert {r.k: r.modularity for r in rows} == {1: round(1 - 1 / 7000, 6), 2: round(3 / 4 - 1 / 7000, 6)}
+
+
 def test_links_in_arrays_are_plain_loops():
     """Which nodes have a better place, and what is left of links when nodes are merged."""
     rnd, n, community = random.Random(4), 12, [0, 0, 0, 3, 3, 3, 3, 7, 7, 7, 7, 11]
