@@ -22,7 +22,9 @@ from basketgraph.operators.traverse import connected_components
 from basketgraph.session import materialize, numbered, scratch
 
 #: Nodes of a part, nodes and links (each way) of a graph that one task may hold whole, and the least gain that counts.
-PART_NODES, WHOLE_NODES, WHOLE_LINKS, GAIN = 20_000, 250_000, 2_500_000, 1e-9
+PART_NODES, WHOLE_NODES, WHOLE_LINKS, GAIN = 20_000, 250_000, 2_000_000, 1e-9
+#: Links that are looked at together for better places.
+RUN_LINKS = 1 << 18
 #: Of each node its neighbours and the weights of the links to them.
 Near = list[tuple[list[int], list[float]]]
 
@@ -107,19 +109,22 @@ class Links:
         """Whether each node has a better community among those of its neighbours."""
         n, own, k = len(self.degree), community, self.degree
         totals = np.bincount(own, k, n)
-        pair, of = np.unique(self.src * n + own[self.dst], return_inverse=True)
-        node, there = np.divmod(pair, n)
-        gain = np.bincount(of, self.w, len(pair)) - scale * k[node] * (totals[there] - np.where(there == own[node], k[node], 0.0))
         stay, best = np.zeros(n), np.full(n, -np.inf)
-        at = there == own[node]
-        stay[node[at]] = np.maximum(gain[at], 0.0)
-        np.maximum.at(best, node[~at], gain[~at])
+        starts = np.arange(0, len(self.src), RUN_LINKS)
+        edges = [*np.unique(np.searchsorted(self.src, self.src[starts])).tolist(), len(self.src)]  # a node's links are together
+        for s, e in zip(edges, edges[1:]):
+            pair, of = np.unique(self.src[s:e] * np.int64(n) + own[self.dst[s:e]], return_inverse=True)
+            node, there = np.divmod(pair, n)
+            gain = np.bincount(of, self.w[s:e], len(pair)) - scale * k[node] * (totals[there] - np.where(there == own[node], k[node], 0.0))
+            at = there == own[node]
+            stay[node[at]] = np.maximum(gain[at], 0.0)
+            np.maximum.at(best, node[~at], gain[~at])
         return best > stay + GAIN
 
     def merged(self, code: np.ndarray, n: int) -> Links:
         apart = code[self.src] != code[self.dst]
-        pair, of = np.unique(code[self.src[apart]] * n + code[self.dst[apart]], return_inverse=True)
-        return Links(*np.divmod(pair, n), np.bincount(of, self.w[apart], len(pair)), np.bincount(code, self.degree, n))
+        pair, of = np.unique(code[self.src[apart]] * np.int64(n) + code[self.dst[apart]], return_inverse=True)
+        return Links(*(x.astype(np.int32) for x in np.divmod(pair, n)), np.bincount(of, self.w[apart], len(pair)), np.bincount(code, self.degree, n))
 
 
 def solve(order: list[int], links: Links, community: list[int], scale: float) -> list[int]:
@@ -171,21 +176,20 @@ def _solved(links: DataFrame, members: DataFrame, by: list[str], gamma: Column,
 
     def run(table: pa.Table) -> pa.Table:
         src = table.column("src").combine_chunks().dictionary_encode()
-        names, own = src.dictionary, src.indices.to_numpy().astype(np.int64)
-        rank = np.empty(len(names), np.int64)
+        names = src.dictionary
+        rank = np.empty(len(names), np.int32)
         rank[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))  # numbers in the order of names
+        own, to = rank[src.indices.to_numpy()], rank[pc.index_in(table.column("dst"), names).to_numpy()]
         first = np.empty(len(names), np.int64)
-        own = rank[own]
         first[own] = np.arange(len(own))
-        to = rank[pc.index_in(table.column("dst"), names).to_numpy()]
         gamma, w = table.column("gamma")[0].as_py(), table.column("w").to_numpy()
-        start = table.column("community").combine_chunks().dictionary_encode().indices.to_numpy()[first].astype(np.int64)
-        nth = table.column("nth").to_numpy()[first]
-        degree, apart = np.bincount(own, w, len(names)), own != to
+        start = np.unique(table.column("community").take(pa.array(first)).combine_chunks().dictionary_encode().indices.to_numpy(), return_inverse=True)[1].tolist()
+        order = np.argsort(table.column("nth").to_numpy()[first], kind="stable").tolist()
         in_order = np.lexsort((to, own))
-        in_order = in_order[apart[in_order]]
-        graph = Links(own[in_order], to[in_order], w[in_order], degree)
-        found = solve(np.argsort(nth, kind="stable").tolist(), graph, np.unique(start, return_inverse=True)[1].tolist(), gamma / degree.sum())
+        in_order = in_order[own[in_order] != to[in_order]]
+        graph = Links(own[in_order], to[in_order], w[in_order], np.bincount(own, w, len(names)))
+        del src, rank, own, to, first, w, in_order
+        found = solve(order, graph, start, gamma / graph.degree.sum())
         names = names.take(pc.array_sort_indices(names))
         same = {c: pa.repeat(table.column(c)[0], len(names)) for c in by}
         return pa.table(same | {"node": names, "community": pa.array(found, pa.int64()).cast(pa.string())})
